@@ -1,7 +1,7 @@
 """SentencePiece BPE encoding and decoding through a table of distinct chunks.
 
 No piece of the vocabulary has a whitespace marker after another character (checked when the model
-is read), so no merge can cross the place before a marker. A text is cut there; each distinct chunk
+is read), so no merge can cross the place before a marker. A text is cut there, and at line ends; each distinct chunk
 is segmented once per worker into ids, and decoded once from those ids, and a text's ids and decoded
 text are its chunks' joined by position. No shuffle; a task holds one Arrow batch and a bounded table.
 
@@ -12,9 +12,9 @@ encoded each; other columns are kept by ``encode``; a column with the name of a
 from __future__ import annotations
 
 import functools
+import struct
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 import regex
 import sentencepiece
@@ -24,8 +24,11 @@ from pyspark.sql import functions as F
 from tessera.llm import bpe
 
 MARK = "▁"
-#: Chunks kept per worker; at this many the table starts anew.
+#: Chunks kept per worker, twice over: at this many the table becomes the older one and a new one begins.
 CACHE_CHUNKS = 400_000
+#: Symbols up to which pairs are looked through instead of kept in a heap.
+SHORT = 24
+NEVER = float("inf")
 
 
 class ChunkTable:
@@ -36,22 +39,36 @@ class ChunkTable:
         self.byte_ids = {int(self.pieces[i][3:5], 16): i for i in range(n) if model.is_byte(i)}
         self.plain = [not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i)) for i in range(n)]
         self.ids = {p: i for i, p in enumerate(self.pieces) if self.plain[i]}
+        self.texts = [None if model.is_byte(i) else self.pieces[i].replace(MARK, " ") if self.plain[i] else "" for i in range(n)]
         self.byte_of = {i: b for b, i in self.byte_ids.items()}
         self.cost = {p: -model.get_score(i) for p, i in self.ids.items()}
         self.begin, self.end = model.bos_id(), model.eos_id()
         if any(regex.search(f"[^{MARK}]{MARK}", p) for p in self.ids) or len(self.byte_ids) != 256:
             raise ValueError("pieces of this model cross whitespace markers or there is no byte fallback; chunks can't be cut")
-        self.chunks = regex.compile(f"{MARK}+[^{MARK}]*+|[^{MARK}]++")
-        #: Two neighbours that no piece has side by side are never merged: a chunk falls apart there.
-        self.neighbours = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
-        self.parts: dict[str, list[int]] = {}
-        self.known_ids: dict[str, bytes] = {}
-        self.known_text: dict[str, str] = {}
-
-    def _segment(self, part: str) -> list[int]:
-        symbols = list(part)
+        # no piece holds a line end, so a text can be cut at those, too
+        lines = "" if any("\n" in p for p in self.ids) else "\n"
+        self.chunks = regex.compile(f"{MARK}++[^{MARK}{lines}]*+|[^{MARK}{lines}]++|{lines or '(?!)'}")
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        #: Chunks whose ids decode to something else than the chunk with spaces for markers.
+        self.changed: dict[str, str] = {}
+
+    def segment(self, chunk: str) -> list[int]:
+        symbols = list(chunk)
         cost = self.cost
-        bpe.merge(symbols, lambda pair: cost.get(pair[0] + pair[1]))
+        if len(symbols) <= SHORT:
+            # the cheapest pair of few symbols is found sooner by looking than by a heap
+            costs = [cost.get(a + b, NEVER) for a, b in zip(symbols, symbols[1:], strict=False)]
+            while costs and (least := min(costs)) < NEVER:
+                i = costs.index(least)
+                symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
+                del costs[i]
+                if i < len(costs):
+                    costs[i] = cost.get(symbols[i] + symbols[i + 1], NEVER)
+                if i:
+                    costs[i - 1] = cost.get(symbols[i - 1] + symbols[i], NEVER)
+        else:
+            bpe.merge(symbols, lambda pair: cost.get(pair[0] + pair[1]))
         out = []
         for s in symbols:
             if s is not None:
@@ -59,52 +76,47 @@ class ChunkTable:
                 out += [i] if i is not None else [self.byte_ids[b] for b in s.encode()]
         return out
 
-    def segment(self, chunk: str) -> list[int]:
-        cuts = [0, *(i for i in range(1, len(chunk)) if chunk[i - 1 : i + 1] not in self.neighbours), len(chunk)]
-        out: list[int] = []
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            part = chunk[a:b]
-            ids = self.parts.get(part)
-            if ids is None:
-                ids = self.parts[part] = self._segment(part)
-            out += ids
-        return out
-
     def decode_ids(self, ids: list[int]) -> str:
         """Text of the ids, markers as spaces, the leading one kept."""
+        texts = [self.texts[i] for i in ids]
+        if None not in texts:
+            return "".join(texts)
         out = bytearray()
         for i in ids:
             if i in self.byte_of:
                 out.append(self.byte_of[i])
-            elif self.plain[i]:
-                out += self.pieces[i].replace(MARK, " ").encode()
+            else:
+                out += self.texts[i].encode()
         return out.decode(errors="replace")
 
     def _learn(self, chunks: list[str]) -> None:
-        if len(self.known_ids) > CACHE_CHUNKS:
-            self.known_ids.clear()
-            self.known_text.clear()
-        if len(self.parts) > CACHE_CHUNKS:
-            self.parts.clear()
+        if len(self.known) > CACHE_CHUNKS:  # what is still in use comes back from the older half
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
         for chunk in set(chunks):
-            if chunk not in self.known_ids:
-                ids = self.segment(chunk)
-                self.known_ids[chunk] = np.array(ids, "<u4").tobytes()
-                text = self.decode_ids(ids)
-                self.known_text[chunk] = chunk if text == chunk else text
+            if chunk not in known:
+                packed = older.get(chunk)
+                if packed is None:
+                    ids = self.segment(chunk)
+                    packed = struct.pack(f"<{len(ids)}I", *ids)
+                    if (decoded := self.decode_ids(ids)) != chunk.replace(MARK, " "):
+                        self.changed[chunk] = decoded
+                known[chunk] = packed
 
     def code(self, text: str) -> tuple[bytes, str]:
         """The ids, as little-endian unsigned 32-bit integers with begin and end, and the text they decode to."""
-        edge = [np.array([i], "<u4").tobytes() for i in (self.begin, self.end)]
+        begin, end = struct.pack("<I", self.begin), struct.pack("<I", self.end)
         if not text:
-            return edge[0] + edge[1], ""
+            return begin + end, ""
         chunks = self.chunks.findall(MARK + text.replace(" ", MARK))
         try:
-            ids = b"".join(map(self.known_ids.__getitem__, chunks))
+            ids = b"".join(map(self.known.__getitem__, chunks))
         except KeyError:
             self._learn(chunks)
-            ids = b"".join(map(self.known_ids.__getitem__, chunks))
-        return edge[0] + ids + edge[1], "".join(map(self.known_text.__getitem__, chunks))[1:]
+            ids = b"".join(map(self.known.__getitem__, chunks))
+        if self.changed:
+            chunks = [self.changed.get(c, c) for c in chunks]
+        return begin + ids + end, "".join(chunks).replace(MARK, " ")[1:]
 
 
 @functools.lru_cache(2)
