@@ -28,6 +28,31 @@ from tessera.llm import bpe
 CACHE_WORDS = 600_000
 
 
+# Letters and numbers that Unicode 16 has and Python's 15.1 tables lack, and the lower
+# case of its new capitals. The tokenizer library goes by Unicode 16, the regex module by a later one.
+NEW_IN_16 = (
+    "\u1c89-\u1c8a\ua7cb-\ua7cd\ua7da-\ua7dc\U000105c0-\U000105f3\U00010d40-\U00010d65\U00010d6f-\U00010d85\U00010ec2-\U00010ec4"
+    "\U00011380-\U00011389\U0001138b\U0001138e\U00011390-\U000113b5\U000113b7\U000113d1\U000113d3\U000116d0-\U000116e3"
+    "\U00011bc0-\U00011be0\U00011bf0-\U00011bf9\U00013460-\U000143fa\U00016100-\U0001611d\U00016130-\U00016139"
+    "\U00016d40-\U00016d6c\U00016d70-\U00016d79\U00018cff\U0001ccf0-\U0001ccf9\U0001e5d0-\U0001e5ed\U0001e5f0-\U0001e5fa"
+)
+NEW_LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x0264, 0xA7CC: 0xA7CD, 0xA7DA: 0xA7DB, 0xA7DC: 0x019B, **{c: c + 32 for c in range(0x10D50, 0x10D66)}}
+
+
+@functools.cache
+def _later_letters() -> str:
+    """A character class of code points that the regex module takes for letters or numbers and Unicode 16 doesn't have."""
+    kind, known = regex.compile(r"[\p{L}\p{N}]"), regex.compile(f"[{NEW_IN_16}]")
+    found = [c for c in range(0x250, 0x40000) if unicodedata.category(chr(c)) == "Cn" and kind.match(chr(c)) and not known.match(chr(c))]
+    return _ranges(found)
+
+
+def _ranges(points: list[int]) -> str:
+    starts = [c for k, c in enumerate(points) if not k or points[k - 1] != c - 1]
+    ends = [c for k, c in enumerate(points) if k + 1 == len(points) or points[k + 1] != c + 1]
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(starts, ends, strict=True))
+
+
 def _byte_letters() -> list[str]:
     """The printable letter that byte-level vocabularies give each byte: itself where printable, else 256 and up in order."""
     plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -44,6 +69,8 @@ class WordCounter:
         self.suffix = model["end_of_word_suffix"] or ""
         self.ranks = {tuple(pair): i for i, pair in enumerate(model["merges"])}
         self.words = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}"))
+        self.new = regex.compile(f"[{_later_letters()}{NEW_IN_16}]")
+        self.careful_words = regex.compile(self.words.pattern.replace(r"[\p{L}]", f"[\\p{{L}}--[{_later_letters()}]]").replace(r"[\p{N}]", f"[\\p{{N}}--[{_later_letters()}]]").replace(r"[^\p{White_Space}\p{L}\p{N}]", f"[^[\\p{{White_Space}}\\p{{L}}\\p{{N}}]--[{_later_letters()}]]"), regex.V1)
         names = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, names))) if names else None
         self.letters = _byte_letters()
@@ -58,7 +85,11 @@ class WordCounter:
     def _of_plain(self, text: str) -> int:
         if not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
-        words = self.words.findall(text.replace("Σ", "σ").lower())  # lower() would choose a final sigma by context
+        text = text.replace("Σ", "σ").lower()  # lower() would choose a final sigma by context
+        if text.isascii() or not self.new.search(text):
+            words = self.words.findall(text)
+        else:
+            words = self.careful_words.findall(text.translate(NEW_LOWER))
         known = self.known
         try:
             return sum(map(known.__getitem__, words))

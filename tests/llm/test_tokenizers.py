@@ -17,7 +17,7 @@ from tessera.llm.token_counts import count_tokens, counter
 WORDS, PIECES = P.path("word_bpe_49k.json"), P.path("piece_bpe_32k.model")
 ODD = [
     "", " ", "  a", "a ", "a▁b ▁▁", "\x00a\x85 b\x1c\x1dc", "é😀\n\n  x", "<s></s><unk> <0x0A>", "ΑΣ ΣΑΣ ς", "İstanbul ŒUVRE ﬁn ẞ", "I'll don't 'S 'RE x's",
-    "<|endoftext|>a<|startoftext|><|endoftext|> <|ENDOFTEXT|>", "é ̈́ Ω", "123 ٣٤ ⅷ ½", "a\tb\r\nc\x0bd", "x" * 5000, "ab " * 3000, "　  ​﻿", "中文字符 テスト", "𐐀𐐁 Ⅳ ǅ",
+    "<|endoftext|>a<|startoftext|><|endoftext|> <|ENDOFTEXT|>", "é ̈́ Ω", "123 ٣٤ ⅷ ½", "a\tb\r\nc\x0bd", "x" * 5000, "ab " * 3000, "　  ​﻿", "中文字符 テスト", "Â\U0003d000b \u0558c\U00010d50\U00010d41\ua7ce9", "𐐀𐐁 Ⅳ ǅ",
 ]
 text = st.text(st.one_of(st.characters(exclude_categories=("Cs",)), st.sampled_from(" ▁<|>'sStT\ńΣσ")), max_size=60)
 
