@@ -8,13 +8,42 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, fingerprints, sentencepiece_codec, token_counts
+from tessera.llm import decontaminate, fingerprints, ftrl, parity_join, sentencepiece_codec, token_counts
 from tessera.llm.tables import documents, narrow
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parity_join.link(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
+OP1_SQL = r"""
+WITH RECURSIVE low AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[s : s + 4], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS s FROM low WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+both AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM shingles a JOIN shingles b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (
+  SELECT a, b FROM both JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * k >= 80 * (x.n + y.n - k)),
+reach AS (
+  SELECT doc_id AS node, doc_id AS other FROM documents
+  UNION
+  SELECT reach.node, links.b FROM reach JOIN links ON links.a = reach.other)
+SELECT low.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, c.component_id
+FROM low LEFT JOIN sizes ON sizes.doc_id = low.doc_id JOIN (SELECT node, min(other) AS component_id FROM reach GROUP BY node) c ON c.node = low.doc_id"""
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = narrow(documents(spark, sf_dir), "doc_id", "text").withColumn("held_out", ftrl.held_out(F.col("doc_id")))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~ftrl.held_out(F.col("doc_id")))
+    return ftrl.score(docs, ftrl.train(docs, labels)).select("doc_id", "held_out", "score", "predicted")
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = narrow(documents(spark, sf_dir), "doc_id", "text")
     marked = decontaminate.mark(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -58,10 +87,12 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_jaccard_join": op1_jaccard_join,
+    "op3_toxicity": op3_toxicity,
     "op5_decontaminate": op5_decontaminate,
     "op6_token_counts": op6_token_counts,
     "op7_fingerprints": op7_fingerprints,
     "op10_sentencepiece": op10_sentencepiece,
 }
 
-ORACLES: dict[str, str] = {"op5_decontaminate": OP5_SQL}
+ORACLES: dict[str, str] = {"op1_jaccard_join": OP1_SQL, "op5_decontaminate": OP5_SQL}

@@ -134,3 +134,16 @@ def test_short_texts_are_one_shingle():
 
     a, b, c, d = shingle_sets(pa.array(["a b c", "A  b\tc", "a b", None]))
     assert a.tolist() == b.tolist() != c.tolist() and len(a) == 1 and len(d) == 0
+
+
+def test_oracle_op1(spark, sf_dir):
+    import duckdb
+
+    from tessera.llm.queries import OP1_SQL, op1_jaccard_join
+
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf_dir}/documents.parquet')")
+    want = db.sql(f"SELECT doc_id, n_shingles, component_id FROM ({OP1_SQL})").fetchall()
+    got = [tuple(r) for r in op1_jaccard_join(spark, sf_dir).collect()]
+    assert sorted(got) == sorted(want)
+    assert any(r[0] != r[2] for r in got)
