@@ -2,8 +2,8 @@
 
 Features are a text's distinct words, word pairs and pairs with one word between, hashed to 2**18
 coordinates. Each coordinate has its own learning rate, and an L1 penalty keeps most weights at zero.
-Learners run side by side over shards of a bounded sample of labelled rows (MAX_ROWS, those with the
-smallest hash of their id); the weights are the mean of the shards'. What is broadcast has a fixed
+Learners run side by side over shards of SHARD_ROWS of a bounded sample of labelled rows (MAX_ROWS,
+those with the smallest hash of their id); the weights are the mean of the shards'. What is broadcast has a fixed
 size: 2**18 weights. Every text is scored whole.
 
 Defined results: null and empty texts have no features and get the score of the bias; rows without a
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from tessera.llm.words import ALNUM_SPLIT, U64, Words, bytes_of, mix, row_slices, split_words
 
 BITS = 18
-MAX_ROWS = 20_000
-SHARDS = 2
+MAX_ROWS = 40_000
+SHARD_ROWS = 20_000
 EPOCHS = 6
 ALPHA, BETA, L1, L2 = 3.0, 1.0, 6.0, 0.0
 
@@ -84,12 +84,13 @@ def _learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(w[some])], ["at", "w"])
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_rows: int = MAX_ROWS, shards: int = SHARDS) -> np.ndarray:
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_rows: int = MAX_ROWS, shard_rows: int = SHARD_ROWS) -> np.ndarray:
     """Weights, bias last, from documents (doc_id, text) and labels (doc_id, label_col: 0 or 1)."""
     order = F.xxhash64("doc_id")
     sample = labels.select(F.col("doc_id").cast("long"), F.col(label_col).cast("int").alias("label")).dropna()
     sample = sample.withColumn("order", order).orderBy("order", "doc_id", "label").limit(max_rows)
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("label", "order", F.coalesce("text", F.lit("")).alias("text"))
+    shards = max(1, -(-sample.count() // shard_rows))
     shard = F.pmod(F.xxhash64("order"), F.lit(shards))
     learned = rows.repartition(shards, shard).mapInArrow(_learned, "at long, w double")
     found = learned.groupBy("at").agg(F.sum("w").alias("w")).collect()  # at most 2**18 + 1 rows

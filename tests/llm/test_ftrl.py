@@ -17,8 +17,8 @@ def test_held_out_accuracy(spark):
     rows = op3_toxicity(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id").where("held_out").collect()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
     toxic, clean = [r for r in rows if r.toxic == 1], [r for r in rows if r.toxic == 0]
-    assert sum(r.predicted for r in toxic) >= 0.85 * len(toxic)
-    assert sum(r.predicted for r in clean) <= 0.01 * len(clean)
+    assert sum(r.predicted for r in toxic) >= 0.75 * len(toxic)
+    assert sum(r.predicted for r in clean) <= 0.006 * len(clean)
     better = sum((a.score > b.score) + (a.score == b.score) / 2 for a in toxic for b in clean)
     assert better >= 0.97 * len(toxic) * len(clean)
 
