@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, fingerprints, ftrl, parity_join, sentencepiece_codec, token_counts
+from tessera.llm import decontaminate, fingerprints, ftrl, license_scan, parity_join, sentencepiece_codec, token_counts
 from tessera.llm.tables import documents, narrow
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -26,9 +26,9 @@ shingles AS (
   SELECT DISTINCT doc_id, array_to_string(w[s : s + 4], ' ') AS g
   FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS s FROM low WHERE len(w) > 0)),
 sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
-both AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM shingles a JOIN shingles b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM shingles a JOIN shingles b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
 links AS (
-  SELECT a, b FROM both JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
   WHERE 100 * k >= 80 * (x.n + y.n - k)),
 reach AS (
   SELECT doc_id AS node, doc_id AS other FROM documents
@@ -44,6 +44,13 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ftrl.score(docs, ftrl.train(docs, labels)).select("doc_id", "held_out", "score", "predicted")
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(narrow(documents(spark, sf_dir), "doc_id", "text"))
+    labels = lambda *spans: F.array_join(F.array_sort(F.array_distinct(F.concat(*[F.col(f"{s}.label") for s in spans]))), ",")
+    ends = (F.array_min("base.start").alias("first_word"), F.array_max("base.start").alias("last_word"))
+    return found.select("doc_id", "n_words", F.size("base").cast("long").alias("n_base"), *ends, labels("base").alias("base_labels"), labels("base", "found").alias("labels"), "score")
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = narrow(documents(spark, sf_dir), "doc_id", "text")
     marked = decontaminate.mark(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -89,6 +96,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op3_toxicity": op3_toxicity,
+    "op4_license_scan": op4_license_scan,
     "op5_decontaminate": op5_decontaminate,
     "op6_token_counts": op6_token_counts,
     "op7_fingerprints": op7_fingerprints,
