@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, fingerprints, ftrl, license_scan, parity_join, sentencepiece_codec, token_counts
+from tessera.llm import decontaminate, fingerprints, ftrl, license_scan, parity_join, secret_scan, sentencepiece_codec, token_counts
 from tessera.llm.tables import documents, narrow
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -88,6 +88,23 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+def _printed(spans, kinds: tuple[str, ...]):
+    """kind:start:end by start, then kind as listed, comma-joined."""
+    rank = lambda s: F.array_position(F.array(*map(F.lit, kinds)), s["kind"])
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), rank(s).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    return F.array_join(F.transform(ordered, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def _of_kind(kind: str):
+    return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(narrow(documents(spark, sf_dir), "doc_id", "text"))
+    counts = [_of_kind(k).alias(f"n_{k}") for k in secret_scan.KINDS[:3]]
+    return found.select("doc_id", *counts, F.sha2(_printed(F.col("base"), secret_scan.KINDS), 256).alias("base_sha256"), _printed(F.concat("base", "found"), secret_scan.KINDS).alias("spans"))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = narrow(documents(spark, sf_dir), "doc_id", "text")
     return sentencepiece_codec.encode(docs, PIECE_BPE).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -100,6 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontaminate": op5_decontaminate,
     "op6_token_counts": op6_token_counts,
     "op7_fingerprints": op7_fingerprints,
+    "op8_secret_scan": op8_secret_scan,
     "op10_sentencepiece": op10_sentencepiece,
 }
 
