@@ -33,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components, relabel
@@ -102,20 +102,6 @@ def narrow_sketch(members: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(bool)).view(U64)
 
 
-def _describe(text: Column) -> Column:
-    @F.arrow_udf("n long, id long, rest long")
-    def described(texts: pa.Array) -> pa.Array:
-        n, ids, rest = [], [], []
-        for s in shingle_sets(texts):
-            n.append(len(s))
-            i, r = node(s) if len(s) else (None, None)
-            ids.append(i)
-            rest.append(r)
-        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(rest, pa.int64())], ["n", "id", "rest"])
-
-    return described(text)
-
-
 def _summed(parts: DataFrame) -> np.ndarray:
     """Sum of arrays of counts that tasks give in chunks (chunk, counts); the result has a fixed size."""
 
@@ -132,17 +118,29 @@ def _summed(parts: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
-def _count_blocks(docs: DataFrame) -> np.ndarray:
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _nodes_and_counts(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """(doc_id, n, id, rest) of every row, and how many sets have each block, by slots: one pass."""
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(SLOTS, np.uint32)
+        kinds = [pa.int64()] * 4 + [pa.int32(), pa.binary()]
+        names = ["doc_id", "n", "id", "rest", "chunk", "counts"]
         for batch in batches:
-            keys = [blocks(s, level) for s in shingle_sets(batch.column(0)) for level in levels(len(s))]
+            rows, keys = [], []
+            for s in shingle_sets(batch.column("text")):
+                rows.append((len(s), *(node(s) if len(s) else (None, None))))
+                keys += [blocks(s, level) for level in levels(len(s))]
             if keys:
                 counts += np.bincount((np.concatenate(keys) & U64(SLOTS - 1)).astype(np.int64), minlength=SLOTS).astype(np.uint32)
+            if rows:
+                own = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *own, pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), pa.binary())], names)
         some = [(c, part.tobytes()) for c, part in enumerate(counts.reshape(CHUNKS, -1)) if part.any()]
-        yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in some], pa.int32()), pa.array([p for _, p in some], pa.binary())], ["chunk", "counts"])
+        if some:
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(len(some), k) for k in kinds[:4]), pa.array([c for c, _ in some], pa.int32()), pa.array([p for _, p in some], pa.binary())], names)
 
-    return _summed(docs.select("text").mapInArrow(count, "chunk int, counts binary"))
+    both = stored(docs.mapInArrow(describe, "doc_id long, n long, id long, rest long, chunk int, counts binary"), "nodes")
+    return both.where("chunk is null").select("doc_id", "n", "id", "rest"), _summed(both.where("chunk is not null").select("chunk", "counts"))
 
 
 def _bucket_rows(docs: DataFrame, counts: np.ndarray) -> DataFrame:
@@ -223,15 +221,20 @@ def _near_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield made(*keep)
 
 
+def _slot(i: int, doc_id: int | None) -> int:
+    return (i ^ ((doc_id or 0) * 0x2545F4914F6CDD1D)) & 0x7FFFFFFFFFFFFFFF
+
+
 def _pass_filter(ids: DataFrame) -> np.ndarray:
-    """Bits of the ids' slots: those without are certainly absent. The number of bits follows the count, 32 MB at most."""
+    """Bits of the slots of (id, doc_id): those without are certainly absent. The number of bits follows the count, 32 MB at most."""
     bits = 1 << min(28, max(18, (8 * ids.count()).bit_length()))
     step = 1 << 15
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hit = np.zeros(bits, bool)
         for batch in batches:
-            hit[batch.column(0).to_numpy() & (bits - 1)] = True
+            for i, d in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                hit[_slot(i, d) & (bits - 1)] = True
         packed = np.packbits(hit).reshape(-1, min(step, bits // 8))
         some = [(c, p.tobytes()) for c, p in enumerate(packed) if p.any()]
         yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in some], pa.int32()), pa.array([p for _, p in some], pa.binary())], ["chunk", "bits"])
@@ -250,7 +253,10 @@ def _pass_filter(ids: DataFrame) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, n, sketch, members) of the wanted ids, and of few others."""
+    """(id, n, sketch, members) of the wanted (id, doc_id), where doc_id is one row that has the set, and of few others.
+
+    Rows that repeat id and text may give a set more than once; links are made distinct in the end.
+    """
     passes = docs.sparkSession.sparkContext.broadcast(_pass_filter(wanted))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,11 +268,11 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
         for batch in batches:
             rows: list[tuple] = []
-            for s in shingle_sets(batch.column(0)):
+            for s, d in zip(shingle_sets(batch.column("text")), batch.column("doc_id").to_pylist(), strict=True):
                 if len(s) < 4:
                     continue
                 i = node(s)[0]
-                if i not in met and passes.value[i & (len(passes.value) - 1)]:
+                if i not in met and passes.value[_slot(i, d) & (len(passes.value) - 1)]:
                     met.add(i)
                     rows.append((i, len(s), narrow_sketch(s).view(np.int64), s.view(np.int64)))
                 if len(rows) == 1000:
@@ -275,30 +281,66 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             if rows:
                 yield batch_of(rows)
 
-    found = docs.select("text").mapInArrow(emit, "id long, n long, sketch array<long>, members array<long>")
-    return stored(found.dropDuplicates(["id"]), "sets")
+    return stored(docs.mapInArrow(emit, "id long, n long, sketch array<long>, members array<long>"), "sets")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets have that similarity: by narrow sketch, then by intersection."""
+def _side(sets: DataFrame, c: str, what: str) -> DataFrame:
+    return sets.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col(what).alias(f"x{c}"))
 
-    def side(c: str, what: str) -> DataFrame:
-        return sets.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col(what).alias(f"x{c}"))
 
-    near = pairs.join(side("a", "sketch"), "a").join(side("b", "sketch"), "b")
+def _near(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that the narrow sketch doesn't reject, with the distance of the sketches."""
+    both = pairs.join(_side(sets, "a", "sketch"), "a").join(_side(sets, "b", "sketch"), "b")
     apart = F.aggregate(F.zip_with("xa", "xb", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("long")), F.lit(0).cast("long"), lambda n, x: n + x)
-    near = near.where((100 + percent) * apart <= (100 - percent) * (F.col("na") + F.col("nb"))).select("a", "b")
-    both = F.size(F.array_intersect("xa", "xb"))
-    full = near.join(side("a", "members"), "a").join(side("b", "members"), "b")
-    return full.where(100 * both >= percent * (F.col("na") + F.col("nb") - both)).select("a", "b")
+    both = both.select("a", "b", "na", "nb", apart.alias("apart"))
+    return both.where((100 + percent) * F.col("apart") <= (100 - percent) * (F.col("na") + F.col("nb"))).select("a", "b", "apart")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets have that similarity."""
+    full = pairs.select("a", "b").join(_side(sets, "a", "members"), "a").join(_side(sets, "b", "members"), "b")
+    common = F.size(F.array_intersect("xa", "xb"))
+    return full.where(100 * common >= percent * (F.col("na") + F.col("nb") - common)).select("a", "b").distinct()
+
 
+def _linked(near: DataFrame, sets: DataFrame, percent: int, labels: DataFrame | None) -> DataFrame | None:
+    """Labels (id, root) after verifying what of the near pairs joins components.
 
-def _across(large: DataFrame, sets: DataFrame, labels: DataFrame, per_root: int | None) -> DataFrame:
+    Twice only the nearest pair of each component is verified, then all that are left between two
+    components: most pairs lie within a component by then and need no sets moved.
+    """
+    for best in (True, True, False):
+        rooted = near.withColumns({"ra": F.col("a"), "rb": F.col("b")})
+        if labels is not None:
+            root = lambda c: labels.select(F.col("id").alias(c), F.col("root").alias(f"r{c}"))  # noqa: E731, B023
+            rooted = near.join(root("a"), "a", "left").join(root("b"), "b", "left").withColumns({"ra": F.coalesce("ra", "a"), "rb": F.coalesce("rb", "b")})
+        near = stored(rooted.where("ra <> rb").select("a", "b", "apart", "ra", "rb"), "near")
+        if near.isEmpty():
+            return labels
+        tried = near
+        if best:
+            pair = F.min(F.struct("apart", "a", "b", "ra", "rb")).alias("p")
+            tried = near.unionByName(near.withColumn("ra", F.col("rb"))).groupBy("ra").agg(pair).select("p.a", "p.b").distinct()
+        links = stored(_verified(tried, sets, percent), "links")
+        near = near.select("a", "b", "apart")
+        ends = links
+        if labels is not None:
+            ends = links.join(root("a"), "a", "left").join(root("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+        roots = components(ends)
+        labels = roots if labels is None else stored(relabel(labels, roots), "labels")
+    return labels
+
+
+def _across(large: DataFrame, sets: DataFrame, labels: DataFrame | None, per_root: int | None) -> DataFrame:
     """Pairs (a, b) from large buckets (key, id, n) whose ends are in different components and pass the narrow sketch.
 
     With per_root, only the nearest so many in a cell for each row and other component.
     """
-    rows = large.join(labels, "id", "left").select("key", "id", "n", F.coalesce("root", "id").alias("root"))
+    if labels is None:
+        rows = large.withColumn("root", F.col("id"))
+    else:
+        rows = large.join(labels, "id", "left")
+    rows = rows.select("key", "id", "n", F.coalesce("root", "id").alias("root"))
     by_root = rows.groupBy("key", "root").agg(F.count("*").alias("m"))
     torn = by_root.groupBy("key").agg(F.sum("m").alias("size"), F.count("*").alias("roots"), F.max_by("root", F.struct("m", "root")).alias("main")).where("roots > 1")
     cells = F.ceil(F.col("size") / CELL).cast("int")
@@ -353,24 +395,20 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     if percent < 80:
         raise ValueError("the wide sketch is laid out for a similarity of 0.8 or more")
     docs = narrow(docs, id_col, text_col)
-    text = docs.select("text").where("text is not null")
-    nodes = stored(docs.select("doc_id", _describe(F.col("text")).alias("d")).select("doc_id", "d.n", "d.id", "d.rest"), "nodes")
-    counts = _count_blocks(text)
-    rows = _bucket_rows(text, counts)
-    met = stored(rows.repartition("key", "part").sortWithinPartitions("key", "part", "n", "id").mapInArrow(_near_pairs, "x long, y long, n long"), "met")
-    pairs = met.where("n = 0").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+    nodes, counts = _nodes_and_counts(docs)
+    groups = nodes.groupBy("id", "rest").agg(F.min("doc_id").alias("least")).where("id is not null")
+    texts = docs.where("text is not null")
+    rows = _bucket_rows(texts, counts).repartition("key", "part").sortWithinPartitions("key", "part", "n", "id")
+    met = stored(rows.mapInArrow(_near_pairs, "x long, y long, n long"), "met")
+    pairs = stored(met.where("n = 0").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "pairs")
     large = met.where("n > 0").select(F.col("x").alias("key"), F.col("y").alias("id"), "n")
-    pairs = stored(pairs, "pairs")
-    sets = _sets(text, pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(large.select("id")).distinct())
-    labels = components(_verified(pairs, sets, percent))
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(large.select("id")).distinct()
+    sets = _sets(texts, wanted.join(groups.select("id", "least"), "id"))
+    labels = _linked(_near(pairs, sets, percent), sets, percent, None)
     for per_root in (4, None):
-        more = stored(_verified(_across(large, sets, labels, per_root), sets, percent), "links")
-        if more.isEmpty():
-            continue
-        root = lambda c: labels.select(F.col("id").alias(c), F.col("root").alias(f"r{c}"))
-        ends = more.join(root("a"), "a", "left").join(root("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
-        labels = stored(relabel(labels, components(ends)), "labels")
-    groups = nodes.groupBy("id", "rest").agg(F.min("doc_id").alias("least")).where("id is not null")
+        labels = _linked(_near(_across(large, sets, labels, per_root), sets, percent), sets, percent, labels)
+    if labels is None:
+        labels = groups.select("id", F.col("id").alias("root")).limit(0)
     groups = groups.join(labels, "id", "left").select("id", "rest", "least", F.coalesce("root", "id").alias("component"))
     top = groups.groupBy("component").agg(F.min("least").alias("component_id"))
     named = groups.join(top, "component").select("id", "rest", "component", "component_id")
