@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, fingerprints, ftrl, license_scan, parity_join, secret_scan, sentencepiece_codec, token_counts
+from tessera.llm import decontaminate, fingerprints, ftrl, license_scan, parity_join, pii, secret_scan, sentencepiece_codec, token_counts
 from tessera.llm.tables import documents, narrow
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -105,6 +105,12 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(_printed(F.col("base"), secret_scan.KINDS), 256).alias("base_sha256"), _printed(F.concat("base", "found"), secret_scan.KINDS).alias("spans"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.annotate(narrow(documents(spark, sf_dir), "doc_id", "text"))
+    counts = [_of_kind(k).alias(f"n_{k}") for k in pii.BASE_KINDS]
+    return found.select("doc_id", *counts, F.sha2(_printed(F.col("base"), pii.KINDS), 256).alias("base_sha256"), _printed(F.concat("base", "found"), pii.KINDS).alias("spans"))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = narrow(documents(spark, sf_dir), "doc_id", "text")
     return sentencepiece_codec.encode(docs, PIECE_BPE).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -118,6 +124,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_token_counts": op6_token_counts,
     "op7_fingerprints": op7_fingerprints,
     "op8_secret_scan": op8_secret_scan,
+    "op9_pii": op9_pii,
     "op10_sentencepiece": op10_sentencepiece,
 }
 
