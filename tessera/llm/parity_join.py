@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components, relabel
-from tessera.llm.tables import narrow, stored
+from tessera.llm.tables import narrow, release, stored
 from tessera.llm.words import SPACE_SPLIT, U64, bytes_of, mix, ngram_hashes, row_slices, split_words
 
 SHINGLE = 5
@@ -49,6 +49,8 @@ REACH = 8
 #: Rows of a bucket, by the count, above which it is dealt over several tasks.
 HOT = 4096
 CELL = 512
+#: Pairs that are broadcast at most (16 bytes each); more are joined by a shuffle.
+BROADCAST_PAIRS = 200_000
 
 
 def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
@@ -253,7 +255,7 @@ def _pass_filter(ids: DataFrame) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, n, sketch, members) of the wanted (id, doc_id), where doc_id is one row that has the set, and of few others.
+    """(id, n, sketch, text) of the wanted (id, doc_id), where doc_id is one row that has the set, and of few others.
 
     Rows that repeat id and text may give a set more than once; links are made distinct in the end.
     """
@@ -261,27 +263,27 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
-        kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.string()]
 
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["id", "n", "sketch", "members"])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["id", "n", "sketch", "text"])
 
         for batch in batches:
             rows: list[tuple] = []
-            for s, d in zip(shingle_sets(batch.column("text")), batch.column("doc_id").to_pylist(), strict=True):
+            for k, (s, d) in enumerate(zip(shingle_sets(batch.column("text")), batch.column("doc_id").to_pylist(), strict=True)):
                 if len(s) < 4:
                     continue
                 i = node(s)[0]
                 if i not in met and passes.value[_slot(i, d) & (len(passes.value) - 1)]:
                     met.add(i)
-                    rows.append((i, len(s), narrow_sketch(s).view(np.int64), s.view(np.int64)))
+                    rows.append((i, len(s), narrow_sketch(s).view(np.int64), batch.column("text")[k].as_py()))
                 if len(rows) == 1000:
                     yield batch_of(rows)
                     rows = []
             if rows:
                 yield batch_of(rows)
 
-    return stored(docs.mapInArrow(emit, "id long, n long, sketch array<long>, members array<long>"), "sets")
+    return stored(docs.mapInArrow(emit, "id long, n long, sketch array<long>, text string"), "sets")
 
 
 def _side(sets: DataFrame, c: str, what: str) -> DataFrame:
@@ -297,10 +299,23 @@ def _near(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets have that similarity."""
-    full = pairs.select("a", "b").join(_side(sets, "a", "members"), "a").join(_side(sets, "b", "members"), "b")
-    common = F.size(F.array_intersect("xa", "xb"))
-    return full.where(100 * common >= percent * (F.col("na") + F.col("nb") - common)).select("a", "b").distinct()
+    """The pairs (a, b) whose sets have that similarity. Texts are moved, as they are smaller than their sets."""
+    pairs = pairs.select("a", "b")
+    if pairs.count() <= BROADCAST_PAIRS:  # the texts wanted are picked where they lie
+        pick = lambda c: sets.select(F.col("id").alias(c), F.col("text").alias(f"x{c}")).join(F.broadcast(pairs), c)
+        full = pick("a").join(pick("b"), ["a", "b"])
+    else:
+        full = pairs.join(_side(sets, "a", "text"), "a").join(_side(sets, "b", "text"), "b")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for x, y in zip(shingle_sets(batch.column("xa")), shingle_sets(batch.column("xb")), strict=True):
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(100 * common >= percent * (len(x) + len(y) - common))
+            yield batch.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
+
+    return full.select("a", "b", "xa", "xb").mapInArrow(compare, "a long, b long").distinct()
 
 
 def _linked(near: DataFrame, sets: DataFrame, percent: int, labels: DataFrame | None) -> DataFrame | None:
@@ -323,6 +338,7 @@ def _linked(near: DataFrame, sets: DataFrame, percent: int, labels: DataFrame |
             tried = near.unionByName(near.withColumn("ra", F.col("rb"))).groupBy("ra").agg(pair).select("p.a", "p.b").distinct()
         links = stored(_verified(tried, sets, percent), "links")
         near = near.select("a", "b", "apart")
+        release(sets.sparkSession)
         ends = links
         if labels is not None:
             ends = links.join(root("a"), "a", "left").join(root("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
@@ -400,6 +416,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     texts = docs.where("text is not null")
     rows = _bucket_rows(texts, counts).repartition("key", "part").sortWithinPartitions("key", "part", "n", "id")
     met = stored(rows.mapInArrow(_near_pairs, "x long, y long, n long"), "met")
+    release(docs.sparkSession)
     pairs = stored(met.where("n = 0").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "pairs")
     large = met.where("n > 0").select(F.col("x").alias("key"), F.col("y").alias("id"), "n")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(large.select("id")).distinct()
