@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, fingerprints, ftrl, license_scan, parity_join, pii, secret_scan, sentencepiece_codec, token_counts
+from tessera.llm import decontaminate, fingerprints, ftrl, license_scan, parity_join, pii, secret_scan, sentencepiece_codec, token_counts, warc_fixity
 from tessera.llm.tables import documents, narrow
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -38,6 +38,43 @@ SELECT low.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, c.component_id
 FROM low LEFT JOIN sizes ON sizes.doc_id = low.doc_id JOIN (SELECT node, min(other) AS component_id FROM reach GROUP BY node) c ON c.node = low.doc_id"""
 
 
+def op2_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audit of a second replica of ``pages``, derived with some damage.
+
+    By crc32 of the page number modulo 97: 1 adds a character, 2 leaves 100 characters of the payload, 3 loses the
+    record, 4 brings another record under the number -1 - page_id.
+    """
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    fate = F.pmod(F.crc32(F.col("page_id").cast("string")), F.lit(97))
+    html = F.when(fate == 1, F.concat("html", F.lit("~"))).when(fate == 2, F.substring("html", 1, 100)).otherwise(F.col("html"))
+    extra = pages.where(fate == 4).select((-1 - F.col("page_id")).alias("page_id"), "url", "html")
+    replica = pages.where(fate != 3).select("page_id", "url", html.alias("html")).unionByName(extra)
+    return warc_fixity.audit(pages, replica)
+
+
+OP2_SQL = r"""
+WITH crc AS (
+  SELECT page_id, url, html, (SELECT list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(page_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+    lambda acc, b: list_reduce(list_prepend(xor(acc, b), [CAST(0 AS BIGINT) FOR i IN range(8)]), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END))) AS r
+  FROM pages),
+fates AS (SELECT page_id, url, coalesce(html, '') AS html, xor(r, 4294967295) % 97 AS fate FROM crc),
+copies AS (
+  SELECT page_id, url, CASE fate WHEN 1 THEN html || '~' WHEN 2 THEN substring(html, 1, 100) ELSE html END AS html FROM fates WHERE fate <> 3
+  UNION ALL SELECT -1 - page_id, url, html FROM fates WHERE fate = 4),
+ours AS (SELECT page_id, 'WARC/1.1' || e || 'WARC-Type: response' || e || 'WARC-Record-ID: <urn:page:' || page_id || '>' || e || 'WARC-Target-URI: ' || coalesce(url, '') || e || 'Content-Type: text/html' || e
+    || 'Content-Length: ' || octet_length(encode(html)) || e || e || html || e || e AS raw FROM fates, (SELECT chr(13) || chr(10) AS e)),
+theirs AS (SELECT page_id, 'WARC/1.1' || e || 'WARC-Type: response' || e || 'WARC-Record-ID: <urn:page:' || page_id || '>' || e || 'WARC-Target-URI: ' || coalesce(url, '') || e || 'Content-Type: text/html' || e
+    || 'Content-Length: ' || octet_length(encode(html)) || e || e || html || e || e AS raw FROM copies, (SELECT chr(13) || chr(10) AS e)),
+placed AS (
+  SELECT page_id, CAST(floor(page_id / 4096) AS BIGINT) AS file, CAST(octet_length(encode(raw)) AS BIGINT) AS length, sha256(raw) AS digest,
+    CAST(coalesce(sum(octet_length(encode(raw))) OVER (PARTITION BY floor(page_id / 4096) ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset"
+  FROM ours),
+found AS (SELECT page_id, sha256(raw) AS found_digest FROM theirs)
+SELECT coalesce(file, CAST(floor(f.page_id / 4096) AS BIGINT)) AS file, coalesce(p.page_id, f.page_id) AS page_id, "offset", length, digest, found_digest,
+  CASE WHEN f.page_id IS NULL THEN 'missing' WHEN p.page_id IS NULL THEN 'extra' ELSE 'altered' END AS finding
+FROM placed p FULL JOIN found f ON p.page_id = f.page_id WHERE digest IS DISTINCT FROM found_digest"""
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = narrow(documents(spark, sf_dir), "doc_id", "text").withColumn("held_out", ftrl.held_out(F.col("doc_id")))
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~ftrl.held_out(F.col("doc_id")))
@@ -118,6 +155,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
+    "op2_warc_fixity": op2_warc_fixity,
     "op3_toxicity": op3_toxicity,
     "op4_license_scan": op4_license_scan,
     "op5_decontaminate": op5_decontaminate,
@@ -128,4 +166,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sentencepiece": op10_sentencepiece,
 }
 
-ORACLES: dict[str, str] = {"op1_jaccard_join": OP1_SQL, "op5_decontaminate": OP5_SQL}
+ORACLES: dict[str, str] = {"op1_jaccard_join": OP1_SQL, "op2_warc_fixity": OP2_SQL, "op5_decontaminate": OP5_SQL}
