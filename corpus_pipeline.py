@@ -1,13 +1,73 @@
-"""From raw documents to token digests, stage by stage."""
+"""From raw documents to token digests, stage by stage.
+
+Each stage takes what its predecessor kept, written as Parquet and read again, and works on all of it.
+
+- toxicity: learns from ``labels`` and drops documents scored 0.5 or more.
+- near_duplicates: of each group of documents linked by word shingles, the one with the smallest doc_id
+  stays. An id that leaves a group leaves with all its rows; of rows equal in id and text one stays, also
+  where the id is null, which otherwise can't name a row to leave.
+- decontamination: drops documents that hold a window of a benchmark item.
+- personal_data: replaces found spans by their kind; n_chars follows the text.
+- tokens: ids and decoded text, as counts and digests.
+
+Null texts have no features, words or spans: they pass the filters (each is a group of its own) and end as begin and end ids.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm import decontaminate, ftrl, parity_join, pii, sentencepiece_codec
+from tessera.llm.tables import stored
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    weights = ftrl.train(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), labels)
+    kept = docs.withColumn("_score", ftrl.score_column(docs, F.col("text").cast("string"), weights)).where("_score < 0.5")
+    return kept.select(*[f"`{c}`" for c in docs.columns])
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    linked = parity_join.link(docs)
+    firsts = linked.where("component is not null").select("component", F.col("component_id").alias("first")).distinct()
+    leaving = stored(linked.join(firsts, "component").where("doc_id <> first").select(F.col("doc_id").alias("_leaving")).distinct(), "leaving")
+    repeated = stored(linked.groupBy("doc_id").count().where("count > 1 or doc_id is null").select(F.col("doc_id").alias("_repeated")), "repeated")
+    kept = docs.join(leaving, F.col("doc_id") == F.col("_leaving"), "left_anti")
+    if repeated.isEmpty():
+        return kept.select(*own)
+    same = F.col("doc_id").eqNullSafe(F.col("_repeated"))
+    once = kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(repeated, same, "left_anti").select(*own).unionByName(once.select(*own))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    text = docs.select(*[F.col(f"`{c}`").alias(f"_{c}") for c in docs.columns])
+    marked = decontaminate.mark(text, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), text_col="_text")
+    return marked.where("n_hit = 0").select(*[F.col(f"`_{c}`").alias(c) for c in docs.columns])
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    clean = pii.redact(docs)
+    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    coded = sentencepiece_codec.encode(docs.select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("personal_data", personal_data), ("tokens", tokens)]
+
+#: A learned classifier and a tokenizer can't be written in SQL; tests/llm compares with a plain version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
