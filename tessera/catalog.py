@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import corpus, relational
+from tessera.plans import corpus, knowledge, relational
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**corpus.QUERIES, **relational.QUERIES}
-ORACLES: dict[str, str] = {**corpus.ORACLES, **relational.ORACLES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**corpus.QUERIES, **relational.QUERIES, **knowledge.QUERIES}
+ORACLES: dict[str, str] = {**corpus.ORACLES, **relational.ORACLES, **knowledge.ORACLES}
