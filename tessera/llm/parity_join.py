@@ -9,8 +9,9 @@ most (1 - t) / (1 + t) * (|A| + |B|) elements; for t = 0.8 that is at most a qua
   common order of blocks, the first d + 1 of A and of B share an equal block. The order puts blocks
   that few documents have first, by a fixed-size count of all blocks of all documents, and empty
   blocks last. Documents meet in buckets of equal blocks.
-- *Narrow sketch*: one parity bit per hashed element in 2048; its Hamming distance is a lower bound of
-  the symmetric difference and rejects most pairs that can't link.
+- *Narrow sketch*: one parity bit per hashed element, in 2048 bits or as many as twice the set's size
+  needs, by powers of two; halves XORed give the sketch of half the size, so any two sizes compare. The Hamming
+  distance is a lower bound of the symmetric difference and rejects most pairs that can't link.
 - *Verification*: intersection of the sets.
 
 Only components are wanted, so a bucket need not give all its pairs. Neighbours in order of size and
@@ -100,8 +101,15 @@ def first_blocks(members: np.ndarray, level: int, counts: np.ndarray) -> tuple[n
 
 
 def narrow_sketch(members: np.ndarray) -> np.ndarray:
-    bits = np.bincount((mix(members ^ U64(0xA0761D6478BD642F)) >> U64(53)).astype(np.int64), minlength=NARROW_BITS) & 1
-    return np.packbits(bits.astype(bool)).view(U64)
+    size = max(NARROW_BITS, 1 << (2 * len(members) - 1).bit_length())
+    at = mix(members ^ U64(0xA0761D6478BD642F)) & U64(size - 1)
+    return np.packbits((np.bincount(at.astype(np.int64), minlength=size) & 1).astype(bool)).view(U64)
+
+
+def halved(sketch: np.ndarray) -> np.ndarray:
+    """Sketch of half as many bits; also of many sketches of one size."""
+    half = sketch.shape[-1] // 2
+    return sketch[..., :half] ^ sketch[..., half:]
 
 
 def _summed(parts: DataFrame) -> np.ndarray:
@@ -293,7 +301,10 @@ def _side(sets: DataFrame, c: str, what: str) -> DataFrame:
 def _near(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that the narrow sketch doesn't reject, with the distance of the sketches."""
     both = pairs.join(_side(sets, "a", "sketch"), "a").join(_side(sets, "b", "sketch"), "b")
-    apart = F.aggregate(F.zip_with("xa", "xb", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("long")), F.lit(0).cast("long"), lambda n, x: n + x)
+    words = F.least(F.size("xa"), F.size("xb"))
+    # sizes of sets that may link are at most a factor of two apart in bits
+    fold = lambda c: F.when(F.size(c) > words, F.transform(F.sequence(F.lit(1), words), lambda k: F.element_at(c, k).bitwiseXOR(F.element_at(c, k + words)))).otherwise(F.col(c))
+    apart = F.aggregate(F.zip_with(fold("xa"), fold("xb"), lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("long")), F.lit(0).cast("long"), lambda n, x: n + x)
     both = both.select("a", "b", "na", "nb", apart.alias("apart"))
     return both.where((100 + percent) * F.col("apart") <= (100 - percent) * (F.col("na") + F.col("nb"))).select("a", "b", "apart")
 
@@ -367,37 +378,43 @@ def _across(large: DataFrame, sets: DataFrame, labels: DataFrame | None, per_roo
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here: tuple | None = None
-        held: list = [[], [], [], []]
-        for batch in batches:
-            keys = zip(batch.column("key").to_pylist(), batch.column("cell").to_pylist(), strict=True)
-            moving = batch.column("moving").to_pylist()
-            ids, sizes, roots = (batch.column(c).to_numpy() for c in ("id", "n", "root"))
-            sketch = batch.column("sketch").flatten().to_numpy().view(U64).reshape(-1, NARROW_BITS // 64)  # signed values would count bits of their absolute
-            out: list[np.ndarray] = []
-            ready = None
-            for k, cell in enumerate(keys):
-                if cell != here:
-                    here, held, ready = cell, [[], [], [], []], None
-                if not moving[k]:
-                    for h, v in zip(held, (ids[k], sizes[k], roots[k], sketch[k]), strict=True):
-                        h.append(v)
-                    ready = None
+        held: dict[int, list[tuple]] = {}  # by size of the sketch
+        ready: dict[int, tuple] = {}
+
+        def nearest(i: int, n: int, root: int, sketch: np.ndarray) -> Iterator[tuple[int, int]]:
+            for size in (len(sketch) // 2, len(sketch), len(sketch) * 2):
+                if size not in held:
                     continue
-                if not held[0]:
+                if size not in ready:
+                    ready[size] = tuple(np.array(c) for c in zip(*held[size], strict=True))
+                ids, sizes, roots, sketches = ready[size]
+                ok = np.flatnonzero((roots != root) & (10 * np.minimum(sizes, n) >= 8 * np.maximum(sizes, n)))
+                if not len(ok):
                     continue
-                if ready is None:
-                    ready = [np.array(h) for h in held]
-                apart = np.bitwise_count(ready[3] ^ sketch[k]).sum(1, dtype=np.int64)
-                ok = np.flatnonzero((ready[2] != roots[k]) & (9 * apart <= ready[1] + sizes[k]))
+                theirs = halved(sketches[ok]) if size > len(sketch) else sketches[ok]
+                apart = np.bitwise_count(theirs ^ (halved(sketch) if size < len(sketch) else sketch)).sum(1, dtype=np.int64)
+                near = 9 * apart <= sizes[ok] + n
+                ok, apart = ok[near], apart[near]
                 if per_root is not None and len(ok) > per_root:
-                    ok = ok[np.lexsort((apart[ok], ready[2][ok]))]
-                    rank = np.arange(len(ok)) - np.searchsorted(ready[2][ok], ready[2][ok])
-                    ok = ok[rank < per_root]
-                if len(ok):
-                    out.append(np.stack([np.minimum(ready[0][ok], ids[k]), np.maximum(ready[0][ok], ids[k])], 1))
-            if out:
-                pairs = np.unique(np.concatenate(out), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+                    ok = ok[np.lexsort((apart, roots[ok]))]
+                    ok = ok[np.arange(len(ok)) - np.searchsorted(roots[ok], roots[ok]) < per_root]
+                yield from ((min(i, x), max(i, x)) for x in ids[ok].tolist())
+
+        for batch in batches:
+            found: set[tuple[int, int]] = set()
+            columns = [batch.column(c).to_pylist() for c in ("key", "cell", "moving", "id", "n", "root")]
+            for k, (key, cell, moving, i, n, root) in enumerate(zip(*columns, strict=True)):
+                if (key, cell) != here:
+                    here, held, ready = (key, cell), {}, {}
+                sketch = batch.column("sketch")[k].values.to_numpy().view(U64)  # signed values would count bits of their absolute
+                if moving:
+                    found.update(nearest(i, n, root, sketch))
+                else:
+                    held.setdefault(len(sketch), []).append((i, n, root, sketch))
+                    ready.pop(len(sketch), None)
+            if found:
+                a, b = zip(*sorted(found), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     dealt = home.unionByName(moving).repartition("key", "cell").sortWithinPartitions("key", "cell", "moving")
     return dealt.mapInArrow(compared, "a long, b long").distinct()

@@ -8,7 +8,7 @@ import pytest
 
 from tessera.llm import parity_join
 from tessera.llm.components import components
-from tessera.llm.parity_join import blocks, first_blocks, levels, link, narrow_sketch, shingle_sets
+from tessera.llm.parity_join import blocks, first_blocks, halved, levels, link, narrow_sketch, shingle_sets
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -82,6 +82,12 @@ def test_large_groups(spark, hot, monkeypatch):
             text[rng.randrange(len(text))] = f"u{rng.randrange(500)}"
         rows.append((1000 + i, " ".join(text)))
     rows += [(5000 + i, rows[-1][1]) for i in range(40)]
+    long = [f"z{rng.randrange(9000)}" for _ in range(1150)]
+    for i in range(14):  # sets about the size at which sketches double
+        text = long[: 1000 + 12 * i]
+        for _ in range(4):
+            text[rng.randrange(len(text))] = f"y{rng.randrange(500)}"
+        rows.append((7000 + i, " ".join(text)))
     assert run(spark, rows) == slow(rows)
 
 
@@ -95,13 +101,16 @@ def test_bounds():
     rng = np.random.default_rng(4)
     counts = rng.integers(0, 50, parity_join.SLOTS)
     for _ in range(400):
-        n = int(rng.choice([4, 5, 7, 15, 16, 17, 19, 20, 63, 64, 70, 79, 80, 300]))
+        n = int(rng.choice([4, 5, 7, 15, 16, 17, 19, 20, 63, 64, 70, 79, 80, 300, 1000, 1100, 5000]))
         a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
         drop, add = rng.integers(0, n // 5 + 1), rng.integers(0, n // 4 + 1)
         b = np.unique(np.r_[rng.permutation(a)[drop:], rng.integers(0, 1 << 63, add, dtype=np.uint64) * np.uint64(2)])
         both = len(np.intersect1d(a, b))
         apart = len(a) + len(b) - 2 * both
-        assert np.bitwise_count(narrow_sketch(a) ^ narrow_sketch(b)).sum() <= apart
+        x, y = sorted((narrow_sketch(a), narrow_sketch(b)), key=len)
+        while len(y) > len(x):
+            y = halved(y)
+        assert np.bitwise_count(x ^ y).sum() <= apart
         for level in set(levels(len(a))) & set(levels(len(b))):
             assert len(np.setdiff1d(blocks(a, level), blocks(b, level))) <= apart
         if 100 * both >= 80 * (len(a) + len(b) - both) and apart:
