@@ -257,7 +257,7 @@ ORACLES = {
         s AS (SELECT norm, p_name, count(*) AS k, min(p_partkey) AS first FROM r GROUP BY norm, p_name)
         SELECT norm, arg_max(p_name, k * 1000000000 - first) AS display, CAST(sum(k) AS BIGINT) AS members, min(first) AS first, (SELECT count(DISTINCT p_brand) FROM r WHERE r.norm = s.norm) AS brands FROM s GROUP BY norm""",
     "mode_priority": "WITH c AS (SELECT o_custkey, o_orderpriority, count(*) AS n FROM orders GROUP BY 1, 2) SELECT o_custkey, o_orderpriority AS priority, n FROM c QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY n DESC, o_orderpriority) = 1",
-    "adjacent_order_check": "WITH o AS (SELECT *, lead(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS nx FROM orders) SELECT o_custkey, count(*) AS n, count_if(nx < o_totalprice) AS n_falls FROM o GROUP BY o_custkey",
+    "adjacent_order_check": "WITH o AS (SELECT *, lead(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS nx FROM orders) SELECT o_custkey, count(*) AS n, count(*) FILTER (WHERE nx < o_totalprice) AS n_falls FROM o GROUP BY o_custkey",
     "cooccurrence_top8": """WITH s AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem), p AS (SELECT a.l_suppkey, b.l_suppkey AS other, count(*) AS n FROM s a JOIN s b USING (l_orderkey) WHERE a.l_suppkey <> b.l_suppkey GROUP BY 1, 2)
         SELECT *, CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY n DESC, other) AS INTEGER) AS rank FROM p QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY n DESC, other) <= 8""",
     "best_example": "SELECT l_suppkey, l_orderkey, l_linenumber FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice, l_orderkey, l_linenumber) = 1",

@@ -11,9 +11,10 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-# The algorithm's default parameters, its forgetting curve and the aimed-at share remembered.
+# The algorithm's default parameters, its forgetting curve, the aimed-at share remembered
+# and the longest interval in days.
 W = (0.40255, 1.18385, 3.173, 15.69105, 7.1949, 0.5345, 1.4604, 0.0046, 1.54575, 0.1192, 1.01925, 1.9395, 0.11, 0.29605, 2.2698, 0.2315, 2.9898, 0.51655, 0.6621)
-DECAY, FACTOR, AIM = -0.5, 19 / 81, 0.9
+DECAY, FACTOR, AIM, LONGEST = -0.5, 19 / 81, 0.9, 36_500
 
 
 def first_difficulty(rating: int) -> float:
@@ -38,7 +39,7 @@ def review(state: tuple[float, float] | None, rating: int, days: float) -> tuple
 
 
 def interval(stability: float) -> int:
-    return max(1, round(stability / FACTOR * (AIM ** (1 / DECAY) - 1)))
+    return min(LONGEST, max(1, round(stability / FACTOR * (AIM ** (1 / DECAY) - 1))))
 
 
 def fold(reviews: DataFrame) -> DataFrame:
