@@ -1,7 +1,8 @@
 """Secret scan: shapes of known secrets, and a battery of randomness tests for other long tokens.
 
 A token is a run of MIN_LENGTH or more of [A-Za-z0-9+/_-]. Its encoding is inferred from its
-characters (decimal, hex, base32, base62, base64), which gives an alphabet. Chi-squared uniformity over the
+characters (hex, base32, base62, base64), which gives an alphabet; mere numbers (of cards, accounts,
+articles) are as random and no secrets, and are not looked at. Chi-squared uniformity over the
 alphabet, the runs test about the middle and serial correlation each give a p-value of "uniformly
 random"; a token that one of them rejects (Bonferroni, at ALPHA) is not random.
 
@@ -43,7 +44,6 @@ BANDS = (16, 20, 24, 32, 48)
 #: p-values are rounded up to powers of 10**-0.1, 10**-30 at least.
 BINS = 300
 ENCODINGS: list[tuple[str, re.Pattern, str]] = [
-    ("decimal", re.compile(r"[0-9]+"), "0123456789"),
     ("hex", re.compile(r"[0-9a-f]+|[0-9A-F]+"), "0123456789abcdef"),
     ("base32", re.compile(r"[A-Z2-7]+"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
     ("base62", re.compile(r"[A-Za-z0-9]+"), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"),
@@ -59,7 +59,9 @@ def upper_tail(z: float) -> float:
 
 
 def encoding(token: str) -> tuple[str, np.ndarray, int] | None:
-    """Name, values and size of the smallest alphabet that the token fits."""
+    """Name, values and size of the smallest alphabet that the token fits; None for numbers."""
+    if token.isdigit():
+        return None
     for name, pattern, alphabet in ENCODINGS:
         if pattern.fullmatch(token):
             token = token.lower() if name == "hex" else token
