@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.functions.text import base_name, normalize, slugify
+from tessera.functions.text import base_name, is_lookalike, normalize, slugify
 from tessera.operators.dictionary import find_phrases, longest_first
 from tessera.operators.graph import components
 from tessera.plans.corpus import table, words
@@ -118,13 +118,50 @@ def snapshot_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("n_nationkey", F.to_json(F.struct(F.lit(2).alias("schema_version"), F.col("n_name").alias("name"), "segments", "best")).alias("record"))
 
 
-QUERIES = {f.__name__: f for f in (centroid, medoid, bm25_search, trigram_index, tfidf_top_terms, alias_mentions, alias_longest, supplier_components, pair_f1, normalized_titles, snapshot_json)}
+def lookalike_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of title words of at least 4 letters, one edit apart and neither within the other.
+
+    Words one edit apart share the word or one of its forms with a letter left out, so they meet on those keys.
+    """
+    title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
+    word = table(spark, sf_dir, "pages").select(F.explode(words(title)).alias("w")).where("length(w) >= 4").distinct()
+    shorter = F.transform(F.sequence(F.lit(1), F.length("w")), lambda i: F.concat(F.substr("w", F.lit(1), i - 1), F.substr("w", i + 1)))
+    keyed = word.select("w", F.explode(F.array_distinct(F.concat(F.array("w"), shorter))).alias("key"))
+    met = keyed.select(F.col("w").alias("a"), "key").join(keyed.select(F.col("w").alias("b"), "key"), "key").where("a < b").select("a", "b").distinct()
+    return met.where(is_lookalike(F.col("a"), F.col("b")) & (F.levenshtein("a", "b") == 1))
+
+
+def exact_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The brand that a part name stands for: the most frequent, unless the next has more than half as many.
+
+    The window runs over one name's brands, 25 at most.
+    """
+    counted = table(spark, sf_dir, "part").groupBy(normalize(F.col("p_name")).alias("name"), "p_brand").agg(F.count("*").alias("n"))
+    by_name = Window.partitionBy("name").orderBy(F.desc("n"), "p_brand")
+    top = counted.withColumns({"place": F.row_number().over(by_name), "next_n": F.lead("n").over(by_name)}).where("place = 1")
+    return top.select("name", "n", F.when(F.coalesce("next_n", F.lit(0)) * 2 > F.col("n"), None).otherwise(F.col("p_brand")).alias("brand"))
+
+
+def upsert_keep_better(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event kept per user and type when a later one replaces an earlier only if its value is higher."""
+    e = table(spark, sf_dir, "events")
+    kept = e.groupBy("user_id", "event_type").agg(F.min_by(F.struct("event_id", "value"), F.struct(-F.col("value"), "ts", "event_id")).alias("k"), F.count("*").alias("n_seen"))
+    return kept.select("user_id", "event_type", "k.*", "n_seen")
+
+
+QUERIES = {f.__name__: f for f in (lookalike_words, exact_lookup, upsert_keep_better, centroid, medoid, bm25_search, trigram_index, tfidf_top_terms, alias_mentions, alias_longest, supplier_components, pair_f1, normalized_titles, snapshot_json)}
 
 W = "regexp_extract_all(lower(text), '[a-z]+')"
 T = "regexp_extract_all(lower(text), '[a-z0-9]+')"
 NORM = "regexp_replace(trim(regexp_replace(replace(replace(replace(strip_accents(lower({0})), 'ß', 'ss'), 'æ', 'ae'), '&', ' and '), '[^a-z0-9]+', ' ', 'g')), '^(the|an|a) (.)', '\\2')"
 TITLE = "regexp_extract(html, '<title>([^<]*)</title>', 1)"
 ORACLES = {
+    "lookalike_words": f"""WITH w AS (SELECT DISTINCT w FROM (SELECT unnest(regexp_extract_all(lower({TITLE}), '[a-z]+')) AS w FROM pages) WHERE length(w) >= 4)
+        SELECT x.w AS a, y.w AS b FROM w x JOIN w y ON x.w < y.w AND abs(length(x.w) - length(y.w)) <= 1 AND levenshtein(x.w, y.w) = 1 WHERE NOT contains(x.w, y.w) AND NOT contains(y.w, x.w)""",
+    "exact_lookup": f"""WITH c AS (SELECT {NORM.format("p_name")} AS name, p_brand, count(*) AS n FROM part GROUP BY 1, 2),
+        r AS (SELECT *, row_number() OVER w AS place, lead(n) OVER w AS next_n FROM c WINDOW w AS (PARTITION BY name ORDER BY n DESC, p_brand))
+        SELECT name, n, CASE WHEN coalesce(next_n, 0) * 2 > n THEN NULL ELSE p_brand END AS brand FROM r WHERE place = 1""",
+    "upsert_keep_better": """SELECT user_id, event_type, event_id, value, count(*) OVER (PARTITION BY user_id, event_type) AS n_seen FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY value DESC, ts, event_id) = 1""",
     "centroid": """WITH p AS (SELECT label, unnest(embedding) AS x, unnest(range(len(embedding))) AS pos FROM embeddings), m AS (SELECT label, pos, avg(CAST(x AS DOUBLE)) AS m FROM p GROUP BY label, pos)
         SELECT label, CAST(pos AS INTEGER) AS pos, round(m / greatest(sqrt(sum(m * m) OVER (PARTITION BY label)), 1e-9), 6) AS x FROM m""",
     "medoid": """WITH s AS (SELECT a.label, a.vec_id, round(sum(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))), 4) AS support FROM embeddings a JOIN embeddings b ON a.label = b.label GROUP BY 1, 2)
