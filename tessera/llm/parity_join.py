@@ -231,20 +231,22 @@ def _near_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield made(*keep)
 
 
-def _slot(i: int, doc_id: int | None) -> int:
-    return (i ^ ((doc_id or 0) * 0x2545F4914F6CDD1D)) & 0x7FFFFFFFFFFFFFFF
+def _slots(ids: np.ndarray, doc_ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the documents, and of them together with their sets; a null doc_id is 0."""
+    docs = mix(doc_ids.fill_null(0).to_numpy(zero_copy_only=False).view(U64) + U64(0x2545F4914F6CDD1D))
+    return docs, mix(docs ^ ids.view(U64))
 
 
 def _pass_filter(ids: DataFrame) -> np.ndarray:
-    """Bits of the slots of (id, doc_id): those without are certainly absent. The number of bits follows the count, 32 MB at most."""
-    bits = 1 << min(28, max(18, (8 * ids.count()).bit_length()))
+    """Bits of the slots of doc_id and of (id, doc_id): those without are certainly absent. Their number follows the count, 32 MB at most."""
+    bits = 1 << min(28, max(18, (16 * ids.count()).bit_length()))
     step = 1 << 15
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hit = np.zeros(bits, bool)
         for batch in batches:
-            for i, d in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                hit[_slot(i, d) & (bits - 1)] = True
+            for slots in _slots(batch.column(0).to_numpy(), batch.column(1)):
+                hit[(slots & U64(bits - 1)).astype(np.int64)] = True
         packed = np.packbits(hit).reshape(-1, min(step, bits // 8))
         some = [(c, p.tobytes()) for c, p in enumerate(packed) if p.any()]
         yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in some], pa.int32()), pa.array([p for _, p in some], pa.binary())], ["chunk", "bits"])
@@ -278,13 +280,17 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
         for batch in batches:
             rows: list[tuple] = []
-            for k, (s, d) in enumerate(zip(shingle_sets(batch.column("text")), batch.column("doc_id").to_pylist(), strict=True)):
-                if len(s) < 4:
-                    continue
-                i = node(s)[0]
-                if i not in met and passes.value[_slot(i, d) & (len(passes.value) - 1)]:
+            mask = U64(len(passes.value) - 1)
+            docs_at, _ = _slots(np.zeros(len(batch), np.int64), batch.column("doc_id"))
+            some = batch.take(pa.array(np.flatnonzero(passes.value[(docs_at & mask).astype(np.int64)])))  # only these are split into shingles
+            sets = list(shingle_sets(some.column("text")))
+            ids = np.array([node(s)[0] if len(s) else 0 for s in sets], np.int64)
+            wanted_at = _slots(ids, some.column("doc_id"))[1] & mask
+            for k in np.flatnonzero(passes.value[wanted_at.astype(np.int64)]).tolist():
+                s, i = sets[k], int(ids[k])
+                if len(s) >= 4 and i not in met:
                     met.add(i)
-                    rows.append((i, len(s), narrow_sketch(s).view(np.int64), batch.column("text")[k].as_py()))
+                    rows.append((i, len(s), narrow_sketch(s).view(np.int64), some.column("text")[k].as_py()))
                 if len(rows) == 1000:
                     yield batch_of(rows)
                     rows = []
@@ -378,48 +384,60 @@ def _across(large: DataFrame, sets: DataFrame, labels: DataFrame | None, per_roo
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here: tuple | None = None
-        held: dict[int, list[tuple]] = {}  # by size of the sketch
-        ready: dict[int, tuple] = {}
-
-        def nearest(i: int, n: int, root: int, sketch: np.ndarray) -> Iterator[tuple[int, int]]:
-            for size in (len(sketch) // 2, len(sketch), len(sketch) * 2):
-                if size not in held:
-                    continue
-                if size not in ready:
-                    ready[size] = tuple(np.array(c) for c in zip(*held[size], strict=True))
-                ids, sizes, roots, sketches = ready[size]
-                ok = np.flatnonzero((roots != root) & (10 * np.minimum(sizes, n) >= 8 * np.maximum(sizes, n)))
-                if not len(ok):
-                    continue
-                theirs = halved(sketches[ok]) if size > len(sketch) else sketches[ok]
-                apart = np.bitwise_count(theirs ^ (halved(sketch) if size < len(sketch) else sketch)).sum(1, dtype=np.int64)
-                near = 9 * apart <= sizes[ok] + n
-                ok, apart = ok[near], apart[near]
-                if per_root is not None and len(ok) > per_root:
-                    ok = ok[np.lexsort((apart, roots[ok]))]
-                    ok = ok[np.arange(len(ok)) - np.searchsorted(roots[ok], roots[ok]) < per_root]
-                yield from ((min(i, x), max(i, x)) for x in ids[ok].tolist())
-
+        held: dict[int, list] = {}  # rows at home in the cell, by size of the sketch
         for batch in batches:
-            found: set[tuple[int, int]] = set()
-            columns = [batch.column(c).to_pylist() for c in ("key", "cell", "moving", "id", "n", "root")]
-            for k, (key, cell, moving, i, n, root) in enumerate(zip(*columns, strict=True)):
-                if (key, cell) != here:
-                    here, held, ready = (key, cell), {}, {}
-                sketch = batch.column("sketch")[k].values.to_numpy().view(U64)  # signed values would count bits of their absolute
-                if moving:
-                    found.update(nearest(i, n, root, sketch))
+            key, cell, moving, *rest = (batch.column(c).to_numpy() for c in ("key", "cell", "moving", "id", "n", "root"))
+            sketches = batch.column("sketch")
+            places, bits = sketches.offsets.to_numpy(), sketches.values.to_numpy().view(U64)  # signed values would count bits of their absolute
+            width = np.diff(places)
+            change = (np.diff(key) != 0) | (np.diff(cell) != 0) | (np.diff(moving) != 0) | (np.diff(width) != 0)
+            edges = np.r_[0, np.flatnonzero(change) + 1, len(key)]
+            found = []
+            for low, high in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                if high == low:
+                    continue
+                if (key[low], cell[low]) != here:
+                    here, held = (key[low], cell[low]), {}
+                rows = [*(c[low:high] for c in rest), bits[places[low] : places[high]].reshape(high - low, width[low])]
+                if moving[low]:
+                    found += [p for size, home in held.items() if size in (width[low] // 2, width[low], width[low] * 2) for p in _near_in_cell(rows, home, per_root)]
                 else:
-                    held.setdefault(len(sketch), []).append((i, n, root, sketch))
-                    ready.pop(len(sketch), None)
+                    size = int(width[low])
+                    held[size] = [np.concatenate(x) for x in zip(held[size], rows, strict=True)] if size in held else rows
             if found:
-                a, b = zip(*sorted(found), strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                pairs = np.unique(np.concatenate(found), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-    dealt = home.unionByName(moving).repartition("key", "cell").sortWithinPartitions("key", "cell", "moving")
+    parts = int(large.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much to compute: not to be coalesced
+    dealt = home.unionByName(moving).repartition(parts, "key", "cell").sortWithinPartitions("key", "cell", "moving", F.size("sketch"))
     return dealt.mapInArrow(compared, "a long, b long").distinct()
 
 
+def _near_in_cell(rows: list, home: list, per_root: int | None) -> Iterator[np.ndarray]:
+    """Pairs of rows with home rows of another root, of sizes that may link and sketches near enough, as (smaller id, larger id)."""
+    step = max(1, (1 << 22) // (len(home[0]) * home[3].shape[1]))
+    for at in range(0, len(rows[0]), step):
+        ids, sizes, roots, sketches = (x[at : at + step] for x in rows)
+        their_ids, their_sizes, their_roots, theirs = home
+        if theirs.shape[1] > sketches.shape[1]:
+            theirs = halved(theirs)
+        elif theirs.shape[1] < sketches.shape[1]:
+            sketches = halved(sketches)
+        n, m = sizes[:, None], their_sizes[None, :]
+        r, c = np.nonzero((roots[:, None] != their_roots) & (10 * np.minimum(n, m) >= 8 * np.maximum(n, m)))
+        apart = np.bitwise_count(sketches[r] ^ theirs[c]).sum(1, dtype=np.int64)
+        near = 9 * apart <= sizes[r] + their_sizes[c]
+        r, c, apart = r[near], c[near], apart[near]
+        if per_root is not None and len(r):
+            order = np.lexsort((apart, their_roots[c], r))
+            r, c = r[order], c[order]
+            begins = np.r_[True, (r[1:] != r[:-1]) | (their_roots[c][1:] != their_roots[c][:-1])]
+            rank = np.arange(len(r)) - np.flatnonzero(begins)[np.cumsum(begins) - 1]
+            r, c = r[rank < per_root], c[rank < per_root]
+        if len(r):
+            yield np.stack([np.minimum(ids[r], their_ids[c]), np.maximum(ids[r], their_ids[c])], 1)
+
+
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, component) of every row; component is a node's id, null for an empty set.
 
