@@ -42,11 +42,11 @@ from tessera.llm.tables import narrow, release, stored
 from tessera.llm.words import SPACE_SPLIT, U64, bytes_of, mix, ngram_hashes, row_slices, split_words
 
 SHINGLE = 5
-#: Slots of the count of blocks; a fixed 2 MB for any corpus. It only orders blocks.
-SLOTS, CHUNKS = 1 << 18, 64
+#: Slots of the count of blocks; a fixed 8 MB for any corpus. It only orders blocks.
+SLOTS, CHUNKS = 1 << 20, 64
 NARROW_BITS = 2048
 #: Rows of a bucket that are paired with those before them in order of size.
-REACH = 8
+REACH = 3
 #: Rows of a bucket, by the count, above which it is dealt over several tasks.
 HOT = 4096
 CELL = 512
@@ -367,7 +367,8 @@ def _linked(near: DataFrame, sets: DataFrame, percent: int, labels: DataFrame |
 def _across(large: DataFrame, sets: DataFrame, labels: DataFrame | None, per_root: int | None) -> DataFrame:
     """Pairs (a, b) from large buckets (key, id, n) whose ends are in different components and pass the narrow sketch.
 
-    With per_root, only the nearest so many in a cell for each row and other component.
+    With per_root, only the nearest so many in a cell for each row and other component; a bucket from which pairs were
+    left out so is named in a row of its own, (key, null).
     """
     if labels is None:
         rows = large.withColumn("root", F.col("id"))
@@ -392,7 +393,7 @@ def _across(large: DataFrame, sets: DataFrame, labels: DataFrame | None, per_roo
             width = np.diff(places)
             change = (np.diff(key) != 0) | (np.diff(cell) != 0) | (np.diff(moving) != 0) | (np.diff(width) != 0)
             edges = np.r_[0, np.flatnonzero(change) + 1, len(key)]
-            found = []
+            found, left_out = [], []
             for low, high in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 if high == low:
                     continue
@@ -400,20 +401,26 @@ def _across(large: DataFrame, sets: DataFrame, labels: DataFrame | None, per_roo
                     here, held = (key[low], cell[low]), {}
                 rows = [*(c[low:high] for c in rest), bits[places[low] : places[high]].reshape(high - low, width[low])]
                 if moving[low]:
-                    found += [p for size, home in held.items() if size in (width[low] // 2, width[low], width[low] * 2) for p in _near_in_cell(rows, home, per_root)]
+                    cut: list[bool] = []
+                    found += [p for size, home in held.items() if size in (width[low] // 2, width[low], width[low] * 2) for p in _near_in_cell(rows, home, per_root, cut)]
+                    if any(cut):
+                        left_out.append(int(key[low]))
                 else:
                     size = int(width[low])
                     held[size] = [np.concatenate(x) for x in zip(held[size], rows, strict=True)] if size in held else rows
             if found:
                 pairs = np.unique(np.concatenate(found), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+            if left_out:
+                keys = sorted(set(left_out))
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.nulls(len(keys), pa.int64())], ["a", "b"])
 
     parts = int(large.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much to compute: not to be coalesced
     dealt = home.unionByName(moving).repartition(parts, "key", "cell").sortWithinPartitions("key", "cell", "moving", F.size("sketch"))
     return dealt.mapInArrow(compared, "a long, b long").distinct()
 
 
-def _near_in_cell(rows: list, home: list, per_root: int | None) -> Iterator[np.ndarray]:
+def _near_in_cell(rows: list, home: list, per_root: int | None, cut: list[bool]) -> Iterator[np.ndarray]:
     """Pairs of rows with home rows of another root, of sizes that may link and sketches near enough, as (smaller id, larger id)."""
     step = max(1, (1 << 22) // (len(home[0]) * home[3].shape[1]))
     for at in range(0, len(rows[0]), step):
@@ -433,11 +440,23 @@ def _near_in_cell(rows: list, home: list, per_root: int | None) -> Iterator[np.n
             r, c = r[order], c[order]
             begins = np.r_[True, (r[1:] != r[:-1]) | (their_roots[c][1:] != their_roots[c][:-1])]
             rank = np.arange(len(r)) - np.flatnonzero(begins)[np.cumsum(begins) - 1]
+            cut.append(bool((rank >= per_root).any()))
             r, c = r[rank < per_root], c[rank < per_root]
         if len(r):
             yield np.stack([np.minimum(ids[r], their_ids[c]), np.maximum(ids[r], their_ids[c])], 1)
 
 
+def _distinct_buckets(large: DataFrame) -> DataFrame:
+    """One bucket of those with the same members: a passage that documents share makes many buckets of just these.
+
+    Members are told by two sums of hashes of their ids and their number.
+    """
+    members = large.distinct()
+    sign = [F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("x"), F.count("*").alias("m")]
+    kept = members.groupBy("key").agg(*sign).groupBy("s", "x", "m").agg(F.min("key").alias("key")).select("key")
+    return stored(members.join(kept, "key", "left_semi"), "large")
+
+
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, component) of every row; component is a node's id, null for an empty set.
 
@@ -453,12 +472,16 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     met = stored(rows.mapInArrow(_near_pairs, "x long, y long, n long"), "met")
     release(docs.sparkSession)
     pairs = stored(met.where("n = 0").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "pairs")
-    large = met.where("n > 0").select(F.col("x").alias("key"), F.col("y").alias("id"), "n")
+    large = _distinct_buckets(met.where("n > 0").select(F.col("x").alias("key"), F.col("y").alias("id"), "n"))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(large.select("id")).distinct()
     sets = _sets(texts, wanted.join(groups.select("id", "least"), "id"))
     labels = _linked(_near(pairs, sets, percent), sets, percent, None)
-    for per_root in (4, None):
-        labels = _linked(_near(_across(large, sets, labels, per_root), sets, percent), sets, percent, labels)
+    first = stored(_across(large, sets, labels, 4), "across")
+    labels = _linked(_near(first.where("b is not null"), sets, percent), sets, percent, labels)
+    left_out = first.where("b is null").select(F.col("a").alias("key"))
+    if not left_out.isEmpty():
+        rest = large.join(left_out, "key", "left_semi")
+        labels = _linked(_near(_across(rest, sets, labels, None), sets, percent), sets, percent, labels)
     if labels is None:
         labels = groups.select("id", F.col("id").alias("root")).limit(0)
     groups = groups.join(labels, "id", "left").select("id", "rest", "least", F.coalesce("root", "id").alias("component"))
