@@ -135,13 +135,21 @@ def _nodes_and_counts(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
         counts = np.zeros(SLOTS, np.uint32)
         kinds = [pa.int64()] * 4 + [pa.int32(), pa.binary()]
         names = ["doc_id", "n", "id", "rest", "chunk", "counts"]
+
+        def add(keys: list[np.ndarray]) -> None:
+            if keys:
+                at, n = np.unique(np.concatenate(keys), return_counts=True)
+                counts[at] += n.astype(np.uint32)
+
         for batch in batches:
             rows, keys = [], []
             for s in shingle_sets(batch.column("text")):
                 rows.append((len(s), *(node(s) if len(s) else (None, None))))
-                keys += [blocks(s, level) for level in levels(len(s))]
-            if keys:
-                counts += np.bincount((np.concatenate(keys) & U64(SLOTS - 1)).astype(np.int64), minlength=SLOTS).astype(np.uint32)
+                keys += [(blocks(s, level) & U64(SLOTS - 1)).astype(np.uint32) for level in levels(len(s))]
+                if len(keys) > 2000:
+                    add(keys)
+                    keys = []
+            add(keys)
             if rows:
                 own = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *own, pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), pa.binary())], names)
@@ -278,7 +286,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["id", "n", "sketch", "text"])
 
-        for batch in batches:
+        for batch in (whole.slice(k, 1000) for whole in batches for k in range(0, len(whole), 1000)):
             rows: list[tuple] = []
             mask = U64(len(passes.value) - 1)
             docs_at, _ = _slots(np.zeros(len(batch), np.int64), batch.column("doc_id"))
@@ -422,7 +430,7 @@ def _across(large: DataFrame, sets: DataFrame, labels: DataFrame | None, per_roo
 
 def _near_in_cell(rows: list, home: list, per_root: int | None, cut: list[bool]) -> Iterator[np.ndarray]:
     """Pairs of rows with home rows of another root, of sizes that may link and sketches near enough, as (smaller id, larger id)."""
-    step = max(1, (1 << 22) // (len(home[0]) * home[3].shape[1]))
+    step = max(1, (1 << 20) // (len(home[0]) * home[3].shape[1]))
     for at in range(0, len(rows[0]), step):
         ids, sizes, roots, sketches = (x[at : at + step] for x in rows)
         their_ids, their_sizes, their_roots, theirs = home
