@@ -162,7 +162,10 @@ def _nodes_and_counts(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
 
 
 def _bucket_rows(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """(key, part, n, id): the first blocks of each set. Within a task, equal sets give theirs once."""
+    """(key, part, n, id): the first blocks of each set. Within a task, equal sets give theirs once.
+
+    Parts of a bucket that is dealt count from 1; 0 is a bucket in one part.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(counts)
     hot = max(HOT, 4 * int(counts.sum()) // SLOTS)
 
@@ -179,7 +182,7 @@ def _bucket_rows(docs: DataFrame, counts: np.ndarray) -> DataFrame:
                             break
                         met.add(me)
                     keys, seen = first_blocks(s, level, sent.value)
-                    parts = np.where(seen > hot, me[0] % (seen // hot + 1), 0)
+                    parts = np.where(seen > hot, 1 + me[0] % (seen // hot + 1), 0)
                     rows.append((keys, parts, len(s), me[0]))
                     held += len(keys)
                 if held > 200_000:
@@ -198,7 +201,7 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _near_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From bucket rows in order: pairs (x, y, n = 0) of near neighbours and leaders; and (key, id, n) of rows of large buckets."""
+    """From bucket rows in order: pairs (x, y, n = 0) of near neighbours and leaders; and (key, id, n) of rows of large and of dealt buckets."""
     keep = [np.zeros(0, np.int64)] * 4
 
     def made(key: np.ndarray, part: np.ndarray, n: np.ndarray, i: np.ndarray) -> pa.RecordBatch:

@@ -91,6 +91,29 @@ def test_large_groups(spark, hot, monkeypatch):
     assert run(spark, rows) == slow(rows)
 
 
+def test_hot_copies_and_few_near_ones(spark, monkeypatch):
+    """More than HOT copies deal their buckets over two parts of few nodes each, whose ends still meet."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(parity_join, "HOT", 8)
+    rng = random.Random(6)
+    rows, mixed = [], set()
+    for near in (1, 2, 3, 4):
+        for parity in (0, 1) * 3:
+            base = [f"g{len(rows)}x{k}" for k in range(60)]
+            texts = [" ".join(base)]
+            even = parity_join.node(next(shingle_sets(pa.array(texts))))[0] % 2
+            while len(texts) <= near:
+                other = list(base)
+                other[rng.randrange(60)] = f"n{rng.randrange(10**9)}"
+                if (parity_join.node(next(shingle_sets(pa.array([" ".join(other)]))))[0] + even) % 2 == parity:
+                    texts.append(" ".join(other))
+            mixed.add((even, parity))
+            rows += [(len(rows) + k, t) for k, t in enumerate([texts[0]] * 10 + texts[1:])]
+    assert len(mixed) == 4
+    assert run(spark, rows) == slow(rows)
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert link(docs).count() == 0
