@@ -1,15 +1,22 @@
-"""Choices within small groups: diverse picks and average-linkage clusters of a topic's candidates."""
+"""Choices within groups: diverse picks of a topic's candidates and average-linkage clusters of all its rows."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Candidates of a topic that are looked at, and picked, at most: the operator's own bounds.
+from tessera.sources.tables import stored
+
+#: Candidates of a topic that are looked at for its picks, and picked, at most: the operator's own bounds.
 CANDIDATES, PICKS = 60, 10
+#: Clusters of a topic up to which one task goes on with them, and that meet in a block before that.
+LOCAL, BLOCK = 4096, 4096
 
 
 def best_candidates(rows: DataFrame, limit: int = CANDIDATES) -> DataFrame:
@@ -66,11 +73,130 @@ def linkage(vectors: np.ndarray, threshold: float) -> np.ndarray:
     return out
 
 
-def clusters(rows: DataFrame, threshold: float = 0.6) -> DataFrame:
-    """(topic, id, cluster) of each topic's best candidates."""
+def chained(total: np.ndarray, n: np.ndarray, threshold: float) -> np.ndarray:
+    """The root of each cluster by average linkage, from sums of vectors of length one and counts; memory follows the rows.
+
+    The average similarity of two clusters is the product of their mean vectors. Chains of nearest clusters merge mutual
+    nearest ones, which gives the clusters of taking the nearest pair first; one with none within the threshold is final.
+    """
+    mean, n = total / n[:, None], n.astype(float)
+    at = np.arange(len(n))  # of the rows that are left
+    root = np.arange(len(n))
+    live = np.ones(len(n), bool)
+    chain: list[int] = []
+    start = 0
+    while True:
+        if not chain:
+            start += int(np.argmax(live[start:]))
+            if not live[start]:
+                return _tops(root)
+            chain = [start]
+        top = chain[-1]
+        like = mean @ mean[top]
+        like[~live] = -np.inf
+        like[top] = -np.inf
+        near = int(np.argmax(like))
+        if len(chain) > 1 and like[chain[-2]] >= like[near] - 1e-12:
+            near = chain[-2]
+        if not 1 - like[near] < threshold:
+            live[top] = False
+            chain = []
+        elif len(chain) > 1 and near == chain[-2]:
+            chain = chain[:-2]
+            keep, gone = sorted((top, near))
+            mean[keep] = (n[keep] * mean[keep] + n[gone] * mean[gone]) / (n[keep] + n[gone])
+            n[keep] += n[gone]
+            live[gone] = False
+            root[at[gone]] = at[keep]
+        else:
+            chain.append(near)
+        if not chain and 2 * live.sum() < len(live):
+            mean, n, at, start = mean[live], n[live], at[live], 0
+            live = np.ones(len(n), bool)
+            if not len(n):
+                return _tops(root)
+
+
+def _tops(root: np.ndarray) -> np.ndarray:
+    while (root[root] != root).any():
+        root = root[root]
+    return root
+
+
+def _nearest(live: DataFrame) -> DataFrame:
+    """(topic, a, b, apart, node): each cluster's nearest, a < b, by blocks of a topic's clusters that all of its clusters pass."""
+    blocks = live.groupBy("topic").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    rows = live.join(blocks, "topic").select("topic", "node", F.transform("total", lambda x: x / F.col("n")).alias("mean"), "blocks")
+    home = rows.select("topic", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("moving"), "node", "mean")
+    moving = rows.select("topic", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("moving"), "node", "mean")
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here: tuple | None = None
+        nodes, means = [], []  # at home in the block
+        for batch in (whole.slice(k, 256) for whole in batches for k in range(0, len(whole), 256)):
+            topic, block, moving, node = (batch.column(c).to_numpy() for c in ("topic", "block", "moving", "node"))
+            mean = np.stack(batch.column("mean").to_numpy(zero_copy_only=False))
+            edges = np.r_[0, np.flatnonzero((np.diff(topic) != 0) | (np.diff(block) != 0) | (np.diff(moving) != 0)) + 1, len(topic)]
+            for low, high in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                if (topic[low], block[low]) != here:
+                    here, nodes, means = (topic[low], block[low]), [], []
+                if not moving[low]:
+                    nodes.append(node[low:high])
+                    means.append(mean[low:high])
+                    continue
+                if not nodes:
+                    continue
+                nodes, means = [np.concatenate(nodes)], [np.concatenate(means)]
+                mine = node[low:high]
+                apart = np.round(1 - mean[low:high] @ means[0].T, 12)  # the same from either side
+                apart[mine[:, None] == nodes[0]] = np.inf
+                best = apart.min(1)
+                # among equally near ones the pair of the smallest, then the largest node
+                other = np.where(apart == best[:, None], np.broadcast_to(nodes[0], apart.shape), np.iinfo(np.int64).max).min(1)
+                ok = np.isfinite(best)
+                columns = [topic[low:high], np.minimum(mine, other), np.maximum(mine, other), best, mine]
+                yield pa.RecordBatch.from_arrays([pa.array(c[ok]) for c in columns], ["topic", "a", "b", "apart", "node"])
+
+    dealt = home.unionByName(moving).repartition("topic", "block").sortWithinPartitions("topic", "block", "moving")
+    found = dealt.mapInArrow(compared, "topic long, a long, b long, apart double, node long")
+    return found.groupBy("topic", "node").agg(F.min(F.struct("apart", "a", "b")).alias("p")).select("topic", "p.a", "p.b", "p.apart", "node")
+
+
+def _round(live: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """The clusters that may still merge, after merging the mutual nearest, and the merged pairs (topic, a, b), b into a."""
+    near = stored(_nearest(live).where(F.col("apart") < threshold))
+    pairs = stored(near.groupBy("topic", "a", "b").count().where("count = 2").select("topic", "a", "b"))
+    side = lambda c: live.select("topic", F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("total").alias(f"t{c}"))
+    both = pairs.join(side("a"), ["topic", "a"]).join(side("b"), ["topic", "b"])
+    merged = both.select("topic", F.col("a").alias("node"), (F.col("na") + F.col("nb")).alias("n"), F.zip_with("ta", "tb", lambda x, y: x + y).alias("total"))
+    ends = pairs.select("topic", F.explode(F.array("a", "b")).alias("node"))
+    rest = live.join(near.select("topic", "node"), ["topic", "node"], "left_semi").join(ends, ["topic", "node"], "left_anti")
+    return stored(rest.unionByName(merged)), pairs
 
-    def cluster(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("id")
-        return pd.DataFrame({"topic": group["topic"], "id": group["id"], "cluster": linkage(np.stack(group["vector"].to_numpy()), threshold).astype("int32")})
 
-    return best_candidates(rows).groupBy("topic").applyInPandas(cluster, "topic long, id long, cluster int")
+def clusters(rows: DataFrame, threshold: float = 0.6) -> DataFrame:
+    """(topic, id, cluster) of all rows (topic, id, vector of length one): average linkage of cosine distances.
+
+    Equal vectors are one cluster from the start. Topics of more than LOCAL clusters merge mutual nearest ones in rounds of
+    block-wise comparisons; what is left of a topic after that is clustered within one task. Clusters are numbered by smallest id.
+    """
+    nodes = rows.select("topic", "id", "vector", F.xxhash64("vector").alias("node"))
+    first = nodes.groupBy("topic", "node").agg(F.count("*").alias("n"), F.any_value("vector").alias("vector"))
+    live = stored(first.select("topic", "node", "n", F.transform("vector", lambda x: x.cast("double") * F.col("n")).alias("total")))
+    labels = stored(live.select("topic", "node", F.col("node").alias("root")))
+    relabelled = lambda roots: labels.join(roots.select("topic", F.col("a").alias("to"), F.col("b").alias("root")), ["topic", "root"], "left").select("topic", "node", F.coalesce("to", "root").alias("root"))
+    while not (large := stored(live.groupBy("topic").count().where(F.col("count") > LOCAL).select("topic"))).isEmpty():
+        left, pairs = _round(live.join(large, "topic", "left_semi"), threshold)
+        live = stored(live.join(large, "topic", "left_anti").unionByName(left if not pairs.isEmpty() else left.limit(0)))
+        labels = stored(relabelled(pairs))
+
+    def finish(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("node", ignore_index=True)
+        roots = chained(np.stack(group["total"].to_numpy()), group["n"].to_numpy(), threshold)
+        return pd.DataFrame({"topic": group["topic"], "a": group["node"].to_numpy()[roots], "b": group["node"]})
+
+    labels = stored(relabelled(live.groupBy("topic").applyInPandas(finish, "topic long, a long, b long")))
+    rooted = stored(nodes.select("topic", "id", "node").join(labels, ["topic", "node"]).select("topic", "id", "root"))
+    number = F.row_number().over(Window.partitionBy("topic").orderBy("least", "root")) - 1  # over a topic's clusters
+    numbers = rooted.groupBy("topic", "root").agg(F.min("id").alias("least")).select("topic", "root", number.alias("cluster"))
+    return rooted.join(numbers, ["topic", "root"]).select("topic", "id", "cluster")

@@ -65,7 +65,7 @@ def diverse_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def average_linkage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clusters of each label's best candidates."""
+    """Clusters of all vectors of each label."""
     return clusters(embedding_candidates(spark, sf_dir), threshold=0.9)
 
 

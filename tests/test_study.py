@@ -5,7 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions.answers import judge, parse
+from tessera.operators import diverse
 from tessera.operators.diverse import diverse_pick, greedy, linkage
+from tessera.plans.study import average_linkage
 from tessera.streaming.review import fold, interval, review
 
 LINE = "<b><u>Ada Lovelace</u></b> [accept Ada King; or Countess of Lovelace; prompt on Ada; do not accept Byron (if given first)]"
@@ -42,6 +44,27 @@ def test_linkage_is_average():
     assert sorted(sorted(np.flatnonzero(got == c).tolist()) for c in set(got)) == sorted(map(sorted, groups))
 
 
+@pytest.mark.parametrize(("local", "block"), [(4096, 4096), (20, 16)])
+def test_all_rows_are_clustered(spark, tmp_path, monkeypatch, local, block):
+    """The registered query over labels of far more than 60 rows, copies included, against plain linkage."""
+    monkeypatch.setattr(diverse, "LOCAL", local)
+    monkeypatch.setattr(diverse, "BLOCK", block)
+    rng = np.random.default_rng(2)
+    rows = []
+    for label, n in enumerate((150, 1, 90)):
+        v = rng.normal(size=(n, 8))
+        v[n // 2 : n // 2 + n // 8] = v[0]
+        v = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
+        rows += [(1000 * label + int(i), x.tolist(), label) for i, x in zip(rng.permutation(n), v, strict=True)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3).write.parquet(str(tmp_path / "embeddings.parquet"))
+    want = []
+    for label in range(3):
+        own = sorted((i, x) for i, x, k in rows if k == label)
+        want += [(label, i, int(c)) for (i, _), c in zip(own, linkage(np.array([x for _, x in own]), 0.9), strict=True)]
+    got = sorted(tuple(r) for r in average_linkage(spark, str(tmp_path)).select("topic", "id", "cluster").collect())
+    assert got == want and len({r[2] for r in got if r[0] == 0}) > 3
+
+
 def test_picks(spark):
     rows = [(1, i, float(-i), [float(np.cos(i)), float(np.sin(i))]) for i in range(80)]
     df = spark.createDataFrame(rows, "topic long, id long, impact double, vector array<float>")
