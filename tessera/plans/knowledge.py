@@ -11,6 +11,9 @@ from tessera.operators.dictionary import find_phrases, longest_first
 from tessera.operators.graph import components
 from tessera.plans.corpus import table, words
 
+#: Words of the items, each per item, that are broadcast at most; more are joined by a shuffle.
+BROADCAST_WORDS = 50_000
+
 
 def centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean vector of each label, scaled to length one; sums are pre-aggregated per label and place."""
@@ -33,16 +36,19 @@ def medoid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten best documents for each benchmark item (a top-10 report) by BM25 over words in at most a twentieth of the documents."""
+    """The ten best documents for each benchmark item (a top-10 report) by BM25 over all of its words; words are counted within documents before they meet the items."""
     docs = table(spark, sf_dir, "documents").select("doc_id", words(F.col("text")).alias("w"))
     total = docs.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("mean"))
     queries = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.array_distinct(words(F.col("text")))).alias("word"))
     wanted = queries.select("word").distinct()
-    tf = docs.select("doc_id", F.size("w").alias("len"), F.explode("w").alias("word")).join(wanted, "word", "left_semi").groupBy("doc_id", "len", "word").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("word").agg(F.count("*").alias("df")).join(F.broadcast(total), F.lit(True)).where("df <= n / 20")  # total is one row
+    sent = F.broadcast if queries.count() <= BROADCAST_WORDS else lambda side: side
+    # by document from here on: counts, weights and scores need no further shuffle where the items' words are broadcast
+    found = docs.select("doc_id", F.size("w").alias("len"), F.explode("w").alias("word")).join(sent(wanted), "word", "left_semi").repartition("doc_id")
+    tf = found.groupBy("doc_id", "len", "word").agg(F.count("*").alias("tf"))
+    df = tf.groupBy("word").agg(F.count("*").alias("df")).join(F.broadcast(total), F.lit(True))  # total is one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("len") / F.col("mean")))
-    scored = tf.join(df, "word").join(queries, "word").groupBy("item_id", "doc_id").agg(F.round(F.sum(weight), 6).alias("score"))
+    scored = tf.join(sent(queries.join(df, "word")), "word").groupBy("item_id", "doc_id").agg(F.round(F.sum(weight), 6).alias("score"))
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id"))).where("rank <= 10")
 
 
