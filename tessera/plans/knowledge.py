@@ -125,16 +125,22 @@ def snapshot_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lookalike_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of title words of at least 4 letters, one edit apart and neither within the other.
+    """Pairs of title words that look alike: one edit apart, two where one has 8 letters or more, and neither within the other.
 
-    Words one edit apart share the word or one of its forms with a letter left out, so they meet on those keys.
+    Words that many edits apart share a form with at most as many letters left out of either, so they meet on those keys. Of two
+    words two edits apart only one of 8 letters or more leaves out two: a shorter one is met by more letters left out of the other.
     """
     title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
     word = table(spark, sf_dir, "pages").select(F.explode(words(title)).alias("w")).where("length(w) >= 4").distinct()
-    shorter = F.transform(F.sequence(F.lit(1), F.length("w")), lambda i: F.concat(F.substr("w", F.lit(1), i - 1), F.substr("w", i + 1)))
-    keyed = word.select("w", F.explode(F.array_distinct(F.concat(F.array("w"), shorter))).alias("key"))
+    without = lambda w, i: F.concat(F.substr(w, F.lit(1), i - 1), F.substr(w, i + 1))
+    shorter = F.transform(F.sequence(F.lit(1), F.length("w")), lambda i: without(F.col("w"), i))
+    one = word.select("w", F.explode(F.array_distinct(F.concat(F.array("w"), shorter))).alias("key"))
+    # the second letter left out stands behind the first
+    pairs = F.transform(F.sequence(F.lit(1), F.length("w") - 1), lambda i: F.transform(F.sequence(i, F.length("w") - 1), lambda k: without(without(F.col("w"), i), k)))
+    two = word.where("length(w) >= 8").select("w", F.explode(pairs).alias("some")).select("w", F.explode("some").alias("key"))
+    keyed = one.unionByName(two).distinct()
     met = keyed.select(F.col("w").alias("a"), "key").join(keyed.select(F.col("w").alias("b"), "key"), "key").where("a < b").select("a", "b").distinct()
-    return met.where(is_lookalike(F.col("a"), F.col("b")) & (F.levenshtein("a", "b") == 1))
+    return met.where(is_lookalike(F.col("a"), F.col("b")))
 
 
 def exact_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
