@@ -9,40 +9,40 @@ import itertools
 import re
 from typing import NamedTuple
 
-# Label, words that are always in a match (one of each group is enough to try the rule), name pattern, and whether the
-# bare name is a sign of the license.
+# Label, words of which each match of the name holds one at least as a whole word (glued forms are words of their own), name
+# pattern, and whether the bare name is a sign of the license.
 NAMES: list[tuple[str, str, str, bool]] = [
     ("mit", "mit", "mit", False),
     ("mit-0", "mit", "mit (?:no attribution|0)", True),
     ("x11", "x11", "x11", False),
     ("apache-1.1", "apache", "apache(?: software)?(?: licen[sc]e)?(?: version)? 1 1", True),
-    ("apache-2", "apache", "apache(?: software)?(?: licen[sc]e)?(?: version| v)? ?v?2(?: 0)?", True),
+    ("apache-2", "apache apache2 apachev2", "apache(?: software)?(?: licen[sc]e)?(?: version| v)? ?v?2(?: 0)?", True),
     ("bsd-2-clause", "bsd freebsd", "(?:bsd 2 clause|2 clause bsd|two clause bsd|simplified bsd|freebsd)", True),
     ("bsd-3-clause", "bsd", "(?:bsd 3 clause|3 clause bsd|three clause bsd|new bsd|modified bsd|revised bsd)", True),
     ("bsd-4-clause", "bsd", "(?:bsd 4 clause|4 clause bsd|original bsd)", True),
     ("0bsd", "0bsd bsd", "(?:0bsd|zero clause bsd|bsd zero clause)", True),
     ("bsd", "bsd", "bsd", False),
     ("isc", "isc", "isc", False),
-    ("gpl-1", "gpl gplv1 gnu", "(?:gnu )?(?:general public licen[sc]e(?: version)?|gpl(?: version)?|gplv) ?v?1(?: 0)?", True),
-    ("gpl-2", "gpl gplv2 gnu", "(?:gnu )?(?:general public licen[sc]e(?: version)?|gpl(?: version)?|gplv) ?v?2(?: 0)?", True),
-    ("gpl-3", "gpl gplv3 gnu", "(?:gnu )?(?:general public licen[sc]e(?: version)?|gpl(?: version)?|gplv) ?v?3(?: 0)?", True),
+    ("gpl-1", "gpl gplv gpl1 gplv1 gplvv1 general", "(?:gnu )?(?:general public licen[sc]e(?: version)?|gpl(?: version)?|gplv) ?v?1(?: 0)?", True),
+    ("gpl-2", "gpl gplv gpl2 gplv2 gplvv2 general", "(?:gnu )?(?:general public licen[sc]e(?: version)?|gpl(?: version)?|gplv) ?v?2(?: 0)?", True),
+    ("gpl-3", "gpl gplv gpl3 gplv3 gplvv3 general", "(?:gnu )?(?:general public licen[sc]e(?: version)?|gpl(?: version)?|gplv) ?v?3(?: 0)?", True),
     ("gpl", "gpl gnu", "(?:gnu general public|gnu gpl|gpl)", False),
-    ("lgpl-2", "lgpl lgplv2 lesser library", "(?:gnu )?(?:(?:lesser|library) general public licen[sc]e(?: version)?|lgpl(?: version)?|lgplv) ?v?2(?: 0)?", True),
-    ("lgpl-2.1", "lgpl lgplv2 lesser", "(?:gnu )?(?:lesser general public licen[sc]e(?: version)?|lgpl(?: version)?|lgplv) ?v?2 1", True),
-    ("lgpl-3", "lgpl lgplv3 lesser", "(?:gnu )?(?:lesser general public licen[sc]e(?: version)?|lgpl(?: version)?|lgplv) ?v?3(?: 0)?", True),
+    ("lgpl-2", "lgpl lgplv lgpl2 lgplv2 lgplvv2 lesser library", "(?:gnu )?(?:(?:lesser|library) general public licen[sc]e(?: version)?|lgpl(?: version)?|lgplv) ?v?2(?: 0)?", True),
+    ("lgpl-2.1", "lgpl lgplv lgpl2 lgplv2 lgplvv2 lesser", "(?:gnu )?(?:lesser general public licen[sc]e(?: version)?|lgpl(?: version)?|lgplv) ?v?2 1", True),
+    ("lgpl-3", "lgpl lgplv lgpl3 lgplv3 lgplvv3 lesser", "(?:gnu )?(?:lesser general public licen[sc]e(?: version)?|lgpl(?: version)?|lgplv) ?v?3(?: 0)?", True),
     ("lgpl", "lgpl lesser", "(?:gnu lesser general public|gnu lgpl|lgpl)", False),
-    ("agpl-3", "agpl agplv3 affero", "(?:gnu )?(?:affero general public licen[sc]e(?: version)?|agpl(?: version)?|agplv) ?v?3(?: 0)?", True),
+    ("agpl-3", "agpl agplv agpl3 agplv3 agplvv3 affero", "(?:gnu )?(?:affero general public licen[sc]e(?: version)?|agpl(?: version)?|agplv) ?v?3(?: 0)?", True),
     ("agpl", "agpl affero", "(?:gnu affero general public|affero gpl|agpl)", False),
     ("gfdl", "gfdl documentation", "(?:gnu free documentation|gfdl)", False),
-    ("mpl-1.1", "mpl mozilla", "(?:mozilla public licen[sc]e(?: version)?|mpl(?: version)?) ?v?1 1", True),
-    ("mpl-2", "mpl mozilla", "(?:mozilla public licen[sc]e(?: version)?|mpl(?: version)?) ?v?2(?: 0)?", True),
+    ("mpl-1.1", "mpl mpl1 mplv1 mozilla", "(?:mozilla public licen[sc]e(?: version)?|mpl(?: version)?) ?v?1 1", True),
+    ("mpl-2", "mpl mpl2 mplv2 mozilla", "(?:mozilla public licen[sc]e(?: version)?|mpl(?: version)?) ?v?2(?: 0)?", True),
     ("mpl", "mpl mozilla", "(?:mozilla public|mpl)", False),
-    ("epl-1", "epl eclipse", "(?:eclipse public licen[sc]e(?: version)?|epl(?: version)?) ?v?1(?: 0)?", True),
-    ("epl-2", "epl eclipse", "(?:eclipse public licen[sc]e(?: version)?|epl(?: version)?) ?v?2(?: 0)?", True),
+    ("epl-1", "epl epl1 eplv1 eclipse", "(?:eclipse public licen[sc]e(?: version)?|epl(?: version)?) ?v?1(?: 0)?", True),
+    ("epl-2", "epl epl2 eplv2 eclipse", "(?:eclipse public licen[sc]e(?: version)?|epl(?: version)?) ?v?2(?: 0)?", True),
     ("epl", "epl eclipse", "(?:eclipse public|epl)", False),
-    ("eupl", "eupl", "(?:european union public|eupl)(?: v?1 [12])?", False),
+    ("eupl", "eupl european", "(?:european union public|eupl)(?: v?1 [12])?", False),
     ("cddl", "cddl development", "(?:common development and distribution|cddl)(?: v?1 [01])?", False),
-    ("cpl", "cpl", "(?:common public|cpl)(?: v?1 0)?", False),
+    ("cpl", "cpl common", "(?:common public|cpl)(?: v?1 0)?", False),
     ("cc0", "cc0 zero", "(?:cc0(?: 1 0)?|creative commons zero)", True),
     ("cc-by-nc-nd", "cc creative", "(?:cc by nc nd|creative commons attribution non ?commercial no ?deriv(?:ative)?s?)(?: [1-4] [0-9])?", True),
     ("cc-by-nc-sa", "cc creative", "(?:cc by nc sa|creative commons attribution non ?commercial share ?alike)(?: [1-4] [0-9])?", True),
@@ -55,24 +55,24 @@ NAMES: list[tuple[str, str, str, bool]] = [
     ("zlib", "zlib", "(?:zlib(?: libpng)?)", False),
     ("libpng", "libpng", "libpng", False),
     ("boost-1", "boost bsl", "(?:boost software(?: licen[sc]e)?(?: version)?(?: 1 0)?|bsl 1 0)", True),
-    ("artistic-1", "artistic", "artistic(?: licen[sc]e)?(?: version)? ?v?1(?: 0)?", True),
-    ("artistic-2", "artistic", "artistic(?: licen[sc]e)?(?: version)? ?v?2(?: 0)?", True),
-    ("python-2", "python psf", "(?:python software foundation|psf|python)(?: licen[sc]e)?(?: version)? ?v?2(?: 0)?", True),
-    ("php-3", "php", "php(?: licen[sc]e)?(?: version)? ?v?3(?: 0[01]?)?", False),
+    ("artistic-1", "artistic artistic1 artisticv1", "artistic(?: licen[sc]e)?(?: version)? ?v?1(?: 0)?", True),
+    ("artistic-2", "artistic artistic2 artisticv2", "artistic(?: licen[sc]e)?(?: version)? ?v?2(?: 0)?", True),
+    ("python-2", "python python2 pythonv2 psf psf2 psfv2", "(?:python software foundation|psf|python)(?: licen[sc]e)?(?: version)? ?v?2(?: 0)?", True),
+    ("php-3", "php php3 phpv3", "php(?: licen[sc]e)?(?: version)? ?v?3(?: 0[01]?)?", False),
     ("postgresql", "postgresql", "postgresql", False),
     ("openssl", "openssl", "openssl", False),
     ("ofl-1.1", "ofl sil", "(?:sil open font(?: licen[sc]e)?|ofl)(?: version)?(?: 1 1)?", True),
     ("ms-pl", "microsoft", "microsoft public", False),
     ("ms-rl", "microsoft", "microsoft reciprocal", False),
     ("odbl", "odbl database", "(?:open database|odbl)(?: v?1 0)?", False),
-    ("odc-by", "odc", "(?:open data commons attribution|odc by)(?: v?1 0)?", False),
-    ("pddl", "pddl", "(?:public domain dedication and|pddl)(?: v?1 0)?", False),
+    ("odc-by", "odc commons", "(?:open data commons attribution|odc by)(?: v?1 0)?", False),
+    ("pddl", "pddl dedication", "(?:public domain dedication and|pddl)(?: v?1 0)?", False),
     ("sspl", "sspl server", "(?:server side public|sspl)(?: v?1)?", False),
     ("busl-1.1", "busl business", "(?:business source(?: licen[sc]e)?(?: 1 1)?|busl 1 1)", True),
-    ("elastic-2", "elastic", "elastic(?: licen[sc]e)?(?: version)? ?v?2(?: 0)?", True),
+    ("elastic-2", "elastic elastic2 elasticv2", "elastic(?: licen[sc]e)?(?: version)? ?v?2(?: 0)?", True),
     ("openrail", "openrail rail", "(?:creativeml )?(?:open rail|openrail)(?: [mds]+)?", True),
     ("llama", "llama", "llama(?: [234])?(?: [0-9])? community", False),
-    ("ncsa", "ncsa", "(?:ncsa|university of illinois)(?: open source)?", False),
+    ("ncsa", "ncsa illinois", "(?:ncsa|university of illinois)(?: open source)?", False),
     ("cecill", "cecill", "cecill(?: [bc])?(?: v?[12](?: [01])?)?", True),
     ("mulan-2", "mulan", "mulan(?: permissive software)?(?: licen[sc]e)?(?: v?2)?", True),
     ("vim", "vim", "vim", False),
@@ -99,7 +99,7 @@ TEXTS: list[tuple[str, str, int, float, str]] = [
     ("lgpl", "redistribute", 1, 0.95, "you can redistribute it and or modify it under the terms of the gnu lesser general public licen[sc]e"),
     ("agpl", "redistribute", 1, 0.95, "you can redistribute it and or modify it under the terms of the gnu affero general public licen[sc]e"),
     ("zlib", "misrepresented", 1, 0.95, "the origin of this software must not be misrepresented"),
-    ("boost-1", "machine", 1, 0.95, "permission is hereby granted free of charge to any person or organization obtaining a copy of the software"),
+    ("boost-1", "organization", 1, 0.95, "permission is hereby granted free of charge to any person or organization obtaining a copy of the software"),
     ("unlicense", "unencumbered", 1, 0.97, "free and unencumbered software released into the public domain"),
     ("public-domain", "domain", 3, 0.8, "(?:released|placed|dedicated) (?:in|into|to) the public domain"),
     ("proprietary", "reserved", 5, 0.5, "all rights reserved"),

@@ -1,5 +1,8 @@
 """Base phrases against a plain search, rules on notices of our own, suppression, edge cases."""
 
+import itertools
+import re
+
 import pytest
 
 from tessera.llm import license_rules
@@ -38,6 +41,46 @@ def test_notices(spark, text, labels):
     assert (row.score > 0) == bool(labels or row.base)
 
 
+def strings(parsed):
+    """All strings of a pattern of literals, sets, groups and repeats, these at most twice."""
+    out = [""]
+    for kind, arg in parsed:
+        name = str(kind)
+        if name == "LITERAL":
+            some = [chr(arg)]
+        elif name == "IN":
+            some = [chr(v) for _, x in arg for v in (x if isinstance(x, tuple) else (x,))]  # the ends of a range
+        elif name == "BRANCH":
+            some = [x for part in arg[1] for x in strings(part)]
+        elif name == "SUBPATTERN":
+            some = strings(arg[-1])
+        elif name == "MAX_REPEAT":
+            one = strings(arg[2])
+            some = [x for n in range(arg[0], min(arg[1], 2) + 1) for x in map("".join, itertools.product(one, repeat=n))]
+        else:
+            assert name == "ASSERT"
+            continue
+        out = [a + b for a in out for b in some]
+    return out
+
+
+def test_gate_never_rejects_a_match():
+    """Scans with the words of a text and with all keywords agree on each string of each name and rule of its own."""
+    own = scanner()
+    every = {w for r in own.rules for w in r.keywords} | {b[1] for b in own.base}
+    texts = {x for _, _, name, _ in license_rules.NAMES for x in strings(re._parser.parse(name))}
+    texts |= {x for *_, text in license_rules.TEXTS for x in strings(re._parser.parse(text))}
+    assert len(texts) > 500 and {"apache2", "gpl2", "general public license version 2", "university of illinois"} <= texts
+    for text in sorted(texts):
+        line = f"{text} x license {text}"
+        gated = own.scan(line, set(line.split()) & every)
+        assert gated == own.scan(line, every), text
+        assert gated[1], text
+    for r in own.rules:  # also each rule alone, as another may hide it
+        for x in strings(re._parser.parse(r.pattern.pattern))[::7]:
+            assert r.keywords & set(x.split()), (r.label, x)
+
+
 def test_edges(spark):
     rows = found(spark, None, "", "cc by nc by nc cc by nc", "x " * 100_000 + "under the MIT license")
     assert [(r.n_words, len(r.base), r.score) for r in rows[:2]] == [(0, 0, 0.0)] * 2
