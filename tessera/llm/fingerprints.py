@@ -2,7 +2,7 @@
 
 A rolling polynomial hash of each K consecutive code points, of each WINDOW of hashes the smallest
 with the rightmost place among equals; hash and place are kept. Every shared run of K + WINDOW - 1
-code points gives two texts a common hash. A text shorter than K has one hash, of the whole text.
+code points (15) gives two texts a common hash. A text shorter than K has one hash, of the whole text.
 
 Neighbours in id order meet without a global sort in one task: ids are cut into ranges at approximate
 quantiles (any cuts give the same result), each range also receives the first row of the next one
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tessera.llm import winnow
 from tessera.llm.words import mix, powers
 
-K, WINDOW = 24, 41
+K, WINDOW = 8, 8
 U64 = np.uint64
 
 

@@ -108,6 +108,19 @@ def test_compare(spark):
     assert [(r.n_chars, r.near_next) for r in one] == [(0, 1.0)]
 
 
+def test_short_texts_keep_their_likeness(spark):
+    """Three quarters of a text of 20 to 99 code points are a run of 15 or more, which gives a common hash."""
+    rng = random.Random(3)
+    text = lambda n: "".join(chr(rng.randrange(97, 123)) for _ in range(n))
+    rows = [(i, text(20 + i % 80)) for i in range(800)]
+    got = fingerprints.compare(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert len(got) == 800 and all(r.near_edited > 0 for r in got)
+    assert 0.4 < sum(r.near_edited for r in got) / 800 < 0.75
+    for _ in range(300):  # any shared run of 15, wherever it is
+        run, a, b = text(15), text(rng.randrange(60)), text(rng.randrange(60))
+        assert fingerprints.likeness(*(fingerprints.fingerprint(fingerprints.points_of(x))[0] for x in (a + run, run + b))) > 0
+
+
 def test_oracle_op5(spark, sf_dir):
     import duckdb
 
