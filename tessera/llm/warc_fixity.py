@@ -1,18 +1,21 @@
 """Merkle fixity audit of WARC records held by two replicas.
 
 A record is serialised as a WARC/1.1 response; records of a file lie one behind the other, in order,
-which gives each an offset range. A record's leaf hash covers its range and its payload digest. Tree
-nodes hash their children's ranges in order, FANOUT children a node, so the root of a file stands for all its
-records and their places. An audit compares the roots of both replicas per file and goes down only where
-nodes differ, level by level; below an equal node nothing is read again.
+which gives each an offset range. A record's leaf hash covers its slot, length and digest. Tree nodes hash
+their children with the offset ranges that these take within the node, in order, FANOUT children a node: the root of a
+file stands for all its records and their offsets, and a record of another length changes the nodes above it and no
+other. An audit compares the roots of both replicas per file and goes down only where nodes differ, level by
+level; below an equal node nothing is read again.
 
 Both trees are stored level by level in the shared folder. A file holds RECORDS_PER_FILE consecutive
-record numbers, so a window over a file is bounded however many records there are; a node gathers at most
-FANOUT hashes.
+record numbers, one record each. Records without a number, and all but one (the least digest) of those that
+repeat a number with other contents, are dealt by their digests over 2**40 numbers below all others, so that no file,
+window or node grows with them.
 
 Defined results: a null url or html counts as empty and as different from nothing else; a record that one replica
-lacks is 'missing' or 'extra'; records of the same number in a file are ordered by content and audited as one
-slot each; empty tables have no roots and no findings; extra columns don't matter.
+lacks is 'missing' or 'extra'; equal records count as one with a number of copies; records without a number of their own
+are known by their content, so that an altered one is missing and extra; their file is the dealt one;
+empty tables have no roots and no findings; extra columns don't matter.
 """
 
 from __future__ import annotations
@@ -25,6 +28,8 @@ from tessera.llm.tables import stored
 
 FANOUT = 16
 RECORDS_PER_FILE = 4096
+#: Numbers below this one are dealt to records without a number of their own.
+DEALT = -(1 << 42)
 
 
 def record_bytes(page_id: Column, url: Column, html: Column) -> Column:
@@ -38,42 +43,49 @@ def record_bytes(page_id: Column, url: Column, html: Column) -> Column:
 
 
 def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(file, slot, page_id, length, digest): slot is the record's number in its file, then its rank among equals."""
+    """(file, place, slot, page_id, length, digest, copies): place is the number in its file; slot also tells those without their own."""
     page = F.col(f"`{id_col}`").cast("long")
     whole = record_bytes(page, F.col(f"`{url_col}`").cast("string"), F.col(f"`{html_col}`").cast("string"))
     rows = pages.select(page.alias("page_id"), F.octet_length(whole).cast("long").alias("length"), F.sha2(whole, 256).alias("digest"))
-    rows = rows.withColumn("file", F.floor(F.coalesce("page_id", F.lit(-1)) / RECORDS_PER_FILE).cast("long"))
-    # repeated rows meet first, so that a window holds distinct records
-    rows = rows.groupBy("file", "page_id", "length", "digest").agg(F.count("*").alias("copies"))
-    rank = F.row_number().over(Window.partitionBy("file", "page_id").orderBy("digest")).cast("long")
-    return rows.withColumn("slot", F.coalesce(F.pmod("page_id", F.lit(RECORDS_PER_FILE)), F.lit(-1)) * (1 << 20) + rank - 1)
+    rows = rows.groupBy("page_id", "length", "digest").agg(F.count("*").alias("copies"))
+    repeated = rows.where("page_id is not null").groupBy("page_id").agg(F.count("*").alias("m"), F.min("digest").alias("least")).where("m > 1").drop("m")
+    rows = rows.join(repeated, "page_id", "left")
+    own = F.col("page_id").isNotNull() & F.coalesce(F.col("digest") == F.col("least"), F.lit(True))
+    number = F.when(own, F.col("page_id")).otherwise(F.lit(DEALT) - F.pmod(F.xxhash64("digest"), F.lit(1 << 40)))
+    place = F.pmod(number, F.lit(RECORDS_PER_FILE))
+    slot = F.concat_ws(":", F.lpad(place.cast("string"), 4, "0"), F.when(~own, F.col("digest")))
+    return rows.select(F.floor(number / RECORDS_PER_FILE).cast("long").alias("file"), place.alias("place"), slot.alias("slot"), "page_id", "length", "digest", "copies")
 
 
 def leaves(recs: DataFrame) -> DataFrame:
-    """Records with their offset in the file and their leaf hash."""
+    """Records with their leaf hash and the bytes that they take."""
+    return recs.withColumns({"size": F.col("length") * F.col("copies"), "hash": F.sha2(F.concat_ws("|", "slot", "length", "copies", "digest"), 256)})
+
+
+def offsets(recs: DataFrame) -> DataFrame:
+    """Records with their offset in the file."""
     before = Window.partitionBy("file").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    placed = recs.withColumn("offset", F.coalesce(F.sum(F.col("length") * F.col("copies")).over(before), F.lit(0)).cast("long"))
-    return placed.withColumn("hash", F.sha2(F.concat_ws("|", "slot", "offset", "length", "copies", "digest"), 256))
+    return recs.withColumn("offset", F.coalesce(F.sum(F.col("length") * F.col("copies")).over(before), F.lit(0)).cast("long"))
 
 
 def tree(recs: DataFrame) -> DataFrame:
-    """All nodes (file, level, node, hash, first and last offset); level 0 are groups of leaves by slot, the last level is the root.
+    """All nodes (file, level, node, hash, size in bytes); level 0 are groups of leaves by slot, the last level is the root.
 
-    A node's number is the slot's page number divided by FANOUT for each level, so both replicas have
-    the same tree whatever they lack.
+    A node's number is the place in the file divided by FANOUT for each level, so both replicas have
+    the same tree whatever they lack. A child is hashed with its offset range in the node.
     """
-    placed = leaves(recs)
-    node = F.shiftright(F.greatest("slot", F.lit(0)), 20)
-    level = placed.select("file", F.lit(0).alias("level"), F.floor(node / FANOUT).cast("long").alias("node"), F.col("slot").alias("place"), "hash", F.col("offset").alias("first"), (F.col("offset") + F.col("length") * F.col("copies")).alias("last"))
+    level = leaves(recs).select("file", F.lit(0).alias("level"), F.floor(F.col("place") / FANOUT).cast("long").alias("node"), F.col("slot").alias("place"), "hash", "size")
     span, levels = FANOUT, []
+    begin = lambda k: F.aggregate(F.slice("children", F.lit(1), k), F.lit(0).cast("long"), lambda n, c: n + c["size"])
     while True:
-        gathered = level.groupBy("file", "level", "node").agg(F.array_sort(F.collect_list(F.struct("place", "hash"))).alias("children"), F.min("first").alias("first"), F.max("last").alias("last"))
-        nodes = stored(gathered.select("file", "level", "node", F.sha2(F.array_join(F.transform("children", lambda c: F.concat_ws(":", c["place"].cast("string"), c["hash"])), ","), 256).alias("hash"), "first", "last"), "tree")
+        gathered = level.groupBy("file", "level", "node").agg(F.array_sort(F.collect_list(F.struct("place", "hash", "size"))).alias("children"), F.sum("size").alias("size"))
+        ranges = F.transform("children", lambda c, k: F.concat_ws(":", c["place"].cast("string"), begin(k).cast("string"), (begin(k) + c["size"]).cast("string"), c["hash"]))
+        nodes = stored(gathered.select("file", "level", "node", F.sha2(F.array_join(ranges, ","), 256).alias("hash"), "size"), "tree")
         levels.append(nodes)
         if span >= RECORDS_PER_FILE:
             break
         span *= FANOUT
-        level = nodes.select("file", (F.col("level") + 1).alias("level"), F.floor(F.col("node") / FANOUT).cast("long").alias("node"), F.col("node").alias("place"), "hash", "first", "last")
+        level = nodes.select("file", (F.col("level") + 1).alias("level"), F.floor(F.col("node") / FANOUT).cast("long").alias("node"), F.col("node").alias("place"), "hash", "size")
     out = levels[0]
     for nodes in levels[1:]:
         out = out.unionByName(nodes)
@@ -102,9 +114,9 @@ def audit(pages: DataFrame, replica: DataFrame) -> DataFrame:
     at = None
     for level in range(top, -1, -1):
         at = differing(level, at)
-    node = F.floor(F.shiftright(F.greatest("slot", F.lit(0)), 20) / FANOUT).cast("long")
-    # offsets need a whole file, so only files with a difference are placed again
-    left = leaves(ours.join(at.select("file").distinct(), "file", "left_semi")).withColumn("node", node).join(at, ["file", "node"], "left_semi")
+    node = F.floor(F.col("place") / FANOUT).cast("long")
+    # offsets need a whole file, so only files with a difference are placed
+    left = offsets(ours.join(at.select("file").distinct(), "file", "left_semi")).withColumn("node", node).join(at, ["file", "node"], "left_semi")
     right = theirs.withColumn("node", node).join(at, ["file", "node"], "left_semi")
     x = left.select("file", "slot", "page_id", "offset", "length", "digest", F.col("copies").alias("n"))
     y = right.select("file", "slot", F.col("page_id").alias("their_id"), F.col("digest").alias("found_digest"), F.col("copies").alias("m"))
