@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import functools
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import license_rules
+from tessera.llm.tables import set_apart
 from tessera.llm.words import ALNUM_SPLIT, bytes_of, hash_word, row_slices, split_words
 
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -29,6 +31,24 @@ SPAN = pa.struct([("label", pa.string()), ("start", pa.int64()), ("end", pa.int6
 RESULT = "n_words long, base array<struct<label:string,start:long,end:long,confidence:double>>, found array<struct<label:string,start:long,end:long,confidence:double>>"
 
 
+class Intervals:
+    """Intervals of which none contains another; one within any of them isn't taken in."""
+
+    def __init__(self):
+        self.starts: list[int] = []
+        self.ends: list[int] = []  # ascending, as the starts are
+
+    def add(self, start: int, end: int) -> bool:
+        k = bisect_right(self.starts, start)
+        if k and self.ends[k - 1] >= end:
+            return False
+        # those that lie within the new one say nothing more
+        low = k - 1 if k and self.starts[k - 1] == start else k
+        high = bisect_right(self.ends, end)
+        self.starts[low : max(low, high)], self.ends[low : max(low, high)] = [start], [end]
+        return True
+
+
 class Scanner:
     def __init__(self):
         self.rules = license_rules.rules()
@@ -64,8 +84,9 @@ class Scanner:
             if rule.keywords & keywords:
                 hits += [(rule.priority, m.start() - m.end(), m.start(), rule.label, word_at(m.start()), word_at(m.end() + 1), rule.confidence) for m in rule.pattern.finditer(line)]
         found: list[tuple] = []
+        taken = Intervals()
         for _, _, _, label, a, b, confidence in sorted(hits):
-            if not any(x[1] <= a and b <= x[2] for x in found):
+            if taken.add(a, b):
                 found.append((label, a, b, confidence))
         return sorted(base, key=lambda x: x[1]), sorted(found, key=lambda x: x[1])
 
@@ -103,8 +124,6 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
         for texts in batches:
             yield _scanned(texts)
 
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("n_words", "base", "found", "score")]
-    out = docs.select(*kept, scanned(F.col(f"`{text_col}`").cast("string")).alias("_scan"))
-    out = out.select(*kept, "_scan.n_words", "_scan.base", "_scan.found")
-    left = F.aggregate(F.concat("base", "found"), F.lit(1.0), lambda x, d: x * (1.0 - d["confidence"]))
-    return out.withColumn("score", F.lit(1.0) - left)
+    apart, kept, text = set_apart(docs, text_col, ("n_words", "base", "found", "score"))
+    left = F.aggregate(F.concat("scan.base", "scan.found"), F.lit(1.0), lambda x, d: x * (1.0 - d["confidence"]))
+    return apart.withColumn("scan", scanned(text)).select(*kept, "scan.n_words", "scan.base", "scan.found", (F.lit(1.0) - left).alias("score"))

@@ -6,13 +6,15 @@ import gc
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share. Only where the session names none (as in tests) is one made."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not named:
         named = tempfile.mkdtemp(prefix="spark-shared-")
         spark.sparkContext.setCheckpointDir(named)
@@ -33,6 +35,15 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def set_apart(df: DataFrame, text_col: str, results: tuple[str, ...]) -> tuple[DataFrame, list[Column], Column]:
+    """The rows under numbered column names, which clash with none; their columns under the old names, but for
+    those that results replace; and the text."""
+    apart = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    taken = {r.lower() for r in results}
+    kept = [F.col(f"c{i}").alias(c) for i, c in enumerate(df.columns) if c.lower() not in taken]
+    return apart, kept, F.col(f"c{[c.lower() for c in df.columns].index(text_col.lower())}").cast("string")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -1,12 +1,14 @@
 """Base phrases against a plain search, rules on notices of our own, suppression, edge cases."""
 
 import itertools
+import random
 import re
+import time
 
 import pytest
 
 from tessera.llm import license_rules
-from tessera.llm.license_scan import LOWER, WORD, scan, scanner
+from tessera.llm.license_scan import LOWER, WORD, Intervals, scan, scanner
 from tessera.llm.queries import op4_license_scan
 
 
@@ -50,6 +52,8 @@ def strings(parsed):
             some = [chr(arg)]
         elif name == "IN":
             some = [chr(v) for _, x in arg for v in (x if isinstance(x, tuple) else (x,))]  # the ends of a range
+        elif name == "ANY":
+            some = ["x"]
         elif name == "BRANCH":
             some = [x for part in arg[1] for x in strings(part)]
         elif name == "SUBPATTERN":
@@ -110,3 +114,27 @@ def test_query(spark, sf_dir):
         assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1
         some += len(places)
     assert some
+
+
+def test_intervals_against_all_pairs():
+    rng = random.Random(4)
+    for _ in range(300):
+        taken, plain = Intervals(), []
+        for _ in range(40):
+            a = rng.randrange(30)
+            b = a + rng.randrange(1, 9)
+            free = not any(x <= a and b <= y for x, y in plain)
+            assert taken.add(a, b) == free
+            if free:
+                plain.append((a, b))
+
+
+def test_long_text_of_many_notices():
+    text = "licensed under the mit license, or the apache license version 2.0; spdx license identifier gpl 2; cc by nc 4.0. " * 9000  # about 1 MB
+    own = scanner()
+    keywords = {"mit", "apache", "gpl", "cc", "nc"}
+    short = own.scan(text[: len(text) // 10], keywords)
+    began = time.process_time()
+    base, found = own.scan(text, keywords)
+    assert len(base) == 10 * len(short[0]) and len(found) >= 9 * len(short[1])
+    assert time.process_time() - began < 20
