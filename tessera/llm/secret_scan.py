@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.tables import set_apart
 from tessera.llm.words import bytes_of, row_slices
 
 KINDS = ("assign", "access", "hex", "random")
@@ -211,12 +212,15 @@ def scan(docs: DataFrame, text_col: str = "text", share: float = FALSE_SHARE, al
             own = base_spans(text, bool(long_runs[k]))
             more = []
             if long_runs[k]:
+                at, reach = 0, 0  # base spans and tokens both come by start: the furthest end so far decides
                 for start, end, random, log_p in tokens(text, log_frequency):
-                    if random >= alpha and bin_of(log_p) >= least[band(end - start)] and not any(a <= start and end <= b for _, a, b in own):
+                    while at < len(own) and own[at][1] <= start:
+                        reach, at = max(reach, own[at][2]), at + 1
+                    if end > reach and random >= alpha and bin_of(log_p) >= least[band(end - start)]:
                         more.append(("random", start, end))
             base.append([dict(zip(("kind", "start", "end"), s, strict=True)) for s in own])
             found.append([dict(zip(("kind", "start", "end"), s, strict=True)) for s in more])
         return pa.StructArray.from_arrays([pa.array(base, pa.list_(SPAN)), pa.array(found, pa.list_(SPAN))], ["base", "found"])
 
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("base", "found")]
-    return docs.select(*kept, scanned(F.col(f"`{text_col}`").cast("string")).alias("_scan")).select(*kept, "_scan.base", "_scan.found")
+    apart, kept, text = set_apart(docs, text_col, ("base", "found"))
+    return apart.withColumn("scan", scanned(text)).select(*kept, "scan.base", "scan.found")
