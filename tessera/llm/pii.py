@@ -4,7 +4,8 @@ Candidates are the matches of four base shapes (always kept if valid) and of wid
 numbers without a country code, identity numbers, account numbers, names behind a title, spelled-out
 addresses. Six labelers vote on each candidate (1 personal, -1 not, 0 no opinion): shape, validity,
 gazetteer, context before, context around, dummy values. Votes are counted per pattern over all
-documents: a table whose size is bounded by the numbers of kinds and vote patterns. On it,
+documents, with the size, the shape and a hash of the word before, which no labeler looks at: a table whose size is
+bounded by the numbers of kinds, vote patterns and these. On it,
 expectation-maximisation estimates every labeler's reliability without labels, and the posteriors
 train the span classifier, a logistic regression whose weights become a column expression. Wider
 candidates that it gives 0.5 or more and that touch no base span are added.
@@ -23,6 +24,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.tables import set_apart
+
 BASE_KINDS = ("email", "ip", "card", "phone")
 WIDE_KINDS = ("tel", "id", "account", "name", "address")
 KINDS = BASE_KINDS + WIDE_KINDS
@@ -44,18 +47,40 @@ WIDE = "|".join(
 #: A few characters that any match of WIDE holds: only such texts are searched.
 WIDE_HINT = r"[0-9]{3}\)?[ .-][0-9]{2}|[A-Z]{2}[0-9]{2} ?[A-Z0-9]|(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Señor|Señora|Monsieur|Madame)\.? |[\[(]dot[\])]"
 
-# Gazetteers: top-level domains, calling codes, first digits of card issuers, account countries, given names.
-DOMAINS = "com|org|net|edu|gov|io|info|de|fr|es|it|uk|nl|ch|at|be|eu|us|ca|br|mx|pl|se|no|fi|dk|pt|jp|cn|in|au|example"
-CALLING = "1|7|20|27|30|31|32|33|34|36|39|40|41|43|44|45|46|47|48|49|51|52|54|55|56|57|58|60|61|62|63|64|65|66|81|82|84|86|90|91|92|351|352|353|358|380|420|421"
+# Fixed values, gazetteers: top-level domains, calling codes, first digits of card issuers, account countries, given names.
+DOMAINS = (
+    "com|org|net|edu|gov|mil|int|info|biz|name|pro|coop|museum|io|ai|co|app|dev|tv|me|cc|ly|xyz|online|site|shop|store|blog|cloud|tech|email|example|test|"
+    "de|fr|es|it|uk|nl|ch|at|be|eu|us|ca|br|mx|pl|se|no|fi|dk|pt|jp|cn|in|au|nz|za|ru|ua|cz|sk|hu|ro|bg|gr|tr|ie|is|lu|li|ee|lv|lt|hr|si|rs|kr|tw|hk|sg|"
+    "my|th|vn|id|ph|pk|il|ae|sa|eg|ma|tn|ng|ke|ar|cl|pe|ve|uy|ec|bo|py|cr|cu|do|gt|hn|ni|pa|sv|cat|gal|bzh|eus"
+)
+CALLING = (
+    "1|7|2[07]|21[12368]|2[2-6][0-9]|29[01789]|3[0-469]|35[0-9]|37[0-8]|38[0-3579]|4[013-9]|42[013]|5[1-8]|50[0-9]|59[0-9]|6[0-6]|67[02-9]|68[0-35-9]|69[0-2]|"
+    "800|808|8[1246]|85[02356]|87[08]|88[0-368]|9[0-58]|96[0-8]|97[0-79]|99[2-689]"
+)
 ISSUERS = "4|5[1-5]|2[2-7]|3[47]|30|36|38|6011|65|35"
-COUNTRIES = "AT|BE|CH|CZ|DE|DK|ES|FI|FR|GB|GR|HU|IE|IT|LU|NL|NO|PL|PT|RO|SE"
-NAMES = "James|Mary|John|Anna|Robert|Maria|David|Laura|Peter|Paul|Hans|Klaus|Jürgen|Monika|Ursula|Jean|Pierre|Marie|Claire|Luc|José|Juan|Carmen|Ana|Luis|Pablo|Thomas|Michael|Sarah|Emma|Karl|Eva"
+COUNTRIES = (
+    "AD|AE|AL|AT|AZ|BA|BE|BG|BH|BR|BY|CH|CR|CY|CZ|DE|DK|DO|EE|EG|ES|FI|FO|FR|GB|GE|GI|GL|GR|GT|HR|HU|IE|IL|IQ|IS|IT|JO|KW|KZ|LB|LC|LI|LT|LU|LV|LY|MC|MD|ME|MK|"
+    "MR|MT|MU|NL|NO|PK|PL|PS|PT|QA|RO|RS|SA|SC|SE|SI|SK|SM|ST|SV|TL|TN|TR|UA|VA|VG|XK"
+)
+NAMES = (
+    "Adam|Adrian|Agnes|Alain|Albert|Alejandro|Alexander|Alice|Alicia|Amélie|Amy|Ana|Andrea|Andreas|Andrew|Angela|Anita|Ann|Anna|Anne|Antoine|Antonio|Arthur|Barbara|"
+    "Beatriz|Ben|Benjamin|Bernard|Bernd|Birgit|Brian|Brigitte|Bruno|Camille|Carl|Carlos|Carmen|Carol|Caroline|Catherine|Cécile|Charles|Charlotte|Chloé|Christian|"
+    "Christine|Christopher|Claire|Clara|Claude|Claudia|Cristina|Daniel|Daniela|David|Diana|Diego|Dieter|Dominique|Edward|Elena|Elisabeth|Elizabeth|Emily|Emma|Eric|"
+    "Ernst|Eva|Fernando|François|Françoise|Frank|Franz|Friedrich|Gabriel|Georg|George|Gerhard|Gisela|Grace|Günter|Hannah|Hans|Heike|Heinz|Helen|Helga|Henri|Henry|"
+    "Hugo|Ingrid|Isabel|Isabelle|Jack|Jacques|James|Jan|Jane|Javier|Jean|Jennifer|Jessica|Joachim|Johann|John|Jorge|José|Joseph|Juan|Julia|Julie|Jürgen|Karen|Karin|"
+    "Karl|Katharina|Kevin|Klaus|Laura|Léa|Lena|Linda|Lisa|Louis|Luc|Lucas|Lucía|Luis|Manfred|Manuel|Marc|Margaret|Maria|María|Marie|Mark|Markus|Martin|Mary|Matthew|"
+    "Michael|Michel|Miguel|Monika|Nancy|Nicolas|Olivier|Pablo|Patricia|Patrick|Paul|Paula|Pedro|Peter|Philippe|Pierre|Rafael|Rebecca|Renate|Richard|Robert|Rosa|Sabine|"
+    "Sandra|Sarah|Sofía|Sophie|Stefan|Susan|Susanne|Sylvie|Thomas|Ursula|Uwe|Werner|William|Wolfgang"
+)
 BEFORE_YES = r"(?i)(?:phone|tel|call|mobile|cell|fax|contact|mail|e-mail|write|reach|card|visa|credit|debit|ssn|social|security|passport|iban|account|konto|name|dear|cher|liebe[rs]?|estimad[oa]|regards|from|ip|host|address|adresse|teléfono|tarjeta|carte)[^\p{L}]{0,6}(?:\p{L}{1,12}[^\p{L}]{1,3})?$"
 BEFORE_NO = r"(?i)(?:version|ver|release|isbn|issn|page|pages|figure|fig|table|section|chapter|no|nr|order|invoice|part|serial|model|doi|pp|vol|#|\$|€|£|=)[^\p{L}]{0,3}$"
 
 LABELERS = ("shape", "valid", "gazetteer", "before", "around", "dummy")
 ROUNDS = 40
 WIDTH = 32
+#: Hashes of words before a candidate; one more stands for none.
+WORDS = 16
+CLUES = {"shape": 12, "word": WORDS + 1}
 
 
 def _matches(text: Column, pattern: str, gate: Column) -> tuple[Column, Column]:
@@ -160,15 +185,28 @@ def votes(c: Column, t: Column) -> dict[str, Column]:
 def _pattern(c: Column, t: Column) -> Column:
     """kind, votes and size of a candidate as one short string, the cell in which it is counted."""
     size = F.least(F.floor((c["end"] - c["start"]) / 8), F.lit(4)).cast("string")
-    return F.concat_ws(",", c["kind"], *[v.cast("string") for v in votes(c, t).values()], size)
+    return F.concat_ws(",", c["kind"], *[v.cast("string") for v in votes(c, t).values()], size, *[v.cast("string") for v in clues(c, t).values()])
+
+
+def clues(c: Column, t: Column) -> dict[str, Column]:
+    """What the classifier sees and no labeler does: the shape of the value, and a hash of the word before it."""
+    start, value = c["start"].cast("int"), c["value"]
+    before = F.substr(t, F.greatest(start - WIDTH + 1, F.lit(1)), F.least(start, F.lit(WIDTH)))
+    word = F.lower(F.regexp_extract(before, r"(\p{L}+)[^\p{L}]*$", 1))
+    return {
+        "shape": F.least(F.size(F.split(value, r"[ ().-]+")), F.lit(5)) * 2 + F.when(value.rlike("[0-9]"), 1).otherwise(0),
+        "word": F.when(word == "", WORDS).otherwise(F.pmod(F.hash(word), F.lit(WORDS))),
+    }
 
 
-Cell = tuple[str, tuple[int, ...], int]
+#: Kind, votes, size and clues of candidates.
+Cell = tuple
 
 
 def read_cell(pattern: str) -> Cell:
     kind, *rest = pattern.split(",")
-    return kind, tuple(map(int, rest[:-1])), int(rest[-1])
+    n = len(LABELERS)
+    return kind, tuple(map(int, rest[:n])), *map(int, rest[n:])
 
 
 def expectation_maximisation(cells: dict[Cell, int], rounds: int = ROUNDS) -> tuple[dict[Cell, float], list[dict]]:
@@ -178,11 +216,11 @@ def expectation_maximisation(cells: dict[Cell, int], rounds: int = ROUNDS) -> tu
     Reliabilities start at better than chance, which settles which class is which.
     """
     tables = [{y: {v: 0.6 if v == (1 if y else -1) else 0.2 for v in (-1, 0, 1)} for y in (0, 1)} for _ in LABELERS]
-    share = {kind: 0.5 for kind, _, _ in cells}
+    share = {c[0]: 0.5 for c in cells}
     posterior: dict[Cell, float] = {}
     for _ in range(rounds):
         for cell in cells:
-            kind, vote, _ = cell
+            kind, vote = cell[:2]
             odds = math.log(share[kind] / (1 - share[kind])) + sum(math.log(tables[j][1][v] / tables[j][0][v]) for j, v in enumerate(vote))
             posterior[cell] = 1 / (1 + math.exp(-max(-35.0, min(35.0, odds))))
         for kind in share:
@@ -199,8 +237,8 @@ def expectation_maximisation(cells: dict[Cell, int], rounds: int = ROUNDS) -> tu
 
 
 def train_classifier(cells: dict[Cell, int], posterior: dict[Cell, float], steps: int = 200, rate: float = 0.5, decay: float = 1e-3) -> dict[tuple, float]:
-    """Weights of a logistic regression on kind, votes and size, fitted to the posteriors; cells count by the root of their rows."""
-    of = lambda c: [("bias",), ("kind", c[0]), ("size", c[2]), *(("vote", j, v) for j, v in enumerate(c[1]) if v)]
+    """Weights of a logistic regression on kind, votes, size and clues, fitted to the posteriors; cells count by the root of their rows."""
+    of = lambda c: [("bias",), ("kind", c[0]), ("size", c[2]), *(("vote", j, v) for j, v in enumerate(c[1]) if v), *zip(CLUES, c[3:], strict=False)]
     weights: dict[tuple, float] = {}
     total = sum(math.sqrt(m) for m in cells.values()) or 1.0
     for _ in range(steps):
@@ -224,11 +262,13 @@ def _probability(c: Column, t: Column, weights: dict[tuple, float]) -> Column:
         total = total + F.when(size == s, weights.get(("size", s), 0.0)).otherwise(0.0)
     for j, vote in enumerate(votes(c, t).values()):
         total = total + F.when(vote == 1, weights.get(("vote", j, 1), 0.0)).when(vote == -1, weights.get(("vote", j, -1), 0.0)).otherwise(0.0)
+    for name, clue in clues(c, t).items():
+        total = total + F.get(F.array(*[F.lit(weights.get((name, v), 0.0)) for v in range(CLUES[name])]), clue)
     return 1 / (1 + F.exp(-total))
 
 
 def count_patterns(docs: DataFrame, text_col: str = "text") -> dict[Cell, int]:
-    """How many candidates each pattern has, over all documents; at most kinds x 3**6 x 5 patterns."""
+    """How many candidates each pattern has, over all documents; at most kinds x 3**6 x 5 x 12 x 17 patterns, of which few occur."""
     found = candidates(docs.select(F.col(f"`{text_col}`").alias("text")))
     patterns = found.where(F.size("_c") > 0).select(F.explode(F.transform("_c", lambda c: _pattern(c, F.col("_t")))).alias("pattern"))
     return {read_cell(r.pattern): r.n for r in patterns.groupBy("pattern").agg(F.count("*").alias("n")).collect()}
@@ -239,8 +279,8 @@ def annotate(docs: DataFrame, text_col: str = "text", cells: dict[Cell, int] | N
     cells = count_patterns(docs, text_col) if cells is None else cells
     posterior, _ = expectation_maximisation(cells)
     weights = train_classifier(cells, posterior)
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("base", "found")]
-    with_all = candidates(docs, text_col).select(*kept, "_t", "_c")
+    apart, kept, text = set_apart(docs, text_col, ("base", "found"))
+    with_all = candidates(apart.withColumn("text", text)).drop("text")
     bare = lambda c: F.struct(*[c[n].alias(n) for n in ("kind", "start", "end", "value")])
     split = with_all.withColumns({"base": F.transform(F.filter("_c", lambda c: c["base"]), bare), "_w": F.filter("_c", lambda c: ~c["base"])})
     clear = lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
@@ -251,8 +291,9 @@ def annotate(docs: DataFrame, text_col: str = "text", cells: dict[Cell, int] | N
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents with every found span replaced by its kind in brackets; the columns are those of the input."""
-    marked = annotate(docs.withColumnsRenamed({"base": "_own_base", "found": "_own_found"}), text_col)
-    t = F.col(f"`{text_col}`").cast("string")
+    apart, kept, t = set_apart(docs, text_col, ())
+    at = [c.lower() for c in docs.columns].index(text_col.lower())
+    marked = annotate(apart, f"c{at}")
     kind = "struct<at:bigint,out:string>"
     piece = lambda a, b: F.substr(t, (a + 1).cast("int"), (b - a).cast("int"))
 
@@ -264,6 +305,5 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     spans = F.array_sort(F.transform(F.concat("base", "found"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     begin = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")).cast(kind)
     done = F.aggregate(spans, begin, step, lambda acc: F.concat(acc["out"], piece(acc["at"], F.length(t).cast("long"))))
-    text = F.when(F.size(F.concat("base", "found")) > 0, done).otherwise(F.col(f"`{text_col}`"))
-    named = [text.alias(c) if c == text_col else F.col({"base": "_own_base", "found": "_own_found"}.get(c, f"`{c}`")).alias(c) for c in docs.columns]
-    return marked.select(*named)
+    kept[at] = F.when(F.size(F.concat("base", "found")) > 0, done).otherwise(F.col(f"c{at}")).alias(docs.columns[at])
+    return marked.select(*kept)
