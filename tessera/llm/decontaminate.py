@@ -5,8 +5,8 @@ kept, so two texts that share K + WINDOW - 1 = 10 consecutive words share a kept
 documents are looked up among those of the items, and each hit is extended word by word both ways;
 what reaches 10 words counts. Items of fewer than 10 words are looked up whole, per length.
 
-The benchmark goes to the executors in blocks of at most BLOCK_BYTES of text: usually one. With more,
-each block gives a column of its own and spans are united per row. Documents are never shuffled.
+A benchmark of at most BLOCK_BYTES of text is collected and broadcast as an index, and documents aren't
+shuffled. A larger one is joined with the distinct texts by their kept grams, whatever its size.
 
 Defined results: null and empty texts have no words, no hits and no items; an item without words or
 without id never occurs; equal item ids count once; an empty benchmark marks nothing; repeated rows
@@ -19,17 +19,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import winnow
-from tessera.llm.words import ALNUM_SPLIT, bytes_of, ngram_hashes, row_slices, split_words
+from tessera.llm.tables import set_apart, stored
+from tessera.llm.words import ALNUM_SPLIT, U64, bytes_of, ngram_hashes, row_slices, split_words
 
 K, WINDOW = 5, 6
 SPAN = K + WINDOW - 1
-#: Bytes of benchmark text that are collected and broadcast at once.
+#: Bytes of benchmark text that are collected and broadcast at most.
 BLOCK_BYTES = 32 << 20
+#: Tasks over which the documents of one gram are dealt when grams are joined.
+SALTS = 8
+SPAN_KIND = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 RESULT = "n_words long, items array<long>, spans array<struct<start:long,end:long>>"
 
 
@@ -128,8 +131,7 @@ def _marked(texts: pa.Array, index: ItemIndex) -> pa.Array:
             got = found.get(row)
             items.append(sorted(got[0]) if got else [])
             spans.append([{"start": s, "end": e} for s, e in _united(got[1])] if got else [])
-    kind = pa.struct([("start", pa.int64()), ("end", pa.int64())])
-    return pa.StructArray.from_arrays([pa.array(n_words, pa.int64()), pa.array(items, pa.list_(pa.int64())), pa.array(spans, pa.list_(kind))], ["n_words", "items", "spans"])
+    return pa.StructArray.from_arrays([pa.array(n_words, pa.int64()), pa.array(items, pa.list_(pa.int64())), pa.array(spans, pa.list_(SPAN_KIND))], ["n_words", "items", "spans"])
 
 
 def _united(spans: set[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -142,37 +144,106 @@ def _united(spans: set[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
-def _blocks(items: DataFrame, block_bytes: int) -> Iterator[ItemIndex]:
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-size // block_bytes) or 1
-    for k in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        rows = part.collect()
-        yield ItemIndex([r.item_id for r in rows], [r.text for r in rows])
+def _indexed(texts: DataFrame, index: ItemIndex) -> DataFrame:
+    """The rows with what the index marks in each text; the index is broadcast."""
+    sent = texts.sparkSession.sparkContext.broadcast(index)
 
-
-def _marker(sent: Broadcast):
     @F.arrow_udf(RESULT)
     def marked(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
-            yield _marked(texts, sent.value)
-
-    return marked
+        for part in batches:
+            yield _marked(part, sent.value)
+
+    return texts.withColumn("marked", marked("text"))
+
+
+def _kept_grams(texts: DataFrame, key: str, lengths: list[int], whole: bool) -> DataFrame:
+    """(key, gram, salt): the kept grams of texts of SPAN words or more and grams of the given smaller lengths.
+
+    Of items (``whole``) a text of fewer words gives the one gram of all its words.
+    """
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = bytes_of(batch.column("text"))
+            for a, b in row_slices(offsets):
+                words = split_words(data, offsets[a : b + 1], ALNUM_SPLIT)
+                rows, grams = [], []
+                for k, (low, high) in enumerate(zip(words.first.tolist(), words.first[1:].tolist(), strict=False)):
+                    n, found = high - low, []
+                    if n >= SPAN:
+                        g = ngram_hashes(words.hash[low:high], K)
+                        found.append(g[winnow.kept(g, WINDOW)])
+                    for m in lengths:
+                        if n == m or n > m and not whole:
+                            found.append(ngram_hashes(words.hash[low:high], m) ^ U64(m))
+                    if found:
+                        grams.append(np.unique(np.concatenate(found)).view(np.int64))
+                        rows.append(np.full(len(grams[-1]), a + k))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(grams))], [key, "gram"])
+
+    grams = texts.select(key, "text").mapInArrow(emit, f"{key} string, gram long")
+    if whole:  # each item gram meets the documents' in SALTS tasks, as one gram may be in a third of all documents
+        return grams.withColumn("salt", F.explode(F.array(*[F.lit(k).cast("long") for k in range(SALTS)])))
+    return grams.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(SALTS)))
+
+
+def _joined(texts: DataFrame, items: DataFrame) -> DataFrame:
+    """(digest, items, spans) of the distinct texts (digest, text) in which an item occurs, by a join on fingerprints.
+
+    Candidate pairs are verified word by word, each item's index being made for its pair.
+    """
+    items = stored(items.select(F.sha2("text", 256).alias("item"), "item_id", "text"), "items")
+    once = items.select("item", "text").dropDuplicates(["item"])
+
+    def n_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = split_words(*bytes_of(batch.column("text")), ALNUM_SPLIT)
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.diff(words.first)).astype(np.int64))], ["n"])
+
+    lengths = sorted(r.n for r in once.select("text").mapInArrow(n_words, "n long").where(f"n between 1 and {SPAN - 1}").distinct().collect())
+    pairs = _kept_grams(texts, "digest", lengths, False).join(_kept_grams(once, "item", lengths, True), ["gram", "salt"]).select("digest", "item").distinct()
+    full = stored(pairs, "pairs").join(texts, "digest").join(once.withColumnRenamed("text", "sought"), "item")
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            indexes: dict[str, ItemIndex] = {}
+            found = []
+            for k, (item, sought) in enumerate(zip(batch.column("item").to_pylist(), batch.column("sought"), strict=True)):
+                if item not in indexes:
+                    indexes[item] = ItemIndex([0], [sought.as_py()])
+                found.append(_marked(batch.column("text").slice(k, 1), indexes[item]).field("spans")[0].as_py())
+            some = pa.array(np.flatnonzero([bool(f) for f in found]))
+            spans = pa.array([f for f in found if f], pa.list_(SPAN_KIND))
+            yield pa.RecordBatch.from_arrays([batch.column("digest").take(some), batch.column("item").take(some), spans], ["digest", "item", "spans"])
+
+    hits = full.select("digest", "item", "text", "sought").mapInArrow(verified, "digest string, item string, spans array<struct<start:long,end:long>>")
+    named = hits.join(items.select("item", "item_id"), "item")
+    return named.groupBy("digest").agg(F.sort_array(F.collect_set("item_id")).alias("items"), F.flatten(F.collect_set("spans")).alias("spans"))
+
+
+def _union(spans: str) -> Column:
+    @F.arrow_udf("array<struct<start:long,end:long>>")
+    def united(column: pa.Array) -> pa.Array:
+        return pa.array([[{"start": s, "end": e} for s, e in _united({(x["start"], x["end"]) for x in row or []})] for row in column.to_pylist()], pa.list_(SPAN_KIND))
+
+    return united(spans)
 
 
 def mark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents with n_words, n_hit, items (array of item ids) and spans (word ranges, [start, end), disjoint)."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).dropna()
-    context = docs.sparkSession.sparkContext
-    text = F.col(f"`{text_col}`").cast("string")
-    found = [_marker(context.broadcast(index))(text) for index in _blocks(items, block_bytes)]
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("n_words", "n_hit", "items", "spans")]
-    out = docs.select(*kept, *[f.alias(f"_block{i}") for i, f in enumerate(found)])
-    blocks = [f"_block{i}" for i in range(len(found))]
-    spans = F.col("_block0.spans")
-    if len(blocks) > 1:  # sorted by start; each adds what lies beyond the end so far
-        spans = F.array_sort(F.flatten(F.array(*[f"{b}.spans" for b in blocks])))
-        grow = lambda acc, x: F.when((F.size(acc) > 0) & (x["start"] <= F.element_at(acc, -1)["end"]), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(x["end"], F.element_at(acc, -1)["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(x)))
-        spans = F.aggregate(spans, F.array().cast("array<struct<start:bigint,end:bigint>>"), grow)
-    merged = out.select(*[F.col(f"`{c}`") for c in out.columns if c not in blocks], F.col("_block0.n_words").alias("n_words"), F.array_distinct(F.flatten(F.array(*[f"{b}.items" for b in blocks]))).alias("items"), spans.alias("spans"))
-    return merged.withColumn("n_hit", F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"]))
+    apart, kept, text = set_apart(docs, text_col, ("n_words", "n_hit", "items", "spans"))
+    apart = apart.withColumn("text", text)
+    size = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
+    if size <= block_bytes:
+        rows = items.collect()
+        found = _indexed(apart, ItemIndex([r.item_id for r in rows], [r.text for r in rows]))
+        n_words, own, spans = (F.col(f"marked.{c}") for c in ("n_words", "items", "spans"))
+    else:
+        found = _indexed(apart, ItemIndex([], [])).withColumn("digest", F.sha2("text", 256))
+        texts = stored(apart.where("text is not null").select(F.sha2("text", 256).alias("digest"), "text").dropDuplicates(["digest"]), "texts")
+        found = found.join(_joined(texts, items), "digest", "left")
+        n_words, own, spans = F.col("marked.n_words"), F.coalesce("items", F.array().cast("array<long>")), _union("spans")
+    made = found.select(*kept, n_words.alias("n_words"), own.alias("items"), spans.alias("spans"))
+    return made.withColumn("n_hit", F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"]))

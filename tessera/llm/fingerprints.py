@@ -4,9 +4,10 @@ A rolling polynomial hash of each K consecutive code points, of each WINDOW of h
 with the rightmost place among equals; hash and place are kept. Every shared run of K + WINDOW - 1
 code points (15) gives two texts a common hash. A text shorter than K has one hash, of the whole text.
 
-Neighbours in id order meet without a global sort in one task: ids are cut into ranges at approximate
-quantiles (any cuts give the same result), each range also receives the first row of the next one
-that has rows, and rows are sorted within their range.
+Neighbours in id order meet without a global sort in one task: rows are cut into ranges by id and the text's first
+code points, at places that Spark's range partitioner samples (any cuts give the same result), so that rows of one id or
+of null ids are cut, too. Each range is a task of its own; it also receives the first text of the next one that has rows,
+and rows are sorted within their range. The driver holds a short key for each range, MOST_RANGES at most.
 
 Defined results: null and empty texts have the fingerprint of the empty text; equal texts have equal
 fingerprints; rows with equal ids follow one another in order of text, null ids come first; an only
@@ -15,6 +16,7 @@ row is its own next; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +28,8 @@ from tessera.llm import winnow
 from tessera.llm.words import mix, powers
 
 K, WINDOW = 8, 8
+#: Ranges, and code points of a text that cut rows of equal ids.
+MOST_RANGES, TIE = 100_000, 24
 U64 = np.uint64
 
 
@@ -78,21 +82,30 @@ def fingerprint_column(text: Column) -> Column:
 def with_next(docs: DataFrame, rows_per_range: int = 4000) -> DataFrame:
     """Rows of (doc_id, text) sorted within id ranges, and rows with ``halo`` that only serve as the next of a range's last."""
     spark = docs.sparkSession
-    ranges = max(1, min(20_000, -(-docs.count() // rows_per_range)))
-    cuts = docs.select(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 20 * ranges)).first()[0] if ranges > 1 else []
-    cuts = np.unique(np.array(cuts or [], np.int64))
+    ranges = max(1, min(MOST_RANGES, -(-docs.count() // rows_per_range)))
+    order = F.coalesce("doc_id", F.lit(-(1 << 63))).alias("order")  # null before all others
+    tie = F.substring(F.coalesce("text", F.lit("")), 1, TIE).alias("tie")
+    least = F.min(F.struct("order", "tie"))
+    parts = docs.select(order, tie).repartitionByRange(ranges, "order", "tie").groupBy(F.spark_partition_id()).agg(least.alias("cut"))
+    cuts = sorted((r["cut"]["order"], r["cut"]["tie"]) for r in parts.collect())
+    ids = np.array([c[0] for c in cuts], np.int64)
 
     @F.arrow_udf("int")
-    def range_of(ids: pa.Array) -> pa.Array:
-        return pa.array(np.where(ids.is_null(), 0, np.searchsorted(cuts, ids.fill_null(0).to_numpy(zero_copy_only=False), "right")).astype(np.int32))
-
-    placed = docs.withColumns({"range": range_of("doc_id"), "halo": F.lit(False)})
-    first = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id")
-    firsts = placed.groupBy("range").agg(F.min(first).alias("first")).orderBy("range").collect()  # one row per range
-    # a range's first id also goes to the range before; the very first one to the last range
-    ends = spark.createDataFrame([(r["first"]["doc_id"], firsts[k - 1]["range"]) for k, r in enumerate(firsts)], "first_id long, to int")
-    halo = docs.join(F.broadcast(ends), docs["doc_id"].eqNullSafe(ends["first_id"])).select("doc_id", "text", F.col("to").alias("range"), F.lit(True).alias("halo"))
-    return placed.unionByName(halo).repartition(max(1, len(firsts)), "range").sortWithinPartitions("range", "halo", F.asc_nulls_first("doc_id"), F.asc_nulls_first("text"))
+    def range_of(orders: pa.Array, ties: pa.Array) -> pa.Array:
+        at = orders.to_numpy()
+        low, high = np.searchsorted(ids, at), np.searchsorted(ids, at, "right")
+        for k in np.flatnonzero(high > low).tolist():  # ids of cuts: the text's beginning decides
+            high[k] = bisect_right(cuts, (int(at[k]), ties[k].as_py()), int(low[k]), int(high[k]))
+        return pa.array(np.maximum(high - 1, 0).astype(np.int32))
+
+    placed = docs.select("doc_id", "text", range_of(order, tie).alias("range"), F.lit(False).alias("halo"), order, tie)
+    firsts = placed.groupBy("range").agg(least.alias("first")).orderBy("range").collect()  # one row per range
+    # a range's first text also goes to the range before; the very first one to the last range
+    ends = spark.createDataFrame([(r["first"]["order"], r["first"]["tie"], firsts[k - 1]["range"]) for k, r in enumerate(firsts)], "order long, tie string, to int")
+    same = docs.select("text", order, tie).join(F.broadcast(ends), ["order", "tie"])
+    halo = same.groupBy("to").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).select(F.lit(None).cast("long").alias("doc_id"), "text", F.col("to").alias("range"), F.lit(True).alias("halo"))
+    both = placed.drop("order", "tie").unionByName(halo)
+    return both.repartitionById(max(1, len(cuts)), F.col("range")).sortWithinPartitions("range", "halo", F.asc_nulls_first("doc_id"), F.asc_nulls_first("text"))
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:

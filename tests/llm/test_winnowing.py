@@ -133,3 +133,63 @@ def test_oracle_op5(spark, sf_dir):
     got = [tuple(r) for r in op5_decontaminate(spark, sf_dir).collect()]
     assert sorted(got) == sorted(want)
     assert hashlib.sha256(b"").hexdigest() in {r[4] for r in got}
+
+
+def test_mark_by_join_of_hot_and_long_texts(spark):
+    """A benchmark over the bound, a passage in most documents, a text of 1 MB and columns with clashing names."""
+    rng = random.Random(9)
+    text = lambda n: " ".join(f"w{rng.randrange(400)}" for _ in range(n))
+    items = [(i, text(rng.choice([3, 12, 25]))) for i in range(30)]
+    texts = [text(30) + " " + items[1][1] + " " + text(5) for _ in range(40)] + [None, "", text(150_000) + " " + items[2][1], items[3][1]] * 2
+    docs = spark.createDataFrame([(i, t, 1, 2, 3) for i, t in enumerate(texts)], ["doc_id", "text", "a.b", "_block0", "digest"]).repartition(4)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    near, far = (decontaminate.mark(docs, bench, block_bytes=b) for b in (1 << 20, 100))
+    assert near.columns == far.columns == ["doc_id", "text", "a.b", "_block0", "digest", "n_words", "items", "spans", "n_hit"]
+    results = [sorted((r.doc_id, r.n_words, r.n_hit, sorted(r["items"]), [tuple(s) for s in r.spans]) for r in x.collect()) for x in (near, far)]
+    assert results[0] == results[1] and sum(bool(r[3]) for r in results[0]) >= 44
+
+
+def test_query_of_op7_against_a_plain_version(spark, sf_dir):
+    """The whole query row by row: code points, digests of the edited texts, printed fingerprints and likenesses."""
+    from tessera.llm.queries import op7_fingerprints
+
+    rows = sorted((r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect())
+
+    def mixed(x):
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ x >> shift) * factor % 2**64
+        return x ^ x >> 31
+
+    def plain(text):
+        k = min(8, len(text))
+        base, grams = 0x9E3779B97F4A7C15, []
+        for i in range(len(text) - k + 1):
+            grams.append(mixed((sum((ord(c) + 1) * pow(base, j, 2**64) for j, c in enumerate(text[i : i + k])) + k) % 2**64))
+        at = slow_kept(grams, 8)
+        return ",".join(f"{grams[p] >> 32:08x}.{p - q:x}" for p, q in zip(at, [0, *at], strict=False)), {grams[p] >> 32 for p in at}
+
+    got = {r.doc_id: r for r in op7_fingerprints(spark, sf_dir).collect()}
+    assert sorted(got) == [i for i, _ in rows]
+    for k, (i, text) in list(enumerate(rows))[::6]:
+        after = rows[(k + 1) % len(rows)][1]
+        q = len(text) // 4
+        edited = text[: len(text) - q] + after[:q]
+        (a, x), (b, y), (_, z) = plain(text), plain(edited), plain(after)
+        r = got[i]
+        assert (r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint) == (len(text), hashlib.sha256(edited.encode()).hexdigest(), a, b)
+        assert abs(r.near_edited - len(x & y) / len(x | y)) < 1e-12 and abs(r.near_next - len(x & z) / len(x | z)) < 1e-12
+
+
+def test_one_id_and_no_id_are_cut(spark):
+    """Rows of one id and of none are dealt over ranges by their texts."""
+    docs = spark.range(3000).select(F.when(F.col("id") % 2 == 0, F.lit(5)).cast("long").alias("doc_id"), F.concat(F.lit("t"), F.col("id") * 7919 % 3000).alias("text"))
+    placed = fingerprints.with_next(docs, 100)
+    sizes = [r["count"] for r in placed.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) > 15 and max(sizes) < 500
+    assert sorted((r.doc_id or 0, r.n_chars) for r in fingerprints.compare(docs).collect()) == sorted((r.doc_id or 0, len(r.text)) for r in docs.collect())
+
+
+def test_very_long_text_has_a_fingerprint(spark):
+    docs = spark.createDataFrame([(1, "ab é" * 500_000), (2, "ab é" * 10)], "doc_id long, text string")
+    got = {r.doc_id: r for r in fingerprints.compare(docs).collect()}
+    assert got[1].n_chars == 2_000_000 and got[1].near_next > 0
