@@ -65,26 +65,20 @@ class Learner:
 
 
 def _learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows: list[tuple[int, int, int, int]] = []  # order, label, first feature, feature after the last
-    parts: list[np.ndarray] = []
-    n = 0
+    rows: list[tuple[int, int, np.ndarray]] = []  # order, label, features
     for batch in batches:
         data, offsets = bytes_of(batch.column("text"))
         labels, orders = batch.column("label").to_pylist(), batch.column("order").to_pylist()
         for a, b in row_slices(offsets):
             row, at = features(split_words(data, offsets[a : b + 1], ALNUM_SPLIT))
-            ends = (n + np.searchsorted(row, np.arange(b - a + 1))).tolist()
-            rows += [(orders[a + k], labels[a + k], ends[k], ends[k + 1]) for k in range(b - a)]
-            parts.append(at.astype(np.int32))
-            n += len(at)
+            ends, at = np.searchsorted(row, np.arange(b - a + 1)), at.astype(np.int32)
+            rows += [(orders[a + k], labels[a + k], at[ends[k] : ends[k + 1]]) for k in range(b - a)]
     if rows:
-        every = np.concatenate(parts)
-        del parts
-        rows.sort(key=lambda r: (r[0], r[1], r[3] - r[2]))  # shuffles bring rows in any order
+        rows.sort(key=lambda r: (r[0], r[1], len(r[2])))  # shuffles bring rows in any order
         learner = Learner()
         for _ in range(EPOCHS):
-            for _, label, low, high in rows:
-                learner.learn(np.append(every[low:high], 1 << BITS), label)
+            for _, label, at in rows:
+                learner.learn(np.append(at, 1 << BITS), label)
         w = learner.weights()
         some = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(w[some])], ["at", "w"])

@@ -20,7 +20,8 @@ apart are compared by narrow sketch inside tasks, those outside the bucket's lar
 against all, in cells of bounded size. No pair that could link is left out, and none is made within
 a component. Equal sets are one node from the start.
 
-Shingles are compared by 64-bit hashes and nodes are known by 64 bits of a digest of their set.
+Shingles are compared by 64-bit hashes. Nodes are known by 64 bits of a 128-bit digest of their set; sets that share
+these 64 bits are found from the digests, and all but one of them get other numbers (about n * n / 2**65 of n sets).
 
 Defined results: no words (null, empty, white space only): an empty set, linked with nothing, its own
 component; fewer words than a shingle: the whole sequence is the one shingle; component_id is the
@@ -42,16 +43,22 @@ from tessera.llm.tables import narrow, release, stored
 from tessera.llm.words import SPACE_SPLIT, U64, bytes_of, mix, ngram_hashes, row_slices, split_words
 
 SHINGLE = 5
-#: Slots of the count of blocks; a fixed 8 MB for any corpus. It only orders blocks.
-SLOTS, CHUNKS = 1 << 20, 64
+#: Slots of the count of blocks: 16 a document by powers of two, from the first to the second (64 MB of counts). It only orders blocks.
+SLOTS, MOST_SLOTS, CHUNKS = 1 << 20, 1 << 24, 64
+#: Sums of counts before the last, for each chunk.
+BRANCHES = 64
 NARROW_BITS = 2048
 #: Rows of a bucket that are paired with those before them in order of size.
 REACH = 3
 #: Rows of a bucket, by the count, above which it is dealt over several tasks.
 HOT = 4096
 CELL = 512
+#: Tasks over which the rows of one bucket are dealt when buckets are joined with what is known of them.
+SALTS = 16
 #: Pairs that are broadcast at most (16 bytes each); more are joined by a shuffle.
 BROADCAST_PAIRS = 200_000
+#: Sets that share a number with another one, of which the list is broadcast; not reached below 2**40 sets.
+MOST_RENAMED = 100_000
 
 
 def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
@@ -66,7 +73,7 @@ def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
 
 
 def node(members: np.ndarray) -> tuple[int, int]:
-    """128 bits of a digest of the set, as two signed 64-bit integers; the first is the node's id."""
+    """128 bits of a digest of the set, as two signed 64-bit integers; the first is the node's id unless another set has it."""
     return tuple(np.frombuffer(hashlib.blake2b(members.tobytes(), digest_size=16).digest(), np.int64).tolist())
 
 
@@ -90,7 +97,7 @@ def first_blocks(members: np.ndarray, level: int, counts: np.ndarray) -> tuple[n
     """The first |A| // 4 + 1 blocks in the common order, and their counts."""
     keys = blocks(members, level)
     need = len(members) // 4 + 1
-    seen = counts[(keys & U64(SLOTS - 1)).astype(np.int64)]
+    seen = counts[(keys & U64(len(counts) - 1)).astype(np.int64)].astype(np.int64)
     best = np.lexsort((keys, seen))[:need]
     keys, seen = keys[best], seen[best]
     if len(keys) < need:  # empty blocks come last
@@ -112,27 +119,39 @@ def halved(sketch: np.ndarray) -> np.ndarray:
     return sketch[..., :half] ^ sketch[..., half:]
 
 
-def _summed(parts: DataFrame) -> np.ndarray:
-    """Sum of arrays of counts that tasks give in chunks (chunk, counts); the result has a fixed size."""
+def _packed(counts: np.ndarray) -> bytes:
+    """The counts in as few bytes each as the largest needs; counts beyond 32 bits stay at the largest such number."""
+    counts = np.minimum(counts, 0xFFFFFFFF)
+    return counts.astype(next(t for t in (np.uint8, np.uint16, np.uint32) if counts.max() <= np.iinfo(t).max)).tobytes()
+
+
+def _unpacked(raw: pa.Buffer | bytes, size: int) -> np.ndarray:
+    return np.frombuffer(raw, {1: np.uint8, 2: np.uint16, 4: np.uint32}[len(raw) // size]).astype(np.int64)
+
+
+def _summed(parts: DataFrame, slots: int) -> np.ndarray:
+    """Sum of arrays of counts that tasks give in chunks (chunk, branch, counts), first within branches; the result has a fixed size."""
+    size = slots // CHUNKS
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
-            for chunk, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                total[chunk] = total.get(chunk, 0) + np.frombuffer(counts.as_buffer(), np.uint32).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(total, pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["chunk", "counts"])
-
-    out = np.zeros((CHUNKS, SLOTS // CHUNKS), np.int64)
-    for r in parts.repartition(CHUNKS, "chunk").mapInArrow(add, parts.schema).collect():
-        out[r.chunk] = np.frombuffer(r.counts, np.int64)
+            for chunk, counts in zip(batch.column(0).to_pylist(), batch.column("counts"), strict=True):
+                total[chunk] = total.get(chunk, 0) + _unpacked(counts.as_buffer(), size)
+        yield pa.RecordBatch.from_arrays([pa.array(total, pa.int32()), pa.array([_packed(v) for v in total.values()], pa.binary())], ["chunk", "counts"])
+
+    kind = "chunk int, counts binary"
+    out = np.zeros((CHUNKS, size), np.uint32)
+    for r in parts.repartition("chunk", "branch").mapInArrow(add, kind).repartition(CHUNKS, "chunk").mapInArrow(add, kind).collect():
+        out[r.chunk] = _unpacked(r.counts, size)
     return out.ravel()
 
 
-def _nodes_and_counts(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
+def _nodes_and_counts(docs: DataFrame, slots: int, id_bits: int) -> tuple[DataFrame, np.ndarray]:
     """(doc_id, n, id, rest) of every row, and how many sets have each block, by slots: one pass."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(SLOTS, np.uint32)
+        counts = np.zeros(slots, np.uint32)
         kinds = [pa.int64()] * 4 + [pa.int32(), pa.binary()]
         names = ["doc_id", "n", "id", "rest", "chunk", "counts"]
 
@@ -144,8 +163,9 @@ def _nodes_and_counts(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
         for batch in batches:
             rows, keys = [], []
             for s in shingle_sets(batch.column("text")):
-                rows.append((len(s), *(node(s) if len(s) else (None, None))))
-                keys += [(blocks(s, level) & U64(SLOTS - 1)).astype(np.uint32) for level in levels(len(s))]
+                me, rest = node(s) if len(s) else (None, None)
+                rows.append((len(s), me and me >> (64 - id_bits), rest))
+                keys += [(blocks(s, level) & U64(slots - 1)).astype(np.uint32) for level in levels(len(s))]
                 if len(keys) > 2000:
                     add(keys)
                     keys = []
@@ -153,37 +173,64 @@ def _nodes_and_counts(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
             if rows:
                 own = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *own, pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), pa.binary())], names)
-        some = [(c, part.tobytes()) for c, part in enumerate(counts.reshape(CHUNKS, -1)) if part.any()]
+        some = [(c, _packed(part)) for c, part in enumerate(counts.reshape(CHUNKS, -1)) if part.any()]
         if some:
             yield pa.RecordBatch.from_arrays([*(pa.nulls(len(some), k) for k in kinds[:4]), pa.array([c for c, _ in some], pa.int32()), pa.array([p for _, p in some], pa.binary())], names)
 
-    both = stored(docs.mapInArrow(describe, "doc_id long, n long, id long, rest long, chunk int, counts binary"), "nodes")
-    return both.where("chunk is null").select("doc_id", "n", "id", "rest"), _summed(both.where("chunk is not null").select("chunk", "counts"))
+    described = docs.mapInArrow(describe, "doc_id long, n long, id long, rest long, chunk int, counts binary")
+    both = stored(described.withColumn("branch", F.pmod(F.spark_partition_id(), F.lit(BRANCHES))), "nodes")
+    return both.where("chunk is null").select("doc_id", "n", "id", "rest"), _summed(both.where("chunk is not null").select("chunk", "branch", "counts"), slots)
+
+
+class Names:
+    """Ids of nodes: the leading bits of the digest, but for the renamed sets."""
+
+    def __init__(self, id_bits: int, renamed: dict[tuple[int, int], int]):
+        self.shift, self.renamed = 64 - id_bits, renamed
 
+    def __call__(self, members: np.ndarray) -> int:
+        me, rest = node(members)
+        me >>= self.shift
+        return self.renamed.get((me, rest), me) if self.renamed else me
 
-def _bucket_rows(docs: DataFrame, counts: np.ndarray) -> DataFrame:
+
+def _named(nodes: DataFrame, id_bits: int) -> tuple[DataFrame, DataFrame, Names]:
+    """The nodes with ids that no two sets share, their groups (id, least doc_id), and the ids' rule."""
+    groups = stored(nodes.where("id is not null").groupBy("id", "rest").agg(F.min("doc_id").alias("least")), "groups")
+    shared = groups.groupBy("id").agg(F.count("*").alias("m"), F.min("rest").alias("first")).where("m > 1")
+    others = groups.join(shared, "id").where("rest <> first").select("id", "rest").limit(MOST_RENAMED + 1).collect()
+    if len(others) > MOST_RENAMED:
+        raise ValueError(f"more than {MOST_RENAMED} sets share their leading {id_bits} bits")
+    renamed = {(r["id"], r["rest"]): int(mix(np.array([r["rest"]], np.int64).view(U64) ^ U64(r["id"] & 0xFFFFFFFF)).view(np.int64)[0]) for r in others}
+    if renamed:
+        new = nodes.sparkSession.createDataFrame([(*k, v) for k, v in renamed.items()], "id long, rest long, new long")
+        nodes, groups = (t.join(F.broadcast(new), ["id", "rest"], "left").withColumn("id", F.coalesce("new", "id")).drop("new") for t in (nodes, groups))
+    return nodes.drop("rest"), groups.drop("rest"), Names(id_bits, renamed)
+
+
+def _bucket_rows(docs: DataFrame, counts: np.ndarray, name: Names) -> DataFrame:
     """(key, part, n, id): the first blocks of each set. Within a task, equal sets give theirs once.
 
     Parts of a bucket that is dealt count from 1; 0 is a bucket in one part.
     """
     sent = docs.sparkSession.sparkContext.broadcast(counts)
-    hot = max(HOT, 4 * int(counts.sum()) // SLOTS)
+    hot = max(HOT, 4 * int(counts.sum(dtype=np.int64)) // len(counts))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met: set[tuple[int, int]] = set()
+        met: set[int] = set()
         for batch in batches:
             rows: list[tuple] = []
             held = 0
             for s in shingle_sets(batch.column(0)):
                 for level in levels(len(s)):
                     if level == levels(len(s))[0]:
-                        me = node(s)
+                        me = name(s)
                         if me in met:
                             break
                         met.add(me)
                     keys, seen = first_blocks(s, level, sent.value)
-                    parts = np.where(seen > hot, 1 + me[0] % (seen // hot + 1), 0)
-                    rows.append((keys, parts, len(s), me[0]))
+                    parts = np.where(seen > hot, 1 + me % (seen // hot + 1), 0)
+                    rows.append((keys, parts, len(s), me))
                     held += len(keys)
                 if held > 200_000:
                     yield _rows(rows)
@@ -249,16 +296,19 @@ def _slots(ids: np.ndarray, doc_ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _pass_filter(ids: DataFrame) -> np.ndarray:
-    """Bits of the slots of doc_id and of (id, doc_id): those without are certainly absent. Their number follows the count, 32 MB at most."""
+    """Packed bits of the slots of doc_id and of (id, doc_id): those without are certainly absent. Their number follows the count, 32 MB at most."""
     bits = 1 << min(28, max(18, (16 * ids.count()).bit_length()))
     step = 1 << 15
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hit = np.zeros(bits, bool)
+        packed = np.zeros(bits // 8, np.uint8)
         for batch in batches:
             for slots in _slots(batch.column(0).to_numpy(), batch.column(1)):
-                hit[(slots & U64(bits - 1)).astype(np.int64)] = True
-        packed = np.packbits(hit).reshape(-1, min(step, bits // 8))
+                at = np.unique((slots & U64(bits - 1)).astype(np.int64))
+                if len(at):
+                    starts = np.flatnonzero(np.r_[True, at[1:] >> 3 != at[:-1] >> 3])
+                    packed[at[starts] >> 3] |= np.bitwise_or.reduceat((1 << (at & 7)).astype(np.uint8), starts)
+        packed = packed.reshape(-1, min(step, bits // 8))
         some = [(c, p.tobytes()) for c, p in enumerate(packed) if p.any()]
         yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in some], pa.int32()), pa.array([p for _, p in some], pa.binary())], ["chunk", "bits"])
 
@@ -272,10 +322,16 @@ def _pass_filter(ids: DataFrame) -> np.ndarray:
     out = np.zeros((-(-bits // 8 // step) or 1, min(step, bits // 8)), np.uint8)
     for r in ids.mapInArrow(mark, "chunk int, bits binary").repartition("chunk").mapInArrow(join, "chunk int, bits binary").collect():
         out[r.chunk] = np.frombuffer(r.bits, np.uint8)
-    return np.unpackbits(out.ravel()).astype(bool)
+    return out.ravel()
+
+
+def _passing(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    """Which slots have their bit set."""
+    at = (slots & U64(8 * len(bits) - 1)).astype(np.int64)
+    return bits[at >> 3] >> (at & 7).astype(np.uint8) & 1 > 0
 
 
-def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def _sets(docs: DataFrame, wanted: DataFrame, name: Names) -> DataFrame:
     """(id, n, sketch, text) of the wanted (id, doc_id), where doc_id is one row that has the set, and of few others.
 
     Rows that repeat id and text may give a set more than once; links are made distinct in the end.
@@ -291,13 +347,11 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
         for batch in (whole.slice(k, 1000) for whole in batches for k in range(0, len(whole), 1000)):
             rows: list[tuple] = []
-            mask = U64(len(passes.value) - 1)
             docs_at, _ = _slots(np.zeros(len(batch), np.int64), batch.column("doc_id"))
-            some = batch.take(pa.array(np.flatnonzero(passes.value[(docs_at & mask).astype(np.int64)])))  # only these are split into shingles
+            some = batch.take(pa.array(np.flatnonzero(_passing(passes.value, docs_at))))  # only these are split into shingles
             sets = list(shingle_sets(some.column("text")))
-            ids = np.array([node(s)[0] if len(s) else 0 for s in sets], np.int64)
-            wanted_at = _slots(ids, some.column("doc_id"))[1] & mask
-            for k in np.flatnonzero(passes.value[wanted_at.astype(np.int64)]).tolist():
+            ids = np.array([name(s) if len(s) else 0 for s in sets], np.int64)
+            for k in np.flatnonzero(_passing(passes.value, _slots(ids, some.column("doc_id"))[1])).tolist():
                 s, i = sets[k], int(ids[k])
                 if len(s) >= 4 and i not in met:
                     met.add(i)
@@ -385,11 +439,13 @@ def _across(large: DataFrame, sets: DataFrame, labels: DataFrame | None, per_roo
         rows = large.withColumn("root", F.col("id"))
     else:
         rows = large.join(labels, "id", "left")
-    rows = rows.select("key", "id", "n", F.coalesce("root", "id").alias("root"))
+    # one bucket may have very many rows: they meet what is known of it in SALTS tasks
+    rows = rows.select("key", "id", "n", F.coalesce("root", "id").alias("root"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt"))
     by_root = rows.groupBy("key", "root").agg(F.count("*").alias("m"))
     torn = by_root.groupBy("key").agg(F.sum("m").alias("size"), F.count("*").alias("roots"), F.max_by("root", F.struct("m", "root")).alias("main")).where("roots > 1")
     cells = F.ceil(F.col("size") / CELL).cast("int")
-    rows = rows.join(torn, "key").join(sets.select("id", "sketch"), "id")
+    torn = torn.withColumn("salt", F.explode(F.array(*[F.lit(k).cast("long") for k in range(SALTS)])))
+    rows = rows.join(torn, ["key", "salt"]).join(sets.select("id", "sketch"), "id")
     rows = rows.select("key", "id", "n", "root", "sketch", (F.col("root") == F.col("main")).alias("main"), cells.alias("cells"), F.pmod(F.xxhash64("id"), cells).cast("int").alias("home"))
     home = rows.select("key", F.col("home").alias("cell"), F.lit(0).alias("moving"), "id", "n", "root", "sketch")
     moving = rows.where("not main").select("key", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), F.lit(1).alias("moving"), "id", "n", "root", "sketch")
@@ -468,24 +524,26 @@ def _distinct_buckets(large: DataFrame) -> DataFrame:
     return stored(members.join(kept, "key", "left_semi"), "large")
 
 
-def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
+def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, id_bits: int = 64) -> DataFrame:
     """(doc_id, n_shingles, component_id, component) of every row; component is a node's id, null for an empty set.
 
-    ``percent`` may be 80 or more: the numbers of blocks are made for differences of at most a quarter.
+    ``percent`` may be 80 or more: the numbers of blocks are made for differences of at most a quarter. Fewer
+    ``id_bits`` give the same result through more sets of shared numbers.
     """
     if percent < 80:
         raise ValueError("the wide sketch is laid out for a similarity of 0.8 or more")
     docs = narrow(docs, id_col, text_col)
-    nodes, counts = _nodes_and_counts(docs)
-    groups = nodes.groupBy("id", "rest").agg(F.min("doc_id").alias("least")).where("id is not null")
+    slots = min(MOST_SLOTS, max(SLOTS, 1 << (16 * docs.count()).bit_length()))
+    nodes, counts = _nodes_and_counts(docs, slots, id_bits)
+    nodes, groups, name = _named(nodes, id_bits)
     texts = docs.where("text is not null")
-    rows = _bucket_rows(texts, counts).repartition("key", "part").sortWithinPartitions("key", "part", "n", "id")
+    rows = _bucket_rows(texts, counts, name).repartition("key", "part").sortWithinPartitions("key", "part", "n", "id")
     met = stored(rows.mapInArrow(_near_pairs, "x long, y long, n long"), "met")
     release(docs.sparkSession)
     pairs = stored(met.where("n = 0").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "pairs")
     large = _distinct_buckets(met.where("n > 0").select(F.col("x").alias("key"), F.col("y").alias("id"), "n"))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(large.select("id")).distinct()
-    sets = _sets(texts, wanted.join(groups.select("id", "least"), "id"))
+    sets = _sets(texts, wanted.join(groups, "id"), name)
     labels = _linked(_near(pairs, sets, percent), sets, percent, None)
     first = stored(_across(large, sets, labels, 4), "across")
     labels = _linked(_near(first.where("b is not null"), sets, percent), sets, percent, labels)
@@ -495,8 +553,8 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
         labels = _linked(_near(_across(rest, sets, labels, None), sets, percent), sets, percent, labels)
     if labels is None:
         labels = groups.select("id", F.col("id").alias("root")).limit(0)
-    groups = groups.join(labels, "id", "left").select("id", "rest", "least", F.coalesce("root", "id").alias("component"))
+    groups = groups.join(labels, "id", "left").select("id", "least", F.coalesce("root", "id").alias("component"))
     top = groups.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = groups.join(top, "component").select("id", "rest", "component", "component_id")
-    out = nodes.join(named, ["id", "rest"], "left")
+    named = groups.join(top, "component").select("id", "component", "component_id")
+    out = nodes.join(named, "id", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "component")

@@ -3,10 +3,11 @@
 No piece of the vocabulary has a whitespace marker after another character (checked when the model
 is read), so no merge can cross the place before a marker. A text is cut there, and at line ends; each distinct chunk
 is segmented once per worker into ids, and decoded once from those ids, and a text's ids and decoded
-text are its chunks' joined by position. No shuffle; a task holds one Arrow batch and a bounded table.
+text are its chunks' joined by position. No shuffle; a task holds one Arrow batch and a table of at most
+two generations of TABLE_BYTES and the chunks of one text; a chunk longer than LONG_CHUNK isn't kept.
 
 Defined results: null and empty texts have begin and end ids only and decode to ''; repeated rows are
-encoded each; other columns are kept by ``encode``; a column with the name of a result is replaced.
+encoded each; other columns are kept by ``encode`` whatever their names; a column with the name of a result is replaced.
 """
 
 from __future__ import annotations
@@ -22,10 +23,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe
+from tessera.llm.tables import set_apart
 
 MARK = "▁"
-#: Chunks kept per worker, twice over: at this many the table becomes the older one and a new one begins.
-CACHE_CHUNKS = 400_000
+#: Bytes of the chunks kept per worker, twice over: at this size the table becomes the older one and a new one begins.
+TABLE_BYTES = 32 << 20
+#: Bytes that an entry takes beside its characters and ids.
+ENTRY_BYTES = 200
+#: Code points up to which a chunk is kept.
+LONG_CHUNK = 256
 #: Symbols up to which pairs are looked through instead of kept in a heap.
 SHORT = 24
 NEVER = float("inf")
@@ -50,8 +56,10 @@ class ChunkTable:
         self.chunks = regex.compile(f"{MARK}++[^{MARK}{lines}]*+|[^{MARK}{lines}]++|{lines or '(?!)'}")
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        #: Chunks whose ids decode to something else than the chunk with spaces for markers.
+        #: Chunks whose ids decode to something else than the chunk with spaces for markers, of both generations.
         self.changed: dict[str, str] = {}
+        self.older_changed: dict[str, str] = {}
+        self.bytes = 0
 
     def segment(self, chunk: str) -> list[int]:
         symbols = list(chunk)
@@ -90,8 +98,8 @@ class ChunkTable:
         return out.decode(errors="replace")
 
     def _learn(self, chunks: list[str]) -> None:
-        if len(self.known) > CACHE_CHUNKS:  # what is still in use comes back from the older half
-            self.older, self.known = self.known, {}
+        if self.bytes > TABLE_BYTES:  # what is still in use comes back from the older half
+            self.older, self.older_changed, self.known, self.changed, self.bytes = self.known, self.changed, {}, {}, 0
         known, older = self.known, self.older
         for chunk in set(chunks):
             if chunk not in known:
@@ -101,7 +109,15 @@ class ChunkTable:
                     packed = struct.pack(f"<{len(ids)}I", *ids)
                     if (decoded := self.decode_ids(ids)) != chunk.replace(MARK, " "):
                         self.changed[chunk] = decoded
+                elif chunk in self.older_changed:
+                    self.changed[chunk] = self.older_changed[chunk]
                 known[chunk] = packed
+                self.bytes += ENTRY_BYTES + 4 * len(chunk) + len(packed)
+
+    def _forget_long(self, chunks: list[str]) -> None:
+        for chunk in {c for c in chunks if len(c) > LONG_CHUNK}:
+            self.bytes -= ENTRY_BYTES + 4 * len(chunk) + len(self.known.pop(chunk))
+            self.changed.pop(chunk, None)
 
     def code(self, text: str) -> tuple[bytes, str]:
         """The ids, as little-endian unsigned 32-bit integers with begin and end, and the text they decode to."""
@@ -111,12 +127,13 @@ class ChunkTable:
         chunks = self.chunks.findall(MARK + text.replace(" ", MARK))
         try:
             ids = b"".join(map(self.known.__getitem__, chunks))
+            decoded = chunks if not self.changed else [self.changed.get(c, c) for c in chunks]
         except KeyError:
             self._learn(chunks)
             ids = b"".join(map(self.known.__getitem__, chunks))
-        if self.changed:
-            chunks = [self.changed.get(c, c) for c in chunks]
-        return begin + ids + end, "".join(chunks).replace(MARK, " ")[1:]
+            decoded = chunks if not self.changed else [self.changed.get(c, c) for c in chunks]
+            self._forget_long(chunks)
+        return begin + ids + end, "".join(decoded).replace(MARK, " ")[1:]
 
 
 @functools.lru_cache(2)
@@ -134,6 +151,6 @@ def encode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
             pairs = [code(x.as_py() or "") for x in texts]
             yield pa.StructArray.from_arrays([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.string())], ["ids", "decoded"])
 
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("n_tokens", "ids", "decoded")]
-    out = docs.select(*kept, coded(F.col(text_col).cast("string")).alias("_coded"))
-    return out.select(*[c for c in out.columns if c != "_coded"], (F.octet_length("_coded.ids") / 4).cast("long").alias("n_tokens"), "_coded.ids", "_coded.decoded")
+    apart, kept, text = set_apart(docs, text_col, ("n_tokens", "ids", "decoded"))
+    out = apart.withColumn("coded", coded(text))
+    return out.select(*kept, (F.octet_length("coded.ids") / 4).cast("long").alias("n_tokens"), "coded.ids", "coded.decoded")

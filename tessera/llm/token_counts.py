@@ -1,8 +1,8 @@
 """Token counts by byte-pair merging, without making token ids.
 
 A word's count is its number of initial symbols minus the merges that the heap performs. Each task
-keeps a bounded table of the words it has counted, so a word is merged once per worker, not once per
-use. There is no shuffle.
+keeps a table of the words it has counted, of TABLE_BYTES and the words of one text at most, so a word
+is merged once per worker, not once per use; words longer than LONG_WORD aren't kept. There is no shuffle.
 
 Defined results: null and empty texts have 0 tokens; repeated rows are counted each; other columns
 of the input are kept by ``count_tokens`` unless they have the name of a result, which wins.
@@ -24,8 +24,12 @@ from pyspark.sql import types as T
 
 from tessera.llm import bpe
 
-#: Words kept per worker; at this many the table starts anew.
-CACHE_WORDS = 600_000
+#: Bytes of the words kept per worker; at this size the table starts anew.
+TABLE_BYTES = 48 << 20
+#: Bytes that an entry takes beside its characters.
+ENTRY_BYTES = 160
+#: Code points up to which a word is kept.
+LONG_WORD = 256
 
 
 # Letters and numbers that Unicode 16 has and Python's 15.1 tables lack, and the lower
@@ -75,6 +79,7 @@ class WordCounter:
         self.special = regex.compile("|".join(map(regex.escape, names))) if names else None
         self.letters = _byte_letters()
         self.known: dict[str, int] = {}
+        self.bytes = 0
 
     def of_word(self, word: str) -> int:
         symbols = [self.letters[b] for b in word.encode()]
@@ -95,12 +100,18 @@ class WordCounter:
             return sum(map(known.__getitem__, words))
         except KeyError:
             pass
-        if len(known) > CACHE_WORDS:
+        if self.bytes > TABLE_BYTES:
             known.clear()
+            self.bytes = 0
         for word in set(words):
             if word not in known:
                 known[word] = self.of_word(word)
-        return sum(map(known.__getitem__, words))
+                self.bytes += ENTRY_BYTES + 4 * len(word)
+        total = sum(map(known.__getitem__, words))
+        for word in {w for w in words if len(w) > LONG_WORD}:
+            del known[word]
+            self.bytes -= ENTRY_BYTES + 4 * len(word)
+        return total
 
     def count(self, text: str) -> int:
         if self.special is None or "<" not in text or not self.special.search(text):
@@ -127,5 +138,5 @@ def n_tokens(text: Column, path: str) -> Column:
 
 def count_tokens(docs: DataFrame, path: str, text_col: str = "text", limit: int = 2048) -> DataFrame:
     """The documents with n_bytes, n_tokens and over_limit (n_tokens > limit)."""
-    text = F.col(text_col).cast("string")
+    text = F.col(f"`{text_col}`").cast("string")
     return docs.withColumns({"n_bytes": F.coalesce(F.octet_length(text), F.lit(0)).cast("long"), "n_tokens": n_tokens(text, path)}).withColumn("over_limit", F.col("n_tokens") > limit)

@@ -16,6 +16,8 @@ import pyarrow as pa
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _POWERS = [np.ones(1, U64), np.ones(1, U64)]
+#: Powers that a worker keeps (4 MB each way); longer texts make their own.
+_KEPT_POWERS = 1 << 19
 
 
 def _word_table(separators: set[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -50,14 +52,17 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n, kept for later calls."""
-    if len(_POWERS[0]) < n:
-        size = 1 << (n - 1).bit_length()
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            steps = np.full(size, base, U64)
-            steps[0] = 1
-            _POWERS[k] = np.multiply.accumulate(steps)
-    return _POWERS[0][:n], _POWERS[1][:n]
+    """base**i and base**-i modulo 2**64 for i < n, kept for later calls up to _KEPT_POWERS."""
+    if len(_POWERS[0]) >= n:
+        return _POWERS[0][:n], _POWERS[1][:n]
+    both = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        steps = np.full(n if n > _KEPT_POWERS else 1 << (n - 1).bit_length(), base, U64)
+        steps[0] = 1
+        both.append(np.multiply.accumulate(steps))
+    if n <= _KEPT_POWERS:
+        _POWERS[:] = both
+    return both[0][:n], both[1][:n]
 
 
 def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

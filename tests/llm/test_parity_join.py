@@ -114,6 +114,21 @@ def test_hot_copies_and_few_near_ones(spark, monkeypatch):
     assert run(spark, rows) == slow(rows)
 
 
+def test_sets_that_share_a_number(spark):
+    """With ids of 5 bits nearly all sets share theirs with others, and still no two are taken for one."""
+    rows = corpus(8, 40, 5) + [(-5, None), (900, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in link(docs, id_bits=5).collect()), key=str)
+    assert got == slow(rows)
+
+
+def test_counts_in_few_bytes():
+    for top in (0, 255, 256, 70_000, 2**40):
+        counts = np.array([0, 3, top, 1], np.int64)
+        raw = parity_join._packed(counts)
+        assert parity_join._unpacked(raw, 4).tolist() == [0, 3, min(top, 2**32 - 1), 1]
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert link(docs).count() == 0
