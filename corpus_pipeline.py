@@ -10,7 +10,7 @@ Each stage takes what its predecessor kept, written as Parquet and read again, a
 - personal_data: replaces found spans by their kind; n_chars follows the text.
 - tokens: ids and decoded text, as counts and digests.
 
-Null texts have no features, words or spans: they pass the filters (each is a group of its own) and end as begin and end ids.
+Ids are numbers or texts that the session's cast takes for numbers. Null texts have no features, words or spans: they pass the filters (each is a group of its own) and end as begin and end ids.
 """
 
 from __future__ import annotations
@@ -26,8 +26,7 @@ from tessera.llm.tables import stored
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     weights = ftrl.train(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), labels)
-    kept = docs.withColumn("_score", ftrl.score_column(docs, F.col("text").cast("string"), weights)).where("_score < 0.5")
-    return kept.select(*[f"`{c}`" for c in docs.columns])
+    return docs.where(ftrl.score_column(docs, F.col("text").cast("string"), weights) < 0.5)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
