@@ -25,7 +25,7 @@ from tessera.llm.words import ALNUM_SPLIT, U64, Words, bytes_of, mix, row_slices
 
 BITS = 18
 MAX_ROWS = 40_000
-SHARD_ROWS = 20_000
+SHARD_ROWS = 10_000
 EPOCHS = 6
 ALPHA, BETA, L1, L2 = 3.0, 1.0, 6.0, 0.0
 

@@ -27,11 +27,13 @@ from tessera.llm.tables import set_apart
 
 MARK = "▁"
 #: Bytes of the chunks kept per worker, twice over: at this size the table becomes the older one and a new one begins.
-TABLE_BYTES = 32 << 20
+TABLE_BYTES = 16 << 20
 #: Bytes that an entry takes beside its characters and ids.
 ENTRY_BYTES = 200
 #: Code points up to which a chunk is kept.
 LONG_CHUNK = 256
+#: Rows whose ids and texts are given back at once.
+SLICE = 500
 #: Symbols up to which pairs are looked through instead of kept in a heap.
 SHORT = 24
 NEVER = float("inf")
@@ -148,8 +150,9 @@ def encode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     def coded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         code = chunk_table(path).code
         for texts in batches:
-            pairs = [code(x.as_py() or "") for x in texts]
-            yield pa.StructArray.from_arrays([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.string())], ["ids", "decoded"])
+            for k in range(0, len(texts), SLICE):
+                pairs = [code(x.as_py() or "") for x in texts.slice(k, SLICE)]
+                yield pa.StructArray.from_arrays([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.string())], ["ids", "decoded"])
 
     apart, kept, text = set_apart(docs, text_col, ("n_tokens", "ids", "decoded"))
     out = apart.withColumn("coded", coded(text))

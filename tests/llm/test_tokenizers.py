@@ -71,3 +71,25 @@ def test_edges(spark):
     assert out.columns == ["doc_id", "text", "n_tokens", "ids", "decoded"]
     assert sorted((r.n_tokens, r.decoded) for r in out.collect()) == [(2, ""), (2, ""), (4, "a b"), (4, "a b")]
     assert encode(docs.limit(0), PIECES).count() == 0 == count_tokens(docs.limit(0), WORDS).count()
+
+
+def test_clashing_names_long_words_and_small_tables(spark, libraries, monkeypatch):
+    """Columns of any name stay, results come back in slices, and tables that begin anew change nothing."""
+    rows = [(i, f"text {i} " + "x" * (i % 900) + " é\n\n▁ " * (i % 3), 1, 2) for i in range(1300)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "a.b", "_coded"]).coalesce(1)
+    out = encode(docs, PIECES)
+    assert out.columns == ["doc_id", "text", "a.b", "_coded", "n_tokens", "ids", "decoded"]
+    for r in out.collect():
+        ids = libraries[1].encode(r.text, add_bos=True, add_eos=True)
+        assert (np.frombuffer(r.ids, "<u4").tolist(), r.decoded) == (ids, libraries[1].decode(ids))
+    from tessera.llm import sentencepiece_codec, token_counts
+
+    monkeypatch.setattr(sentencepiece_codec, "TABLE_BYTES", 3000)
+    monkeypatch.setattr(token_counts, "TABLE_BYTES", 3000)
+    table, words = sentencepiece_codec.ChunkTable(PIECES), token_counts.WordCounter(WORDS)
+    for _, x, *_ in rows[::7] + rows[::5]:
+        ids = libraries[1].encode(x, add_bos=True, add_eos=True)
+        coded, decoded = table.code(x)
+        assert (np.frombuffer(coded, "<u4").tolist(), decoded) == (ids, libraries[1].decode(ids))
+        assert words.count(x) == len(libraries[0].encode(x, add_special_tokens=False).ids)
+        assert table.bytes < 40_000 and words.bytes < 40_000
