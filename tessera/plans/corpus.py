@@ -39,9 +39,12 @@ def dedup_losers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doc_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents and uses of each word; uses are counted within a document first, so a word is shuffled once for each."""
-    per_doc = table(spark, sf_dir, "documents").select("doc_id", F.explode(words(F.col("text"))).alias("word"))
-    return per_doc.groupBy("doc_id", "word").agg(F.count("*").alias("n")).groupBy("word").agg(F.count("*").alias("df"), F.sum("n").alias("uses"))
+    """Documents and uses of each word. A document gives each use, and its distinct words once more; they are summed
+    before the only shuffle, by word."""
+    found = table(spark, sf_dir, "documents").select(words(F.col("text")).alias("w"))
+    one = lambda df: lambda x: F.struct(x.alias("word"), F.lit(df).cast("long").alias("df"), F.lit(1 - df).cast("long").alias("uses"))
+    given = found.select(F.explode(F.concat(F.transform("w", one(0)), F.transform(F.array_distinct("w"), one(1)))).alias("g"))
+    return given.groupBy("g.word").agg(F.sum("g.df").alias("df"), F.sum("g.uses").alias("uses"))
 
 
 def stand_in_rate(spark: SparkSession, sf_dir: str) -> DataFrame:

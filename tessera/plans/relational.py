@@ -133,11 +133,14 @@ def best_example(spark: SparkSession, sf_dir: str) -> DataFrame:
 def edges_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Supplier to supplier edges: log of shared orders times rarity, plus half the reverse direction.
 
-    An edge runs from the supplier of an order's lower line to that of a higher one.
+    An edge runs from the supplier of an order's lower line to that of a higher one. An order is one array of its
+    lines; its pairs become distinct within the row, and are summed before they are shuffled.
     """
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber")
-    b = items.select("l_orderkey", F.col("l_suppkey").alias("b"), F.col("l_linenumber").alias("bl"))
-    fwd = items.join(b, "l_orderkey").where("l_suppkey <> b and l_linenumber < bl").groupBy(F.col("l_suppkey").alias("a"), "b").agg(F.countDistinct("l_orderkey").alias("fwd"))
+    lines = items.where("l_orderkey is not null").groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("l_linenumber").alias("k"), F.col("l_suppkey").alias("s"))).alias("l"))
+    later = lambda x: F.filter("l", lambda y: (x["k"] < y["k"]) & (x["s"] != y["s"]))
+    pairs = F.array_distinct(F.flatten(F.transform("l", lambda x: F.transform(later(x), lambda y: F.struct(x["s"].alias("a"), y["s"].alias("b"))))))
+    fwd = lines.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("fwd"))
     both = fwd.unionByName(fwd.select(F.col("b").alias("a"), F.col("a").alias("b"), F.lit(0).cast("long").alias("fwd"))).groupBy("a", "b").agg(F.max("fwd").alias("fwd"))
     back = both.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("fwd").alias("rev"))
     named = fwd.groupBy("b").agg(F.count("*").alias("df"))

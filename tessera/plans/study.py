@@ -15,16 +15,18 @@ from tessera.streaming.review import fold
 def question_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences of each document: number, place in characters, relative position, words, whether it is the last (the giveaway).
 
-    The window runs over one document's pieces.
+    Pieces become lengths and counts where they lie; only these numbers meet in the window over one document's pieces.
     """
     pieces = table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("n"), F.posexplode(F.regexp_extract_all("text", F.lit("[^.!?]*[.!?]+|[^.!?]+"), F.lit(0))).alias("k", "s"))
+    t = F.regexp_replace("s", r"^[ \n\t\r]+|[ \n\t\r]+$", "")
+    lead = F.length("s") - F.length(F.regexp_replace("s", r"^[ \n\t\r]+", ""))
+    measured = pieces.select("doc_id", "n", "k", F.length("s").alias("whole"), lead.alias("lead"), F.length(t).alias("own"), F.size(F.regexp_extract_all(t, F.lit(r"[^ \n\t\r]+"), F.lit(0))).alias("n_words"))
     before = Window.partitionBy("doc_id").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    placed = pieces.withColumn("at", F.coalesce(F.sum(F.length("s")).over(before), F.lit(0))).withColumn("lead", F.length("s") - F.length(F.regexp_replace("s", r"^[ \n\t\r]+", "")))
-    kept = placed.withColumn("t", F.regexp_replace("s", r"^[ \n\t\r]+|[ \n\t\r]+$", "")).where("t <> ''")
+    placed = measured.withColumn("at", F.coalesce(F.sum("whole").over(before), F.lit(0))).where("own > 0")
     start = F.col("at") + F.col("lead")
-    return kept.select(
-        "doc_id", F.col("k").alias("ordinal"), start.cast("long").alias("char_start"), (start + F.length("t")).cast("long").alias("char_end"), F.round(start / F.col("n"), 4).alias("position"),
-        F.size(F.regexp_extract_all("t", F.lit(r"[^ \n\t\r]+"), F.lit(0))).alias("n_words"), (F.col("at") + F.length("s") >= F.col("n")).alias("is_last"),
+    return placed.select(
+        "doc_id", F.col("k").alias("ordinal"), start.cast("long").alias("char_start"), (start + F.col("own")).cast("long").alias("char_end"), F.round(start / F.col("n"), 4).alias("position"),
+        "n_words", (F.col("at") + F.col("whole") >= F.col("n")).alias("is_last"),
     )
 
 

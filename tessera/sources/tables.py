@@ -52,17 +52,37 @@ def text(js: Column, path: str) -> Column:
     return F.coalesce(F.get_json_object(js, f"$.{path}.$oid"), F.when(~plain.startswith("{"), plain))
 
 
+# How author and editor tags look that follow an answer: opening, what is inside, closing.
+TAGS = (("<", "[^<>/]{1,40}", ">"), (r"\[", "[A-Z]{1,4}", r"\]"), (r"\(", "[0-9]{1,2}", r"\)"))
+LAST_TAG = "(?:" + "|".join(map("".join, TAGS)) + ")$"
+
+
+def without_tags(answer: Column) -> Column:
+    """An answer without its trailing tags: the last one goes as often as there are closing brackets."""
+    clean = F.regexp_replace(answer, r"\s+$", "")
+    rounds = F.regexp_count(clean, F.lit(r"[>\])]"))
+    stripped = F.aggregate(F.array_repeat(F.lit(0), rounds), clean, lambda left, _: F.regexp_replace(F.regexp_replace(left, LAST_TAG, ""), r"\s+$", ""))
+    return F.regexp_replace(stripped, r"^\s+", "")
+
+
 def questions(spark: SparkSession, path: str) -> DataFrame:
-    """Question records of an extended-JSON export, one a line; blank lines and lines without question or answer are left out.
+    """Question records of an extended-JSON export, one a line."""
+    return question_rows(spark.read.text(path))
+
+
+def question_rows(lines: DataFrame) -> DataFrame:
+    """Question records of lines (value); blank lines and lines without question or answer are left out.
 
-    meta_score counts the optional fields that are filled.
+    meta_score counts which of subcategory, alternate subcategory, difficulty, number and packet are filled.
     """
     js = F.col("value")
-    rows = spark.read.text(path).where(F.trim("value") != "")
+    rows = lines.where(F.trim("value") != "")
+    plain = lambda name: F.get_json_object(js, f"$.{name}")
+    filled = [F.when(F.coalesce(plain(c), F.lit("")) != "", 1).otherwise(0) for c in ("subcategory", "alternate_subcategory", "difficulty", "number", "packet")]
     got = rows.select(
-        text(js, "_id").alias("id"), F.get_json_object(js, "$.question_sanitized").alias("question"), F.trim(F.regexp_replace(F.get_json_object(js, "$.answer_sanitized"), r"(?:\s*(?:<[^<>]*>|\[[A-Z]{2,3}\]|\(\d+\)))+\s*$", "")).alias("answer"),
-        F.get_json_object(js, "$.category").alias("category"), F.get_json_object(js, "$.subcategory").alias("subcategory"), F.get_json_object(js, "$.alternate_subcategory").alias("alternate_subcategory"),
-        number(js, "difficulty").cast(T.IntegerType()).alias("difficulty"), number(js, "set.year").cast(T.IntegerType()).alias("year"), F.get_json_object(js, "$.set.name").alias("set_name"),
+        text(js, "_id").alias("id"), plain("question_sanitized").alias("question"), without_tags(plain("answer_sanitized")).alias("answer"),
+        plain("category").alias("category"), plain("subcategory").alias("subcategory"), plain("alternate_subcategory").alias("alternate_subcategory"),
+        number(js, "difficulty").cast(T.IntegerType()).alias("difficulty"), number(js, "number").cast(T.IntegerType()).alias("number"), number(js, "set.year").cast(T.IntegerType()).alias("year"),
+        plain("set.name").alias("set_name"), plain("packet.name").alias("packet_name"), sum(filled[1:], filled[0]).alias("meta_score"),
     )
-    filled = [F.when(F.col(c).isNotNull() & (F.col(c).cast("string") != ""), 1).otherwise(0) for c in ("subcategory", "alternate_subcategory", "difficulty", "year", "set_name")]
-    return got.where((F.trim("question") != "") & (F.length("answer") > 0)).withColumn("meta_score", sum(filled[1:], filled[0]))
+    return got.where((F.trim("question") != "") & (F.length("answer") > 0))

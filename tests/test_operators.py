@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as X
 from tessera.operators.dictionary import find_phrases, longest_first
 from tessera.plans.relational import tumbling_windows
-from tessera.sources.tables import questions, require_table, write_table
+from tessera.sources.tables import question_rows, questions, require_table, without_tags, write_table
 from tessera.streaming.windows import event_stream, once_each, windowed
 
 
@@ -20,7 +20,19 @@ def test_questions(spark, tmp_path):
     ]
     (tmp_path / "q.json").write_text("\n\n".join(map(json.dumps, rows)) + "\n")
     got = [tuple(r) for r in questions(spark, str(tmp_path / "q.json")).select("id", "answer", "difficulty", "year", "meta_score").orderBy("id").collect()]
-    assert got == [("a1", "Ada", 7, 2020, 3), ("b2", "It", 3, None, 1)]
+    assert got == [("a1", "Ada", 7, 2020, 1), ("b2", "It", 3, None, 1)]
+
+
+def test_filled_fields(spark):
+    full = {"_id": "x", "question_sanitized": "q", "answer_sanitized": "a", "subcategory": "s", "alternate_subcategory": "", "difficulty": None, "number": {"$numberInt": "4"}, "packet": {"name": "p"}}
+    lines = spark.createDataFrame([(json.dumps(full),)], "value string")
+    assert [(r.meta_score, r.number, r.packet_name) for r in question_rows(lines).collect()] == [(3, 4, "p")]
+
+
+def test_trailing_tags(spark):
+    cases = [("Arc <MS>", "Arc"), ("Mons (1) [AU]", "Mons"), ("Charles I", "Charles I"), ("Novel (1984)", "Novel (1984)"), ("x [A]  [ABCD] ", "x"), ("x [ABCDE]", "x [ABCDE]"), ("<b>x</b>", "<b>x</b>"), (" x (12)<Ed. A>", "x"), ("(1)", ""), ("", ""), (None, None), ("a " + "(1)" * 200, "a")]
+    df = spark.createDataFrame(cases, "a string, b string")
+    assert df.where(~without_tags(F.col("a")).eqNullSafe(F.col("b"))).count() == 0
 
 
 def test_tables(spark, tmp_path):
