@@ -48,3 +48,27 @@ def is_lookalike(a: Column, b: Column) -> Column:
 
 def difficulty_band(difficulty: Column) -> Column:
     return F.when(difficulty.isNull() | (difficulty == 0), "unrated").when(difficulty == 1, "middle_school").when(difficulty <= 5, "high_school").when(difficulty <= 9, "college").otherwise("open")
+
+
+def negated(text: Column, label: Column) -> Column:
+    """Whether a text says not, an article or none, and the label (plain words), whatever the case."""
+    return F.rlike(F.lower(text), F.concat(F.lit(r"\bnot\s+(?:an?\s+|the\s+)?"), F.lower(label), F.lit(r"\b")))
+
+
+def usable_alias(alias: Column, stop_words: tuple[str, ...]) -> Column:
+    """Three letters or digits at least, not a number, no stop word."""
+    bare = F.regexp_replace(F.lower(alias), "[^a-z0-9]", "")
+    return (F.length(bare) >= 3) & ~F.rlike(bare, F.lit("^[0-9]+$")) & ~F.lower(F.trim(alias)).isin(*stop_words)
+
+
+def proper_name(alias: Column) -> Column:
+    """All words of three letters or more begin with a capital, and there is one."""
+    long = F.regexp_extract_all(alias, F.lit("[A-Za-z]{3,}"), F.lit(0))
+    return (F.size(long) > 0) & F.forall(long, lambda w: F.rlike(w, F.lit("^[A-Z]")))
+
+
+def position_in(longer: Column, shorter: Column) -> Column:
+    """Place from 0 at which an array of words stands in another one first; -1 where it doesn't, 0 for no words."""
+    n = F.size(shorter)
+    places = F.when(F.size(longer) >= n, F.sequence(F.lit(0), F.size(longer) - n)).otherwise(F.array().cast("array<int>"))
+    return F.coalesce(F.get(F.filter(places, lambda k: F.slice(longer, k + 1, n) == shorter), F.lit(0)), F.lit(-1))

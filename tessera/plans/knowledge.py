@@ -168,8 +168,13 @@ T = "regexp_extract_all(lower(text), '[a-z0-9]+')"
 NORM = "regexp_replace(trim(regexp_replace(replace(replace(replace(strip_accents(lower({0})), 'ß', 'ss'), 'æ', 'ae'), '&', ' and '), '[^a-z0-9]+', ' ', 'g')), '^(the|an|a) (.)', '\\2')"
 TITLE = "regexp_extract(html, '<title>([^<]*)</title>', 1)"
 ORACLES = {
+    "snapshot_json": """WITH s AS (SELECT c_nationkey, list({'segment': c_mktsegment, 'n': n} ORDER BY c_mktsegment) AS segments FROM (SELECT c_nationkey, c_mktsegment, count(*) AS n FROM customer GROUP BY ALL) GROUP BY 1),
+        r AS (SELECT c_nationkey, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS INTEGER) AS rank, c_custkey, c_acctbal FROM customer),
+        b AS (SELECT c_nationkey, list({'rank': rank, 'c_custkey': c_custkey, 'c_acctbal': c_acctbal} ORDER BY rank) AS best FROM r WHERE rank <= 10 GROUP BY 1)
+        SELECT n_nationkey, CASE WHEN segments IS NULL THEN to_json({'schema_version': 2, 'name': n_name}) ELSE to_json({'schema_version': 2, 'name': n_name, 'segments': segments, 'best': best}) END::VARCHAR AS record
+        FROM nation LEFT JOIN s ON s.c_nationkey = n_nationkey LEFT JOIN b ON b.c_nationkey = n_nationkey""",
     "lookalike_words": f"""WITH w AS (SELECT DISTINCT w FROM (SELECT unnest(regexp_extract_all(lower({TITLE}), '[a-z]+')) AS w FROM pages) WHERE length(w) >= 4)
-        SELECT x.w AS a, y.w AS b FROM w x JOIN w y ON x.w < y.w AND abs(length(x.w) - length(y.w)) <= 1 AND levenshtein(x.w, y.w) = 1 WHERE NOT contains(x.w, y.w) AND NOT contains(y.w, x.w)""",
+        SELECT x.w AS a, y.w AS b FROM w x JOIN w y ON x.w < y.w AND abs(length(x.w) - length(y.w)) <= 2 AND levenshtein(x.w, y.w) <= CASE WHEN greatest(length(x.w), length(y.w)) < 8 THEN 1 ELSE 2 END WHERE NOT contains(x.w, y.w) AND NOT contains(y.w, x.w)""",
     "exact_lookup": f"""WITH c AS (SELECT {NORM.format("p_name")} AS name, p_brand, count(*) AS n FROM part GROUP BY 1, 2),
         r AS (SELECT *, row_number() OVER w AS place, lead(n) OVER w AS next_n FROM c WINDOW w AS (PARTITION BY name ORDER BY n DESC, p_brand))
         SELECT name, n, CASE WHEN coalesce(next_n, 0) * 2 > n THEN NULL ELSE p_brand END AS brand FROM r WHERE place = 1""",
@@ -181,7 +186,7 @@ ORACLES = {
     "bm25_search": f"""WITH d AS (SELECT doc_id, {W} AS w FROM documents), total AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM d),
         q AS (SELECT item_id, unnest(list_distinct({W})) AS word FROM benchmark), x AS (SELECT doc_id, len(w) AS len, unnest(w) AS word FROM d),
         tf AS (SELECT doc_id, len, word, count(*) AS tf FROM x GROUP BY ALL), df AS (SELECT word, count(*) AS df FROM tf GROUP BY word),
-        s AS (SELECT item_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 6) AS score FROM q JOIN tf USING (word) JOIN df USING (word), total WHERE df <= n / 20 GROUP BY 1, 2)
+        s AS (SELECT item_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 6) AS score FROM q JOIN tf USING (word) JOIN df USING (word), total GROUP BY 1, 2)
         SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 10""",
     "trigram_index": f"""WITH s AS (SELECT p_partkey, {NORM.format("p_name")} AS s FROM part), g AS (SELECT DISTINCT p_partkey, substring(s, i, 3) AS gram FROM (SELECT p_partkey, s, unnest(range(1, length(s) - 1)) AS i FROM s WHERE length(s) >= 3))
         SELECT gram, count(*) AS n_parts, min(p_partkey) AS first_part FROM g GROUP BY gram""",

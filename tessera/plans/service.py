@@ -11,7 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.plans.corpus import table
+from tessera.functions.text import position_in, proper_name, usable_alias
+from tessera.plans.corpus import STOP_WORDS, table, words
+from tessera.plans.knowledge import ORACLES as KNOWLEDGE
+from tessera.plans.knowledge import bm25_search
 from tessera.plans.relational import ORACLES as RELATIONAL
 from tessera.plans.relational import edges_score
 from tessera.sources.tables import question_rows
@@ -291,6 +294,51 @@ def overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine.unionByName(proposed).groupBy("key").agg(F.min_by("action", "rank").alias("action"), F.count("*").alias("n"))
 
 
+def search_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best three documents for each benchmark item by the full-text score, joined back to their rows."""
+    hits = bm25_search(spark, sf_dir).where("rank <= 3")
+    return table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars").join(hits, "doc_id").select("item_id", "rank", "doc_id", "lang", "source", "n_chars")
+
+
+def label_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each language, precision among the five and recall among the ten longest labelled documents, good quality being what is sought."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars").join(table(spark, sf_dir, "labels").where("quality is not null"), "doc_id")
+    ranked = d.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n_chars"), "doc_id"))).where("place <= 10")
+    good = d.groupBy("lang").agg(F.sum("quality").alias("sought"))
+    of = ranked.groupBy("lang").agg(F.avg(F.when(F.col("place") <= 5, F.col("quality"))).alias("p"), F.sum("quality").alias("found"))
+    return of.join(good, "lang").select("lang", F.round("p", 6).alias("precision_at_5"), F.round(F.col("found") / F.nullif(F.col("sought"), F.lit(0)), 6).alias("recall_at_10"))
+
+
+def centroid_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors whose cosine with their label's centroid is 0.5 or more. Positions are summed before they meet the vectors."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.posexplode("embedding").alias("pos", "x")).withColumn("x", F.col("x").cast("double"))
+    sums = e.groupBy("label", "pos").agg(F.sum("x").alias("s"))
+    norm = sums.groupBy("label").agg(F.sqrt(F.sum(F.col("s") * F.col("s"))).alias("length"))
+    dots = e.join(sums, ["label", "pos"]).groupBy("label", "vec_id").agg(F.sum(F.col("x") * F.col("s")).alias("dot"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("own"))
+    cosine = F.col("dot") / F.greatest(F.col("own") * F.col("length"), F.lit(1e-12))
+    return dots.join(norm, "label").select("vec_id", "label", F.round(cosine, 5).alias("cosine"), (cosine >= 0.5).alias("kept"))
+
+
+def same_name_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brands that share a part name: the brand of most parts with each other one, with the numbers of parts. Pairs go by the first brand only."""
+    n = table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("name"), F.col("p_brand").alias("other")).agg(F.count("*").alias("n"))
+    first = n.groupBy("name").agg(F.max_by(F.struct(F.col("other").alias("brand"), F.col("n").alias("most")), F.struct("n", "other")).alias("f"), F.count("*").alias("brands")).where("brands > 1")
+    return n.join(first, "name").where("other <> f.brand").groupBy(F.col("f.brand").alias("brand"), "other").agg(F.count("*").alias("names"), F.sum("n").alias("parts"))
+
+
+def alias_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and titles of pages as names: how many are usable, and how many look like proper names."""
+    title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
+    names = table(spark, sf_dir, "pages").select(F.explode(F.array_append(F.split(title, " +"), title)).alias("name")).where("name <> ''")
+    return names.groupBy(usable_alias(F.col("name"), STOP_WORDS).alias("usable"), proper_name(F.col("name")).alias("proper")).agg(F.count("*").alias("n"), F.countDistinct("name").alias("names"))
+
+
+def phrase_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the last two words of an item stand first in it."""
+    w = words(F.col("text"))
+    return table(spark, sf_dir, "benchmark").where(F.size(w) >= 2).select("item_id", position_in(w, F.slice(w, -2, 2)).alias("place"))
+
+
 def question_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns as lines of an extended-JSON export, read back as question records: ids, stripped answers, numbers and filled fields."""
     t = table(spark, sf_dir, "conversations").where("conv_id is not null and turn is not null")
@@ -304,7 +352,8 @@ def question_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     eligible_documents, practice_filter, due_cards, span_lookup, impact, followed_rollup, rating_stats, job_counts, size_buckets, reviewed_lines, source_terms, counts_per_user,
     cited_titles, confusions_top5, best_line, best_values, slugs, roulette, audit_sample, claim_order, shown_names, said_first, trade_checks, progress, cards_filled, open_once, ready_jobs, refreshed,
-    durations, quota_resets, dates_printed, replies, resolved_keys, inspected, run_meta, overrides, question_records,
+    durations, quota_resets, dates_printed, replies, resolved_keys, inspected, run_meta, overrides, question_records, search_hits, label_ranks, centroid_gate, same_name_pairs, alias_kinds,
+    phrase_places,
 )}
 
 ORACLES: dict[str, str] = {
@@ -348,5 +397,16 @@ SELECT 'missing' AS finding, n_nationkey AS a, n_nationkey + 1 AS b FROM nation
     "run_meta": "SELECT 'source_lines' AS key, count(*) AS value FROM documents UNION ALL SELECT 'skipped', count(*) FROM documents WHERE text IS NULL UNION ALL SELECT 'duplicates', count(text) - count(DISTINCT text) FROM documents",
     "question_records": """SELECT conv_id || '-' || turn AS id, role || CASE turn % 4 WHEN 2 THEN ' (1984)' WHEN 3 THEN '</b>' ELSE '' END AS answer, role AS subcategory, CAST(turn AS INTEGER) AS difficulty,
         CASE WHEN coalesce(role, '') = '' THEN 0 ELSE 1 END + 1 + CASE WHEN turn % 2 = 0 THEN 1 ELSE 0 END AS meta_score FROM conversations WHERE trim(text) <> '' AND role IS NOT NULL""",
+    "search_hits": f"SELECT item_id, rank, doc_id, lang, source, n_chars FROM ({KNOWLEDGE['bm25_search']}) JOIN documents USING (doc_id) WHERE rank <= 3",
+    "label_ranks": """WITH d AS (SELECT lang, quality, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS place FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL)
+SELECT lang, round(avg(quality) FILTER (place <= 5), 6) AS precision_at_5, round(sum(quality) FILTER (place <= 10) / nullif(sum(quality), 0), 6) AS recall_at_10 FROM d GROUP BY lang""",
+    "centroid_gate": """WITH e AS (SELECT vec_id, label, unnest(range(len(embedding))) AS pos, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings), s AS (SELECT label, pos, sum(x) AS s FROM e GROUP BY ALL), n AS (SELECT label, sqrt(sum(s * s)) AS length FROM s GROUP BY label),
+c AS (SELECT vec_id, label, sum(x * s) / sqrt(sum(x * x)) AS d FROM e JOIN s USING (label, pos) GROUP BY ALL) SELECT vec_id, label, round(d / length, 5) AS cosine, d / length >= 0.5 AS kept FROM c JOIN n USING (label)""",
+    "same_name_pairs": """WITH n AS (SELECT p_name, p_brand, count(*) AS n, row_number() OVER (PARTITION BY p_name ORDER BY count(*) DESC, p_brand DESC) AS r FROM part GROUP BY p_name, p_brand)
+SELECT f.p_brand AS brand, o.p_brand AS other, count(*) AS names, CAST(sum(o.n) AS BIGINT) AS parts FROM n f JOIN n o ON f.p_name = o.p_name AND f.r = 1 AND o.r > 1 GROUP BY f.p_brand, o.p_brand""",
+    "alias_kinds": f"""WITH t AS (SELECT regexp_extract(html, '<title>([^<]*)</title>', 1) AS t FROM pages), w AS (SELECT unnest(list_append(regexp_split_to_array(t, ' +'), t)) AS name FROM t)
+SELECT length(regexp_replace(lower(name), '[^a-z0-9]', '', 'g')) >= 3 AND NOT regexp_full_match(regexp_replace(lower(name), '[^a-z0-9]', '', 'g'), '[0-9]+') AND lower(trim(name)) NOT IN {STOP_WORDS} AS usable,
+  regexp_matches(name, '[A-Za-z]{{3}}') AND NOT regexp_matches(name, '(^|[^A-Za-z])[a-z][A-Za-z]{{2}}') AS proper, count(*) AS n, count(DISTINCT name) AS names FROM w WHERE name <> '' GROUP BY 1, 2""",
+    "phrase_places": "SELECT item_id, CAST(list_min([i - 1 FOR i IN range(1, len(w)) IF w[i : i + 1] = w[len(w) - 1 : len(w)]]) AS INTEGER) AS place FROM (SELECT item_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM benchmark) WHERE len(w) >= 2",
     "overrides": "SELECT key, CASE WHEN min(rank) = 1 THEN 'keep' ELSE 'unlink' END AS action, count(*) AS n FROM (SELECT c_custkey AS key, 1 AS rank FROM customer WHERE c_acctbal > 9000 UNION ALL SELECT o_custkey, 2 FROM orders WHERE o_totalprice > 300000) GROUP BY key",
 }

@@ -86,3 +86,18 @@ def question_rows(lines: DataFrame) -> DataFrame:
         plain("set.name").alias("set_name"), plain("packet.name").alias("packet_name"), sum(filled[1:], filled[0]).alias("meta_score"),
     )
     return got.where((F.trim("question") != "") & (F.length("answer") > 0))
+
+
+def read_tsv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Lines of fields with tabs between them, without a head."""
+    return spark.read.schema(schema).option("sep", "\t").csv(path)
+
+
+def write_overrides(decided: DataFrame, existing: DataFrame | None, path: str) -> None:
+    """Decisions (key, ...) as JSON lines in order of key; an existing one wins over another of its key."""
+    every = decided.withColumn("rank", F.lit(1))
+    if existing is not None:
+        every = every.unionByName(existing.withColumn("rank", F.lit(0)))
+    fields = [c for c in decided.columns if c != "key"]
+    first = F.min_by(F.struct(*fields), F.struct("rank", *fields)).alias("first")
+    every.groupBy("key").agg(first).select("key", "first.*").orderBy("key").write.mode("overwrite").json(path)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as X
 from tessera.operators.dictionary import find_phrases, longest_first
 from tessera.plans.relational import tumbling_windows
-from tessera.sources.tables import question_rows, questions, require_table, without_tags, write_table
+from tessera.sources.tables import question_rows, questions, read_tsv, require_table, without_tags, write_overrides, write_table
 from tessera.streaming.windows import event_stream, once_each, windowed
 
 
@@ -72,3 +72,22 @@ def test_stream_equals_batch(spark, sf_dir, tmp_path):
     got = {tuple(r) for r in spark.table("w").collect()}
     want = {tuple(r) for r in tumbling_windows(spark, sf_dir).collect()}
     assert got and got <= want and len(got) >= 0.8 * len(want)
+
+
+def test_overrides_and_tab_separated_lists(spark, tmp_path):
+    old = spark.createDataFrame([("b", "keep"), ("a", "drop")], "key string, action string")
+    new = spark.createDataFrame([("b", "drop"), ("c", "drop"), ("c", "drop")], "key string, action string")
+    write_overrides(new, old, str(tmp_path / "o"))
+    assert [tuple(r) for r in spark.read.json(str(tmp_path / "o")).select("key", "action").orderBy("key").collect()] == [("a", "drop"), ("b", "keep"), ("c", "drop")]
+    (tmp_path / "t.tsv").write_text("q1\tName one\nq2\tName, two\n")
+    assert [tuple(r) for r in read_tsv(spark, str(tmp_path / "t.tsv"), "topic_id string, name string").orderBy("topic_id").collect()] == [("q1", "Name one"), ("q2", "Name, two")]
+
+
+def test_predicates_of_names(spark):
+    rows = [("It is not the Moon.", "moon", True), ("Not a moon", "Moon", True), ("nothing moon", "moon", False), ("not moonlight", "moon", False), (None, "moon", None)]
+    df = spark.createDataFrame(rows, "t string, w string, want boolean")
+    assert df.where(~X.negated(F.col("t"), F.col("w")).eqNullSafe(F.col("want"))).count() == 0
+    places = spark.createDataFrame([(["a", "b", "c", "b", "c"], ["b", "c"], 1), (["a"], ["a", "b"], -1), (["a"], [], 0), ([], ["a"], -1)], "l array<string>, s array<string>, want int")
+    assert places.where(X.position_in(F.col("l"), F.col("s")) != F.col("want")).count() == 0
+    names = spark.createDataFrame([("The Moon", True, True), ("12 34", False, False), ("of", False, False), ("old moon", True, False), ("Ab", False, False)], "a string, u boolean, p boolean")
+    assert names.where((X.usable_alias(F.col("a"), ("of",)) != F.col("u")) | (X.proper_name(F.col("a")) != F.col("p"))).count() == 0
