@@ -166,7 +166,7 @@ def _nodes_and_counts(docs: DataFrame, slots: int, id_bits: int) -> tuple[DataFr
                 me, rest = node(s) if len(s) else (None, None)
                 rows.append((len(s), me and me >> (64 - id_bits), rest))
                 keys += [(blocks(s, level) & U64(slots - 1)).astype(np.uint32) for level in levels(len(s))]
-                if len(keys) > 2000:
+                if len(keys) > 500:
                     add(keys)
                     keys = []
             add(keys)
