@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import corpus, knowledge, layout, relational, service, study
+from tessera.plans import corpus, knowledge, layout, relational, service, study, terms
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**corpus.QUERIES, **relational.QUERIES, **knowledge.QUERIES, **service.QUERIES, **study.QUERIES, **layout.QUERIES}
-ORACLES: dict[str, str] = {**corpus.ORACLES, **relational.ORACLES, **knowledge.ORACLES, **service.ORACLES, **study.ORACLES, **layout.ORACLES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**corpus.QUERIES, **relational.QUERIES, **knowledge.QUERIES, **service.QUERIES, **study.QUERIES, **layout.QUERIES, **terms.QUERIES}
+ORACLES: dict[str, str] = {**corpus.ORACLES, **relational.ORACLES, **knowledge.ORACLES, **service.ORACLES, **study.ORACLES, **layout.ORACLES, **terms.ORACLES}
