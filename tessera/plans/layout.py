@@ -44,7 +44,13 @@ def giveaways(spark: SparkSession, sf_dir: str) -> DataFrame:
     return said.where("facts <> ''").groupBy("facts").agg(F.countDistinct("doc_id").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (question_layout, giveaways)}
+def term_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms of the questions' clues and giveaways, whatever their case: sentences that hold them and one spelling. One shuffle, after partial counts."""
+    said = layout(questions_of(spark, sf_dir), "doc_id", "question").where("kind <> 'note'").select(F.explode(S.sentence_terms(F.col("text"))).alias("term"))
+    return said.groupBy(F.lower("term").alias("key")).agg(F.count("*").alias("n_sentences"), F.min("term").alias("term"))
+
+
+QUERIES = {f.__name__: f for f in (question_layout, giveaways, term_counts)}
 
 _LIST = lambda words: "(" + ", ".join(f"'{w}'" for w in words) + ")"
 _LAYOUT = rf"""q AS (SELECT doc_id, regexp_replace(text, '^([^\n]*)\n', '\1 (*) ') || ' A text in ' || lang || ', for 10 points, name this source. Dr. B. Ask wrote it.' AS q FROM documents),

@@ -55,6 +55,15 @@ def answer_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def answer_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How each line judges replies: its links as accepted, prompted and rejected ones, its answer with a letter left out, within more words, and another one."""
+    rows = answer_lines(spark, sf_dir).withColumn("p", parse(F.col("line")))
+    main, link = F.col("p.main"), lambda k: F.coalesce(F.get("links", F.lit(k)), F.lit("none"))
+    replies = {"accepted": link(0), "prompted": link(2), "rejected": link(3), "misspelled": F.concat(F.substr(main, F.lit(1), F.lit(3)), F.substr(main, F.lit(5))), "within": F.concat(F.lit("it is "), main), "other": F.reverse(main), "none": F.lit("")}
+    given = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), r.alias("reply")) for k, r in replies.items()]))
+    return rows.select("page_id", "line", "p", given.alias("g")).select("page_id", "g.kind", "g.reply", judge(F.col("g.reply"), F.col("p")).alias("verdict"))
+
+
 def embedding_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings")
     impact = F.round(F.aggregate(F.slice("embedding", 1, 8), F.lit(0.0), lambda a, x: a + x), 6)
@@ -78,7 +87,7 @@ def review_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fold(e.select(F.col("user_id").alias("card"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), rating.alias("rating")))
 
 
-QUERIES = {f.__name__: f for f in (question_split, key_terms, answer_parse, diverse_picks, average_linkage, review_states)}
+QUERIES = {f.__name__: f for f in (question_split, key_terms, answer_parse, answer_verdicts, diverse_picks, average_linkage, review_states)}
 
 ORACLES = {
     "question_split": r"""WITH p AS (SELECT doc_id, length(text) AS n, unnest(l) AS s, unnest(range(len(l))) AS k FROM (SELECT doc_id, text, regexp_extract_all(text, '[^.!?]*[.!?]+|[^.!?]+') AS l FROM documents)),

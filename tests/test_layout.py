@@ -114,3 +114,48 @@ def test_facts(spark):
     ]
     got = spark.createDataFrame([(t,) for t, _ in told], "t string").select(S.giveaway_facts(F.col("t")).alias("f")).collect()
     assert [r.f for r in got] == [f for _, f in told]
+
+
+def plain_terms(text):
+    """Terms by walking over matches; the first spelling of each."""
+    t = re.sub(S.SAID, " ", text or "")
+    out = []
+    for m in re.finditer(r'["“]([^"”]{3,80})["”]', t):
+        if not t[: m.start()].rstrip(" ").endswith("("):
+            words = " ".join(re.sub(r'["“”\[\]]', "", m[1]).split(" ")).strip(" .,;:!?").split()
+            if words and words[0].lower() not in S.FRAGMENTS:
+                out.append(" ".join(words))
+    t = re.sub(r"\[[^\]]*\]", " ", t)
+    at = 0
+    cap = re.compile(r"[A-Z][\w'’-]*\.?")
+    while m := cap.search(t, at):
+        if m.start() and re.match(r"[\w'’]", t[m.start() - 1]):
+            at = m.start() + 1
+            continue
+        words, end = [m[0]], m.end()
+        while more := re.compile(rf" +(?:({'|'.join(S.WITHIN)}) +)?([A-Z][\w'’-]*\.?)").match(t, end):
+            words += [w for w in more.groups() if w]
+            end = more.end()
+        words[-1] = words[-1].rstrip(".")
+        while words and words[0].lower() in S.NO_TERMS:
+            words.pop(0)
+        if words and (len(words) > 1 or m.start()):
+            out.append(" ".join(words))
+        at = end
+    out += re.findall(r"\b[0-9][0-9,]{2,}\b", t)
+    kept = {}
+    for x in out:
+        if len(x) > 1:
+            kept.setdefault(x.lower(), x)
+    return list(kept.values())
+
+
+def test_terms(spark, sf_dir):
+    texts = [c and " ".join(c.split()) for c in CASES] + [
+        'He wrote "The Waste Land" and "in China." near St. Louis, Missouri.', 'Georgia O\'Keeffe of the United States painted 1,369 bulbs in 1932.', 'Said ("STUR-tuh-vant") or ["oh-oh-cyte"] (FAIN-boss) by Lord [old] Byron.',
+        "This Ludwig van Beethoven is ludwig VAN. Ludwig Van Beethoven again.", "Mutagenesis in E. coli.", "A.", '"one must imagine [Sisyphus] happy" ended it.',
+    ]
+    texts += [" ".join(r.text.split())[:3000] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()]
+    got = spark.createDataFrame(list(enumerate(texts)), "k long, t string").select("k", S.sentence_terms(F.col("t")).alias("x")).collect()
+    for r in got:
+        assert r.x == plain_terms(texts[r.k]), texts[r.k]

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from tessera.functions.answers import judge, parse
 from tessera.operators import diverse
 from tessera.operators.diverse import diverse_pick, greedy, linkage
-from tessera.plans.study import average_linkage
+from tessera.functions.text import normalize
+from tessera.plans.study import answer_lines, answer_verdicts, average_linkage
 from tessera.streaming.review import fold, interval, review
 
 LINE = "<b><u>Ada Lovelace</u></b> [accept Ada King; or Countess of Lovelace; prompt on Ada; do not accept Byron (if given first)]"
@@ -84,3 +85,31 @@ def test_reviews(spark):
         r = got[c]
         assert (r.n_reviews, r.lapses, r.stability, r.difficulty, r.interval_days) == (len(own), sum(x == 1 for _, x in own), *state, interval(state[0]))
     assert review(None, 3, 0)[0] == 3.173 and interval(3.173) == 3
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        left, row[0] = row[0], i
+        for k, y in enumerate(b, 1):
+            left, row[k] = row[k], min(row[k] + 1, row[k - 1] + 1, left + (x != y))
+    return row[-1]
+
+
+def test_verdicts(spark, sf_dir):
+    """The query against a plain judge over the same lines; every verdict occurs."""
+    norm = lambda xs: F.transform(xs, lambda x: normalize(x["text"]))
+    p = parse(F.col("line"))
+    lines = {r.page_id: r for r in answer_lines(spark, sf_dir).select("page_id", normalize(p["main"]).alias("main"), F.transform(p["required"], normalize).alias("required"), norm(p["accept"]).alias("accept"), norm(p["prompt"]).alias("prompt"), norm(p["reject"]).alias("reject")).collect()}
+    seen = set()
+    for r in answer_verdicts(spark, sf_dir).withColumn("given", normalize(F.col("reply"))).collect():
+        x, given = lines[r.page_id], r.given
+        right = [x.main, *x.accept]
+        wrong = [w for w in x.reject if w not in right]
+        near = lambda names: any(len(w) >= 4 and edits(w, given) * 200 <= 15 * (len(w) + len(given)) for w in names)  # noqa: B023, E731
+        held = lambda names: any(w and f" {w} " in f" {given} " for w in names)  # noqa: B023, E731
+        steps = [(given == "" or given in x.reject, "incorrect"), (given in right, "correct"), (given in x.prompt, "prompt"), (held(wrong), "incorrect"), (held(x.required), "correct"), (near(wrong), "incorrect"), (near(right), "correct"), (near(x.prompt), "prompt")]
+        want = next((v for ok, v in steps if ok), "incorrect")
+        assert r.verdict == want, (r, x)
+        seen.add((r.kind, r.verdict))
+    assert {("accepted", "correct"), ("prompted", "prompt"), ("rejected", "incorrect"), ("misspelled", "correct"), ("within", "correct"), ("other", "incorrect"), ("none", "incorrect")} <= seen
