@@ -10,7 +10,7 @@ from tessera.plans.corpus import table
 
 
 def layout(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, sentence, part, kind, text, char_start, char_end, word_start, word_end, position, in_power) of each row's text. No shuffle.
+    """(key, sentence, part, kind, text, char_start, char_end, word_start, word_end, position, in_power) of each row's text. No shuffle. Positions are rounded to four digits, halves up.
 
     Null, empty and blank texts give no rows; equal rows give equal rows. Only ``key`` and ``text`` are read.
     """
@@ -75,7 +75,7 @@ y AS (SELECT *, coalesce(sum(length(t) + 1) OVER u, 0) AS off, coalesce(sum(leng
 ORACLES = {
     "question_layout": rf"""WITH {_LAYOUT}
 SELECT doc_id, CAST(sentence AS INTEGER) AS sentence, CAST(part AS INTEGER) AS part, kind, md5(t) AS text, CAST(char_start + off AS INTEGER) AS char_start, CAST(char_start + off + length(t) AS INTEGER) AS char_end, CAST(word_start + woff AS INTEGER) AS word_start,
-CAST(word_start + woff + length(t) - length(replace(t, ' ', '')) + 1 AS INTEGER) AS word_end, round((char_start + off) / len, 4) AS position, coalesce(char_start + off < power, false) AS in_power FROM y""",
+CAST(word_start + woff + length(t) - length(replace(t, ' ', '')) + 1 AS INTEGER) AS word_end, CAST(((char_start + off) * 20000 + len) // (2 * len) AS BIGINT) / 10000 AS position, coalesce(char_start + off < power, false) AS in_power FROM y""",
     "giveaways": rf"""WITH {_LAYOUT},
 h AS (SELECT doc_id, regexp_matches(t, '{S.ASKS}') AS asks, regexp_replace(regexp_extract(t, '(?s)^(.*?){S.ASKS}', 1), '^[ ,;:–—-]+|[ ,;:–—-]+$', '', 'g') AS b, CASE WHEN regexp_matches(t, '{S.ASKS}') THEN regexp_extract(t, '(?s){S.ASKS}(.*)$', 1) ELSE t END AS a FROM y WHERE kind = 'giveaway'),
 z AS (SELECT doc_id, trim(b) AS b, regexp_replace(regexp_replace(a, '(?i)^[ ,;:]*(?:please\s+)?(?:name|identify|give)\s+(?:(?:me|us)\s+)?(?:(?:this|these|that|those|him|her|it|them|the|a|an)\s+)?', ''), '^[ ,;:–—-]+|[ ,;:–—-]+$', '', 'g') AS a FROM h),
