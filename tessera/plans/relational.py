@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.plans.corpus import table
+from tessera.sources.tables import stored
 
 
 def topic_stats_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,14 +95,19 @@ def usage_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def candidate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts grouped by normalised name: members, distinct brands, most common spelling, number by size.
 
-    A group's number follows from counts per size and a rank within the size: no window over all groups.
+    The largest group is number 1, of equals the one with the smallest key. Groups are cut into ranges of that order; a number is
+    the place in its range and the groups of the ranges before, so no window runs over all groups.
     """
     norm = F.trim(F.regexp_replace(F.lower("p_name"), "[^a-z0-9]+", " "))
     rows = table(spark, sf_dir, "part").select(norm.alias("norm"), "p_name", "p_brand", "p_partkey")
     spelled = rows.groupBy("norm", "p_name").agg(F.count("*").alias("k"), F.min("p_partkey").alias("first"))
     shown = spelled.groupBy("norm").agg(F.max_by("p_name", F.struct("k", -F.col("first"))).alias("display"), F.sum("k").alias("members"), F.min("first").alias("first"))
     brands = rows.groupBy("norm").agg(F.countDistinct("p_brand").alias("brands"))
-    return shown.join(brands, "norm")
+    groups = stored(shown.join(brands, "norm").repartitionByRange(F.desc("members"), "first").withColumn("range", F.spark_partition_id()))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before")
+    ranges = groups.groupBy("range").agg(F.count("*").alias("n")).select("range", before)  # a row for each range
+    place = F.row_number().over(Window.partitionBy("range").orderBy(F.desc("members"), "first"))
+    return groups.withColumn("place", place).join(F.broadcast(ranges), "range").select("norm", "display", "members", "first", "brands", (F.col("before") + F.col("place")).alias("number"))
 
 
 def mode_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -258,7 +264,7 @@ ORACLES = {
     "usage_windows": "WITH l AS (SELECT max(ts) AS latest FROM events) SELECT event_type, count_if(CAST(ts AS DATE) = CAST(latest AS DATE)) AS today, count_if(ts > latest - INTERVAL 7 DAY) AS week, count(*) AS all_time FROM events, l GROUP BY event_type",
     "candidate_groups": """WITH r AS (SELECT trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) AS norm, p_name, p_brand, p_partkey FROM part),
         s AS (SELECT norm, p_name, count(*) AS k, min(p_partkey) AS first FROM r GROUP BY norm, p_name)
-        SELECT norm, arg_max(p_name, k * 1000000000 - first) AS display, CAST(sum(k) AS BIGINT) AS members, min(first) AS first, (SELECT count(DISTINCT p_brand) FROM r WHERE r.norm = s.norm) AS brands FROM s GROUP BY norm""",
+        SELECT norm, arg_max(p_name, k * 1000000000 - first) AS display, CAST(sum(k) AS BIGINT) AS members, min(first) AS first, (SELECT count(DISTINCT p_brand) FROM r WHERE r.norm = s.norm) AS brands, row_number() OVER (ORDER BY sum(k) DESC, min(first)) AS number FROM s GROUP BY norm""",
     "mode_priority": "WITH c AS (SELECT o_custkey, o_orderpriority, count(*) AS n FROM orders GROUP BY 1, 2) SELECT o_custkey, o_orderpriority AS priority, n FROM c QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY n DESC, o_orderpriority) = 1",
     "adjacent_order_check": "WITH o AS (SELECT *, lead(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS nx FROM orders) SELECT o_custkey, count(*) AS n, count(*) FILTER (WHERE nx < o_totalprice) AS n_falls FROM o GROUP BY o_custkey",
     "cooccurrence_top8": """WITH s AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem), p AS (SELECT a.l_suppkey, b.l_suppkey AS other, count(*) AS n FROM s a JOIN s b USING (l_orderkey) WHERE a.l_suppkey <> b.l_suppkey GROUP BY 1, 2)
