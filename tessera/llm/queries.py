@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, fingerprints, ftrl, license_scan, parity_join, pii, secret_scan, sentencepiece_codec, token_counts, warc_fixity
+from tessera.llm import decontaminate, fingerprints, ftrl, license_scan, manifest, parity_join, pii, resampling, secret_scan, sentencepiece_codec, sharding, token_counts, warc_fixity
 from tessera.llm.tables import documents, narrow
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -153,6 +153,103 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode(docs, PIECE_BPE).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+#: Steps of crc32 by bytes, and the bytes of a text, as SQL. The table of 256 is made by the rule.
+CRC_TABLE = r"""crc_table AS (
+  SELECT list(v ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_prepend(i, [CAST(0 AS BIGINT) FOR k IN range(8)]), lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END) AS v FROM range(256) r(i)))"""
+
+
+def _crc_sql(text: str) -> str:
+    octets = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: CAST('0x' || h AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {octets}), lambda c, b: xor(c // 256, t[xor(c, b) % 256 + 1])), 4294967295)"
+
+
+def op11_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 24 shards of near equal bytes, by the law 'bytes'."""
+    cut = sharding.shard(documents(spark, sf_dir), 24)
+    return cut.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+OP11_SQL = rf"""
+WITH {CRC_TABLE},
+sized AS (SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) + 8 AS BIGINT) AS size, {_crc_sql("coalesce(text, '')")} AS text_crc32 FROM documents, crc_table),
+placed AS (SELECT *, CAST(sum(size) OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size ROWS UNBOUNDED PRECEDING) AS BIGINT) - size AS before, CAST(sum(size) OVER () AS BIGINT) AS whole FROM sized),
+cut AS (SELECT *, CAST((24 * (2 * before + size)) // (2 * whole) AS INTEGER) AS shard FROM placed)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY before) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM cut"""
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A draw of a tenth of the documents towards the words of ``benchmark``."""
+    drawn = resampling.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+OP12_SQL = rf"""
+WITH {CRC_TABLE},
+both_words AS (
+  SELECT doc_id, false AS wanted, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM documents
+  UNION ALL
+  SELECT NULL, true, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) FROM benchmark),
+hashed AS (SELECT w, {_crc_sql("w")} % 10000 AS bucket FROM (SELECT DISTINCT w FROM both_words), crc_table),
+counts AS (SELECT bucket, count(*) FILTER (NOT wanted) AS s, count(*) FILTER (wanted) AS t FROM both_words JOIN hashed USING (w) GROUP BY bucket),
+sums AS (SELECT coalesce(sum(s), 0) AS big_s, coalesce(sum(t), 0) AS big_t FROM counts),
+gains AS (SELECT bucket, CAST(floor(1000 * ln((CAST(t + 1 AS DOUBLE) * CAST(big_s + 10000 AS DOUBLE)) / (CAST(s + 1 AS DOUBLE) * CAST(big_t + 10000 AS DOUBLE)))) AS BIGINT) AS gain FROM counts, sums),
+weights AS (SELECT doc_id, count(*) AS n, CAST(sum(gain) AS BIGINT) AS weight FROM both_words JOIN hashed USING (w) JOIN gains USING (bucket) WHERE NOT wanted GROUP BY doc_id),
+scored AS (
+  SELECT d.doc_id, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST(CAST('0x' || substr(sha256('2024:' || d.doc_id), 1, 8) AS BIGINT) AS DOUBLE) + 0.5) / 4294967296))) AS BIGINT) AS score
+  FROM documents d LEFT JOIN weights USING (doc_id)),
+ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS fit FROM scored WHERE n_features >= 20)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, weight, score, CASE WHEN r <= 10 * fit // 100 THEN r END AS rank FROM scored LEFT JOIN ranked USING (doc_id)"""
+
+MANIFEST_FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of all documents by language, and which rows verify after n_chars was raised in about a seventh of them."""
+    docs = documents(spark, sf_dir)
+    fields = {c: F.col(c) for c in MANIFEST_FIELDS}
+    altered = manifest.leaf(*(fields | {"n_chars": F.col("n_chars") + 1}).values())
+    tampered = F.when(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 0, altered)
+    built = manifest.build(docs.select(*MANIFEST_FIELDS, tampered.alias("tampered")), MANIFEST_FIELDS, keep=("doc_id", "tampered"))
+    checked = built.withColumn("folded_root", manifest.fold(F.coalesce("tampered", "leaf"), F.col("path")))
+    return checked.select("doc_id", "leaf", "subroot", "root", F.sha2(manifest.siblings(F.col("path")), 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def _leaf_sql(n_chars: str) -> str:
+    printed = lambda c: f"coalesce(octet_length(encode(CAST({c} AS VARCHAR))) || ':' || CAST({c} AS VARCHAR), '-')"
+    return "sha256(" + " || ".join(printed(c) for c in ("doc_id", "source", "lang", n_chars, "text")) + ")"
+
+
+OP13_SQL = rf"""
+WITH RECURSIVE {CRC_TABLE},
+leaves AS (
+  SELECT doc_id, lang, {_leaf_sql("n_chars")} AS leaf, CASE WHEN {_crc_sql("CAST(doc_id AS VARCHAR)")} % 7 = 0 THEN {_leaf_sql("(n_chars + 1)")} END AS tampered FROM documents, crc_table),
+placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM leaves),
+levels AS (
+  SELECT lang, 0 AS level, list(leaf ORDER BY pos) AS nodes FROM placed GROUP BY lang
+  UNION ALL
+  SELECT lang, level + 1, list_transform(range((len(nodes) + 1) // 2), lambda i: sha256(nodes[2 * i + 1] || coalesce(nodes[2 * i + 2], ''))) FROM levels WHERE len(nodes) > 1),
+subroots AS (SELECT lang, nodes[1] AS subroot, row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS g FROM levels WHERE len(nodes) = 1),
+uppers AS (
+  SELECT 0 AS level, list(subroot ORDER BY g) AS nodes FROM subroots
+  UNION ALL
+  SELECT level + 1, list_transform(range((len(nodes) + 1) // 2), lambda i: sha256(nodes[2 * i + 1] || coalesce(nodes[2 * i + 2], ''))) FROM uppers WHERE len(nodes) > 1),
+steps AS (
+  SELECT p.doc_id, p.lang, p.pos, level, CASE WHEN (p.pos // (CAST(1 AS BIGINT) << level)) % 2 = 1 THEN 'L' || nodes[p.pos // (CAST(1 AS BIGINT) << level)] ELSE 'R' || coalesce(nodes[p.pos // (CAST(1 AS BIGINT) << level) + 2], '') END AS step
+  FROM placed p JOIN levels l ON l.lang IS NOT DISTINCT FROM p.lang WHERE len(nodes) > 1
+  UNION ALL
+  SELECT p.doc_id, p.lang, p.pos, 1000 + level, CASE WHEN (g // (CAST(1 AS BIGINT) << level)) % 2 = 1 THEN 'L' || nodes[g // (CAST(1 AS BIGINT) << level)] ELSE 'R' || coalesce(nodes[g // (CAST(1 AS BIGINT) << level) + 2], '') END
+  FROM placed p JOIN subroots s ON s.lang IS NOT DISTINCT FROM p.lang, uppers WHERE len(nodes) > 1),
+proofs AS (SELECT lang, pos, list(step ORDER BY level) AS path FROM steps GROUP BY lang, pos),
+folded AS (
+  SELECT p.*, coalesce(path, []) AS path,
+    list_reduce(list_prepend(coalesce(tampered, leaf), coalesce(path, [])), lambda d, s: sha256(CASE WHEN s[1] = 'L' THEN s[2:] || d ELSE d || s[2:] END)) AS folded_root
+  FROM placed p LEFT JOIN proofs q ON q.lang IS NOT DISTINCT FROM p.lang AND q.pos = p.pos)
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(path, lambda s: s[2:]), '')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM folded f JOIN subroots s ON s.lang IS NOT DISTINCT FROM f.lang, (SELECT nodes[1] AS root FROM uppers WHERE len(nodes) = 1)"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_warc_fixity": op2_warc_fixity,
@@ -164,6 +261,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_pii": op9_pii,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_byte_shards": op11_byte_shards,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
-ORACLES: dict[str, str] = {"op1_jaccard_join": OP1_SQL, "op2_warc_fixity": OP2_SQL, "op5_decontaminate": OP5_SQL}
+ORACLES: dict[str, str] = {"op1_jaccard_join": OP1_SQL, "op2_warc_fixity": OP2_SQL, "op5_decontaminate": OP5_SQL, "op11_byte_shards": OP11_SQL, "op12_importance_resampling": OP12_SQL, "op13_merkle_manifest": OP13_SQL}
