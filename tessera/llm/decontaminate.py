@@ -2,8 +2,8 @@
 
 Item and document words give hashes of K consecutive words; of each WINDOW of those the smallest is
 kept, so two texts that share K + WINDOW - 1 = 10 consecutive words share a kept gram. Kept grams of
-documents are looked up among those of the items, and each hit is extended word by word both ways;
-what reaches 10 words counts. Items of fewer than 10 words are looked up whole, per length.
+documents are looked up among those of the items, and each hit is extended both ways to the windows of 10 words that hold it;
+those that an item has count, and together they are all of a shared passage. Items of fewer than 10 words are looked up whole, per length.
 
 A benchmark of at most BLOCK_BYTES of text is collected and broadcast as an index, and documents aren't
 shuffled. A larger one is joined with the distinct texts by their kept grams, whatever its size.
@@ -36,82 +36,85 @@ SPAN_KIND = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 RESULT = "n_words long, items array<long>, spans array<struct<start:long,end:long>>"
 
 
+class Lookup:
+    """Sorted distinct hashes, and for each the items that have it."""
+
+    def __init__(self, hashes: np.ndarray, items: np.ndarray):
+        order = np.lexsort((items, hashes))
+        hashes, items = hashes[order], items[order]
+        fresh = np.r_[True, (hashes[1:] != hashes[:-1]) | (items[1:] != items[:-1])][: len(hashes)]
+        hashes, self.items = hashes[fresh], items[fresh]
+        starts = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]][: len(hashes)])
+        self.hashes, self.ends = hashes[starts], np.r_[starts, len(hashes)]
+
+    def places(self, wanted: np.ndarray) -> np.ndarray:
+        """Where each wanted hash stands; -1 where it is missing."""
+        if not len(self.hashes):
+            return np.full(len(wanted), -1)
+        at = np.minimum(np.searchsorted(self.hashes, wanted), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == wanted, at, -1)
+
+    def items_at(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which of the places, item) for all items at the places."""
+        n = self.ends[places + 1] - self.ends[places]
+        which = np.repeat(np.arange(len(places)), n)
+        return which, self.items[np.arange(n.sum()) + np.repeat(self.ends[places] - (np.cumsum(n) - n), n)]
+
+
 class ItemIndex:
-    """Kept grams of the long items, whole hashes of the short ones, and all items' word hashes."""
+    """Kept grams of the long items, their windows, and the short items as windows of their own length."""
 
     def __init__(self, ids: list[int], texts: list[str]):
         data, offsets = bytes_of(pa.array(texts, pa.string()))
         words = split_words(data, offsets, ALNUM_SPLIT)
-        self.ids, self.hash, self.first = np.array(ids, np.int64), words.hash, words.first
-        grams, places, owners, self.short = [], [], [], {}
-        for i, (a, b) in enumerate(zip(words.first, words.first[1:], strict=False)):
-            if b - a >= SPAN:
+        self.ids = np.array(ids, np.int64)
+        grams, found = [np.zeros(0, U64)], {}
+        for i, (a, b) in enumerate(zip(words.first.tolist(), words.first[1:].tolist(), strict=False)):
+            n = min(b - a, SPAN)
+            if n == SPAN:
                 g = ngram_hashes(words.hash[a:b], K)
-                at = winnow.kept(g, WINDOW)
-                grams.append(g[at])
-                places.append(a + at)
-                owners.append(np.full(len(at), i))
-            elif b > a:
-                self.short.setdefault(int(b - a), []).append((ngram_hashes(words.hash[a:b], int(b - a))[0], i))
-        join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-        grams, places, owners = join(grams, np.uint64), join(places, np.int64), join(owners, np.int64)
-        order = np.argsort(grams, kind="stable")
-        self.gram, self.place, self.owner = grams[order], places[order], owners[order]
-        for n, pairs in self.short.items():
-            pairs.sort()
-            self.short[n] = np.array([p[0] for p in pairs], np.uint64), np.array([p[1] for p in pairs], np.int64)
-
-
-def _looked_up(wanted: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs (place in wanted, place in the sorted table) of equal values."""
-    low, high = np.searchsorted(table, wanted), np.searchsorted(table, wanted, "right")
-    some = np.flatnonzero(high > low)
-    n = (high - low)[some]
-    return np.repeat(some, n), np.repeat(low[some] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-
-
-def occurrences(words, index: ItemIndex) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first word, word after the last, item) of each occurrence of an item's windows in the rows' words."""
-    out = []
+                grams.append(np.unique(g[winnow.kept(g, WINDOW)]))
+            if n:
+                windows = ngram_hashes(words.hash[a:b], n)
+                found.setdefault(n, []).append((windows, np.full(len(windows), i)))
+        self.grams = np.unique(np.concatenate(grams))
+        self.windows = {n: Lookup(*(np.concatenate(x) for x in zip(*parts, strict=True))) for n, parts in found.items()}
+
+
+def _hits(words, index: ItemIndex) -> np.ndarray:
+    """First words of the windows of SPAN words around kept grams that items have kept, too."""
     grams = ngram_hashes(words.hash, K)
-    if len(grams) and len(index.gram):
-        whole = words.row[: len(grams)] == words.row[K - 1 :]  # not across two rows
-        counts = np.maximum(0, np.diff(words.first) - K + 1)
-        inner = np.flatnonzero(whole)
-        first = np.r_[0, np.cumsum(counts)]
-        at = inner[winnow.kept_of_many(grams[inner], first, WINDOW)]
-        p, t = _looked_up(grams[at], index.gram)
-        d, q, item = at[p], index.place[t], index.owner[t]
-        row_low, row_high = words.first[words.row[d]], words.first[words.row[d] + 1]
-        low, high = d.copy(), d + K
-        shift = q - d
-        item_low, item_high = index.first[item], index.first[item + 1]
-        for step in (-1, 1):
-            live = np.arange(len(d))
-            while len(live):
-                w = low[live] - 1 if step < 0 else high[live]
-                v = w + shift[live]
-                fits = (w >= row_low[live]) & (v >= item_low[live]) if step < 0 else (w < row_high[live]) & (v < item_high[live])
-                live, w, v = live[fits], w[fits], v[fits]
-                same = words.hash[w] == index.hash[v]
-                live = live[same]
-                if step < 0:
-                    low[live] -= 1
-                else:
-                    high[live] += 1
-        enough = high - low >= SPAN
-        out.append((low[enough], high[enough], item[enough]))
-    for n, (hashes, owner) in index.short.items():
-        g = ngram_hashes(words.hash, n)
-        if len(g):
-            g = np.where(words.row[: len(g)] == words.row[n - 1 :], g, np.uint64(0))
-            p, t = _looked_up(g, hashes)
-            p, t = p[words.row[p] == words.row[p + n - 1]], t[words.row[p] == words.row[p + n - 1]]
-            out.append((p, p + n, owner[t]))
-    if not out:
-        none = np.zeros(0, np.int64)
-        return none, none, none
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+    if not len(grams) or not len(index.grams):
+        return np.zeros(0, np.int64)
+    inner = np.flatnonzero(words.row[: len(grams)] == words.row[K - 1 :])  # not across two rows
+    first = np.r_[0, np.cumsum(np.maximum(0, np.diff(words.first) - K + 1))]
+    at = inner[winnow.kept_of_many(grams[inner], first, WINDOW)]
+    met = at[index.grams[np.minimum(np.searchsorted(index.grams, grams[at]), len(index.grams) - 1)] == grams[at]]
+    starts = np.unique((met[:, None] - np.arange(WINDOW)[None, :]).ravel())
+    row = words.row[np.maximum(starts, 0)]
+    return starts[(starts >= 0) & (starts + SPAN <= words.first[row + 1])]
+
+
+def occurrences(words, index: ItemIndex) -> Iterator[tuple[np.ndarray, int, np.ndarray, np.ndarray]]:
+    """(first words, length, rows, items) of the windows of each length that items have: places, and distinct pairs of row and item.
+
+    A hit of kept grams is extended to all windows that hold the gram; what is longer than a window is the union of its windows. So work
+    and memory grow with the words and with the pairs of row and item, however often words repeat.
+    """
+    for n, lookup in index.windows.items():
+        if n == SPAN:
+            starts = _hits(words, index)
+        else:
+            starts = np.arange(max(0, len(words.hash) - n + 1))
+            starts = starts[words.row[starts] == words.row[starts + n - 1]] if len(starts) else starts
+        if not len(starts):
+            continue
+        places = lookup.places(ngram_hashes(words.hash, n)[starts])
+        starts, places = starts[places >= 0], places[places >= 0]
+        pairs = np.unique(np.stack([words.row[starts], places], 1), axis=0)  # a window that repeats in a row counts once
+        which, items = lookup.items_at(pairs[:, 1])
+        pairs = np.unique(np.stack([pairs[which, 0], items], 1), axis=0)
+        yield starts, n, pairs[:, 0], pairs[:, 1]
 
 
 def _marked(texts: pa.Array, index: ItemIndex) -> pa.Array:
@@ -120,17 +123,19 @@ def _marked(texts: pa.Array, index: ItemIndex) -> pa.Array:
     for a, b in row_slices(offsets):
         words = split_words(data, offsets[a : b + 1], ALNUM_SPLIT)
         n_words += np.diff(words.first).tolist()
-        low, high, item = occurrences(words, index)
-        found: dict[int, tuple[set, set]] = {}
-        for s, e, i in zip(low.tolist(), high.tolist(), item.tolist(), strict=True):
-            row = int(words.row[s])
-            got = found.setdefault(row, (set(), set()))
-            got[0].add(int(index.ids[i]))
-            got[1].add((s - int(words.first[row]), e - int(words.first[row])))
-        for row in range(b - a):
-            got = found.get(row)
-            items.append(sorted(got[0]) if got else [])
-            spans.append([{"start": s, "end": e} for s, e in _united(got[1])] if got else [])
+        own: list[set[int]] = [set() for _ in range(b - a)]
+        inside: list[set[tuple[int, int]]] = [set() for _ in range(b - a)]
+        for starts, n, rows, found in occurrences(words, index):
+            for row, i in zip(rows.tolist(), index.ids[found].tolist(), strict=True):
+                own[row].add(i)
+            # windows that overlap or touch within a row are one span
+            cut = np.flatnonzero((np.diff(starts) > n) | (np.diff(words.row[starts]) != 0)) + 1
+            low, last = starts[np.r_[0, cut]] if len(starts) else starts, starts[np.r_[cut, len(starts)] - 1] if len(starts) else starts
+            row = words.row[low]
+            for r, s, e in zip(row.tolist(), (low - words.first[row]).tolist(), (last + n - words.first[row]).tolist(), strict=True):
+                inside[r].add((s, e))
+        items += [sorted(x) for x in own]
+        spans += [[{"start": s, "end": e} for s, e in _united(x)] for x in inside]
     return pa.StructArray.from_arrays([pa.array(n_words, pa.int64()), pa.array(items, pa.list_(pa.int64())), pa.array(spans, pa.list_(SPAN_KIND))], ["n_words", "items", "spans"])
 
 
@@ -203,7 +208,10 @@ def _joined(texts: DataFrame, items: DataFrame) -> DataFrame:
 
     lengths = sorted(r.n for r in once.select("text").mapInArrow(n_words, "n long").where(f"n between 1 and {SPAN - 1}").distinct().collect())
     pairs = _kept_grams(texts, "digest", lengths, False).join(_kept_grams(once, "item", lengths, True), ["gram", "salt"]).select("digest", "item").distinct()
-    full = stored(pairs, "pairs").join(texts, "digest").join(once.withColumnRenamed("text", "sought"), "item")
+    # an item may be in a third of all texts: it meets them in SALTS tasks
+    every = F.explode(F.array(*[F.lit(k).cast("long") for k in range(SALTS)]))
+    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("digest"), F.lit(SALTS)))
+    full = stored(salted, "pairs").join(texts, "digest").join(once.select("item", F.col("text").alias("sought"), every.alias("salt")), ["item", "salt"])
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -218,7 +226,8 @@ def _joined(texts: DataFrame, items: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("digest").take(some), batch.column("item").take(some), spans], ["digest", "item", "spans"])
 
     hits = full.select("digest", "item", "text", "sought").mapInArrow(verified, "digest string, item string, spans array<struct<start:long,end:long>>")
-    named = hits.join(items.select("item", "item_id"), "item")
+    hits = hits.withColumn("salt", F.pmod(F.xxhash64("digest"), F.lit(SALTS)))
+    named = hits.join(items.select("item", "item_id", every.alias("salt")), ["item", "salt"])
     return named.groupBy("digest").agg(F.sort_array(F.collect_set("item_id")).alias("items"), F.flatten(F.collect_set("spans")).alias("spans"))
 
 

@@ -338,5 +338,5 @@ def rules() -> list[Rule]:
     for (label, words, name, bare), (priority, confidence, phrase) in itertools.product(NAMES, [*PHRASES, BARE]):
         if (priority, confidence, phrase) != BARE or bare:
             out.append(Rule(label, frozenset(words.split()), priority, confidence, re.compile(f"(?<= ){phrase.replace('{}', f'(?:{name})')}(?= )")))
-    out += [Rule(label, frozenset(words.split()), priority, confidence, re.compile(f"(?<= ){text}(?= )")) for label, words, priority, confidence, text in TEXTS]
+    out += [Rule(label, frozenset(words.split()), priority, confidence, re.compile(f"(?<= )(?:{text})(?= )")) for label, words, priority, confidence, text in TEXTS]
     return sorted(out, key=lambda r: r.priority)

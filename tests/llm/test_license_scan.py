@@ -116,6 +116,20 @@ def test_query(spark, sf_dir):
     assert some
 
 
+def test_spans_are_whole_words():
+    """Strings of every rule glued to letters on either side, and within a text: no span is empty or cuts a word."""
+    own = scanner()
+    every = {w for r in own.rules for w in r.keywords} | {b[1] for b in own.base}
+    for r in own.rules:
+        for x in strings(re._parser.parse(r.pattern.pattern))[::5]:
+            for text in (f"ne{x}", f"{x}er", f"a {x}1999 b", f"q {x} z"):
+                line = f" {' '.join(text.split())} "
+                for m in r.pattern.finditer(line):
+                    assert m.end() > m.start() and line[m.start() - 1] == " " == line[m.end()] and line[m.start()] != " " != line[m.end() - 1], (r.label, text)
+    assert [d[:3] for d in own.scan("eula nebeula x", every)[1]] == [("proprietary", 0, 1)]
+    assert [d[:3] for d in own.scan("server side public license 1999", every)[1]] == [("sspl", 0, 4)]  # the name, not "license 1"
+
+
 def test_intervals_against_all_pairs():
     rng = random.Random(4)
     for _ in range(300):

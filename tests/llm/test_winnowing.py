@@ -3,8 +3,10 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,6 +74,29 @@ def test_mark(spark, block_bytes):
     assert got == {i: slow_mark(t, known) for i, t in enumerate(texts)}
 
 
+def test_repeated_words_take_linear_time():
+    """One word over and over in a text and in items, as many items as share a window, short ones too."""
+    ids = list(range(300))
+    texts = ["la " * 1000] * 200 + ["la " * (k % 12) for k in range(100)]
+    index = decontaminate.ItemIndex(ids, texts)
+    began = time.process_time()
+    got = decontaminate._marked(pa.array(["la " * 20_000, "la " * 9, "x " + "la " * 10 + "y", None]), index).to_pylist()
+    assert time.process_time() - began < 1
+    assert [r["spans"] for r in got] == [[{"start": 0, "end": 20_000}], [{"start": 0, "end": 9}], [{"start": 1, "end": 11}], []]
+    known = [(i, t) for i, t in zip(ids, texts, strict=True)]
+    assert (got[1]["n_words"], sum(s["end"] - s["start"] for s in got[1]["spans"]), got[1]["items"]) == slow_mark("la " * 9, known)
+    assert got[0]["items"] == [i for i, t in known if t]
+
+
+def test_hot_item_is_joined_in_parts(spark):
+    """A passage in most of the texts, by the join of fingerprints: equal to the index."""
+    passage = " ".join(f"p{k}" for k in range(14))
+    docs = spark.createDataFrame([(i, f"{i} a b c {passage} d {i}" if i % 3 else f"only {i}") for i in range(90)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, passage), (2, passage), (3, "p3 p4"), (4, "nothing like it")], "item_id long, text string")
+    rows = [sorted((r.doc_id, r.n_hit, r["items"], r.spans) for r in decontaminate.mark(docs, items, block_bytes=b).collect()) for b in (0, 1 << 20)]
+    assert rows[0] == rows[1] and sum(bool(r[1]) for r in rows[0]) == 60
+
+
 def test_mark_empty(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     none = docs.select(F.col("doc_id").alias("item_id"), "text").limit(0)
