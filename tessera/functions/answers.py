@@ -33,7 +33,7 @@ def parse(line: Column) -> Column:
     """
     text = plain(F.coalesce(line, F.lit("")))
     main = F.trim(F.regexp_replace(F.regexp_extract(text, r"^([^\[\(]*)", 1), '["“”]', ""))
-    inside = F.array_join(F.regexp_extract_all(text, F.lit(r"[\[\(]([^\[\]\(\)]*(?:\([^()]*\)[^\[\]\(\)]*)*)"), F.lit(1)), ";")
+    inside = F.array_join(F.regexp_extract_all(text, F.lit(r"[\[\(]([^\[\]\(\)]*+(?:\([^()]*+\)[^\[\]\(\)]*+)*+)"), F.lit(1)), ";")
     parts = F.filter(F.transform(F.split(inside, r"\s*;\s*"), lambda p: F.trim(p)), lambda p: p != "")
     known = f"(?i){ACCEPT}|{PROMPT}|{REJECT}"
     head = F.regexp_extract(F.coalesce(line, F.lit("")), r"^([^\[\(]*)", 1)

@@ -15,15 +15,10 @@ def layout(rows: DataFrame, key: str, text: str) -> DataFrame:
     Null, empty and blank texts give no rows; equal rows give equal rows. Only ``key`` and ``text`` are read.
     """
     clean = rows.select(F.col(key), S.clean_text(F.col(text)).alias("clean"), S.power_char(F.col(text)).alias("power"))
-    found = clean.where("clean <> ''").select(key, "power", F.length("clean").alias("length"), S.sentences(F.col("clean")).alias("found"))
-    each = found.select(key, "power", "length", F.posexplode(S.with_kinds(F.col("found"))).alias("sentence", "s"))
-    parts = each.select(key, "power", "length", "sentence", "s", F.posexplode(S.spans(F.col("s"))).alias("part", "x"))
-    start = F.col("s.char_start") + F.col("x.offset")
-    words_before = F.when(F.col("x.offset") == 0, 0).otherwise(S.n_words(F.substr("s.text", F.lit(1), F.col("x.offset"))) - 1)
-    word = F.col("s.word_start") + words_before
-    return parts.select(
-        key, "sentence", "part", "x.kind", "x.text", start.alias("char_start"), (start + F.length("x.text")).alias("char_end"), word.alias("word_start"), (word + S.n_words(F.col("x.text"))).alias("word_end"),
-        F.round(start / F.col("length"), 4).alias("position"), F.coalesce(start < F.col("power"), F.lit(False)).alias("in_power"),
+    found = clean.where("clean <> ''").select(key, "power", F.length("clean").alias("length"), F.explode(S.parts(F.col("clean"))).alias("x"))
+    return found.select(
+        key, "x.sentence", "x.part", "x.kind", "x.text", "x.char_start", (F.col("x.char_start") + F.length("x.text")).alias("char_end"), "x.word_start", (F.col("x.word_start") + S.n_words(F.col("x.text"))).alias("word_end"),
+        F.round(F.col("x.char_start") / F.col("length"), 4).alias("position"), F.coalesce(F.col("x.char_start") < F.col("power"), F.lit(False)).alias("in_power"),
     )
 
 
@@ -52,6 +47,7 @@ def term_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (question_layout, giveaways, term_counts)}
 
+_ARRAY = lambda words: "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
 _LIST = lambda words: "(" + ", ".join(f"'{w}'" for w in words) + ")"
 _LAYOUT = rf"""q AS (SELECT doc_id, regexp_replace(text, '^([^\n]*)\n', '\1 (*) ') || ' A text in ' || lang || ', for 10 points, name this source. Dr. B. Ask wrote it.' AS q FROM documents),
 f AS (SELECT doc_id, trim(regexp_replace(q, '[\s\x0b\x85\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]+', ' ', 'g')) AS f FROM q WHERE q IS NOT NULL),
@@ -65,7 +61,7 @@ g AS (SELECT doc_id, list_reduce(list_prepend({{'sure': 0, 's': 0, 'c': 0, 'flag
   lambda a, x: CASE WHEN x.sure = 1 OR x.sure = 2 AND (a.s + x.s) % 2 = 0 AND a.c + x.c <= 0 THEN {{'sure': 0, 's': 0, 'c': 0, 'flags': a.flags || '1'}} ELSE {{'sure': 0, 's': a.s + x.s, 'c': a.c + x.c, 'flags': a.flags || '0'}} END).flags AS flags FROM j GROUP BY doc_id),
 n AS (SELECT doc_id, len, power, p, i, length(replace(substr(flags, 1, i), '0', '')) AS sentence FROM j JOIN g USING (doc_id)),
 s AS (SELECT doc_id, sentence, any_value(len) AS len, any_value(power) AS power, string_agg(p, ' ' ORDER BY i) AS text FROM n GROUP BY doc_id, sentence),
-w AS (SELECT *, coalesce(sum(length(text) + 1) OVER o, 0) AS char_start, coalesce(sum(length(text) - length(replace(text, ' ', '')) + 1) OVER o, 0) AS word_start, regexp_matches(text, '{S.NOTE.replace("'", "''")}') AS note, regexp_matches(text, '{S.ASKS}') AS asks
+w AS (SELECT *, coalesce(sum(length(text) + 1) OVER o, 0) AS char_start, coalesce(sum(length(text) - length(replace(text, ' ', '')) + 1) OVER o, 0) AS word_start, len(list_filter({_ARRAY(S.NOTE_OPENINGS)}, lambda o: starts_with(lower(text), o))) > 0 AS note, regexp_matches(text, '{S.ASKS}') AS asks
   FROM s WINDOW o AS (PARTITION BY doc_id ORDER BY sentence ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 b AS (SELECT *, coalesce(min(sentence) FILTER (asks AND NOT note) OVER d, CASE WHEN count(*) FILTER (NOT note) OVER d > 1 THEN max(sentence) FILTER (NOT note) OVER d END) AS give FROM w WINDOW d AS (PARTITION BY doc_id)),
 k AS (SELECT *, CASE WHEN note THEN 'note' WHEN sentence >= give THEN 'giveaway' ELSE 'clue' END AS kind, length(text) - length(replace(text, ' ', '')) + 1 AS words FROM b),
@@ -78,8 +74,15 @@ SELECT doc_id, CAST(sentence AS INTEGER) AS sentence, CAST(part AS INTEGER) AS p
 CAST(word_start + woff + length(t) - length(replace(t, ' ', '')) + 1 AS INTEGER) AS word_end, CAST(((char_start + off) * 20000 + len) // (2 * len) AS BIGINT) / 10000 AS position, coalesce(char_start + off < power, false) AS in_power FROM y""",
     "giveaways": rf"""WITH {_LAYOUT},
 h AS (SELECT doc_id, regexp_matches(t, '{S.ASKS}') AS asks, regexp_replace(regexp_extract(t, '(?s)^(.*?){S.ASKS}', 1), '^[ ,;:–—-]+|[ ,;:–—-]+$', '', 'g') AS b, CASE WHEN regexp_matches(t, '{S.ASKS}') THEN regexp_extract(t, '(?s){S.ASKS}(.*)$', 1) ELSE t END AS a FROM y WHERE kind = 'giveaway'),
-z AS (SELECT doc_id, trim(b) AS b, regexp_replace(regexp_replace(a, '(?i)^[ ,;:]*(?:please\s+)?(?:name|identify|give)\s+(?:(?:me|us)\s+)?(?:(?:this|these|that|those|him|her|it|them|the|a|an)\s+)?', ''), '^[ ,;:–—-]+|[ ,;:–—-]+$', '', 'g') AS a FROM h),
-v AS (SELECT doc_id, b, CASE WHEN regexp_matches(a, '(?i)^(?:what|which|who)(?:\s+(?:this|these|the|a|an))?\s+[a-z][\p{{L}}\p{{N}}_-]*\s*\??$') THEN '' ELSE trim(regexp_replace(a, '\.+$', '')) END AS a FROM z),
+l AS (SELECT doc_id, trim(b) AS b, string_split(ltrim(a, ' ,;:'), ' ') AS w FROM h),
+l1 AS (SELECT *, CASE WHEN lower(w[1]) = 'please' THEN w[2:] ELSE w END AS v FROM l),
+l2 AS (SELECT *, CASE WHEN len(v) > 1 AND list_contains({_ARRAY(S.ASK_VERBS)}, lower(v[1])) THEN v[2:] END AS v2 FROM l1),
+l3 AS (SELECT *, CASE WHEN len(v2) > 1 AND list_contains({_ARRAY(S.ASKED_FOR)}, lower(v2[1])) THEN v2[2:] ELSE v2 END AS v3 FROM l2),
+l4 AS (SELECT *, CASE WHEN len(v3) > 1 AND list_contains({_ARRAY(S.POINTERS)}, lower(v3[1])) THEN v3[2:] ELSE v3 END AS v4 FROM l3),
+z AS (SELECT doc_id, b, trim(array_to_string(coalesce(v4, w), ' '), ' ,;:–—-') AS a FROM l4),
+z1 AS (SELECT *, string_split(lower(a), ' ') AS w FROM z),
+v AS (SELECT doc_id, b, CASE WHEN list_contains({_ARRAY(S.QUESTION_WORDS)}, w[1]) AND len(w) - CASE WHEN len(w) > 2 AND list_contains({_ARRAY(S.BARE_POINTERS)}, w[2]) THEN 1 ELSE 0 END = 2
+  AND regexp_full_match(w[-1], '[a-z][\p{{L}}\p{{N}}_-]*\??') THEN '' ELSE trim(rtrim(a, '.')) END AS a FROM z1),
 r AS (SELECT doc_id, trim(concat_ws(' ', CASE WHEN length(b) - length(replace(b, ' ', '')) >= 2 THEN b ELSE '' END, CASE WHEN contains(a, ' ') THEN a ELSE '' END)) AS facts FROM v)
 SELECT facts, count(DISTINCT doc_id) AS n FROM r WHERE facts <> '' GROUP BY facts""",
 }

@@ -32,7 +32,7 @@ def question_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def key_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Capitalised runs of at least two words, quoted phrases and numbers of three or more digits, by documents."""
-    found = F.concat(*[F.regexp_extract_all("text", F.lit(p), F.lit(1)) for p in ("([A-Z][a-z]+(?: [A-Z][a-z]+)+)", '"([^"]+)"', "([0-9]{3,})")])
+    found = F.concat(*[F.regexp_extract_all("text", F.lit(p), F.lit(1)) for p in ("([A-Z][a-z]++(?: [A-Z][a-z]++)++)", '"([^"]+)"', "([0-9]{3,})")])
     terms = table(spark, sf_dir, "documents").select(F.explode(F.array_distinct(found)).alias("term"))
     return terms.groupBy("term").agg(F.count("*").alias("n_docs"))
 

@@ -37,7 +37,7 @@ def clue_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     Terms are counted per document before the shuffle by term; only distinct (term, word) rows meet the counts of words.
     """
     docs = table(spark, sf_dir, "documents").select("text")
-    found = F.concat(F.regexp_extract_all("text", F.lit("([A-Z][a-z]+(?: [A-Z][a-z]+)*)"), F.lit(1)), F.regexp_extract_all("text", F.lit(r"\bthe ([a-z]+(?: [a-z]+)?)"), F.lit(1)))
+    found = F.concat(F.regexp_extract_all("text", F.lit("([A-Z][a-z]++(?: [A-Z][a-z]++)*+)"), F.lit(1)), F.regexp_extract_all("text", F.lit(r"\bthe ([a-z]+(?: [a-z]+)?)"), F.lit(1)))
     terms = docs.select(F.explode(F.array_distinct(F.transform(found, tidy))).alias("term")).where("term is not null").groupBy("term").agg(F.count("*").alias("n_docs"))
     ws = F.filter(F.regexp_extract_all(F.lower("term"), F.lit("[a-z]+"), F.lit(0)), lambda w: ~w.isin(*STOP_WORDS))
     pairs = terms.select("term", F.explode(F.array_distinct(ws)).alias("word"))

@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share; one is made only where the session names none."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not named:
         named = tempfile.mkdtemp(prefix="spark-shared-")
         spark.sparkContext.setCheckpointDir(named)
@@ -52,17 +54,26 @@ def text(js: Column, path: str) -> Column:
     return F.coalesce(F.get_json_object(js, f"$.{path}.$oid"), F.when(~plain.startswith("{"), plain))
 
 
-# How author and editor tags look that follow an answer: opening, what is inside, closing.
-TAGS = (("<", "[^<>/]{1,40}", ">"), (r"\[", "[A-Z]{1,4}", r"\]"), (r"\(", "[0-9]{1,2}", r"\)"))
-LAST_TAG = "(?:" + "|".join(map("".join, TAGS)) + ")$"
-
-
 def without_tags(answer: Column) -> Column:
-    """An answer without its trailing tags: the last one goes as often as there are closing brackets."""
-    clean = F.regexp_replace(answer, r"\s+$", "")
-    rounds = F.regexp_count(clean, F.lit(r"[>\])]"))
-    stripped = F.aggregate(F.array_repeat(F.lit(0), rounds), clean, lambda left, _: F.regexp_replace(F.regexp_replace(left, LAST_TAG, ""), r"\s+$", ""))
-    return F.regexp_replace(stripped, r"^\s+", "")
+    """An answer without the author's and editor's tags behind it.
+
+    A tag is up to 40 characters in angle brackets with no slash among them, up to four capitals in square ones, or up to two
+    digits in round ones. The last one goes as often as there are closing brackets.
+    """
+    tags = {">": ("<", 40, lambda t: ~t.contains("/") & ~t.contains(">")), "]": ("[", 4, lambda t: F.rlike(t, F.lit("^[A-Z]*$"))), ")": ("(", 2, lambda t: F.rlike(t, F.lit("^[0-9]*$")))}
+    bare = lambda t: F.regexp_replace(t, r"\s+$", "")
+
+    def cut(text: Column) -> Column:
+        body, out = F.left(text, F.length(text) - 1), text
+        for closing, (opening, most, fits) in tags.items():
+            inside = F.substring_index(body, opening, -1)
+            tag = text.endswith(closing) & body.contains(opening) & F.length(inside).between(1, most) & fits(inside)
+            out = F.when(tag, bare(F.left(text, F.length(text) - F.length(inside) - 2))).otherwise(out)
+        return out
+
+    clean = bare(answer)
+    rounds = F.length(clean) - F.length(F.translate(clean, ">])", ""))
+    return F.regexp_replace(F.aggregate(F.array_repeat(F.lit(0), rounds), clean, lambda left, _: cut(left)), r"^\s+", "")
 
 
 def questions(spark: SparkSession, path: str) -> DataFrame:

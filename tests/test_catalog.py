@@ -42,3 +42,21 @@ def test_oracle(spark, sf_dir, db, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
 def test_rows(spark, sf_dir, name):
     assert catalog.QUERIES[name](spark, sf_dir).count() > 0
+
+
+def test_patterns_need_no_stack(spark, tmp_path):
+    """A megabyte made for each repeated group of a pattern: capitalised words, brackets, tags, numbers, quotations."""
+    from pyspark.sql import functions as F
+
+    from tessera.functions.answers import judge, parse
+    from tessera.plans.study import key_terms
+    from tessera.plans.terms import clue_terms
+    from tessera.sources.tables import without_tags
+
+    units = ["Anna Berg ", "the red barn ", "1,234 ", '"so on" ', "A. ", "word "]
+    docs = spark.createDataFrame([(k, u * (1_000_000 // len(u))) for k, u in enumerate(units)], "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    assert key_terms(spark, str(tmp_path)).count() and clue_terms(spark, str(tmp_path)).count()
+    lines = ["x " + "(a) " * 5_000, "x [" + "(a) " * 5_000 + "]", "(" * 20_000, "x " + "[accept y] " * 1_000, "<b>" * 1_000]
+    rows = spark.createDataFrame([(t,) for t in lines], "t string").select(parse(F.col("t")).alias("p"), F.length(without_tags(F.concat("t", F.lit(" <An Author>")))).alias("n"))
+    assert [r.n > 0 for r in rows.select("n", judge(F.lit("y"), F.col("p"))).collect()] == [True] * 4 + [False]

@@ -1,6 +1,7 @@
 """Sentences, kinds and giveaways against a plain scan, on texts with every rule and the odd cases."""
 
 import re
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -11,10 +12,10 @@ from tessera.functions import sentences as S
 from tessera.plans.layout import layout
 
 CASES = [
-    None, "", "   ", "(*)", "One sentence", "A. B. Yates wrote this. This man left.", "He met Dr. Smith at No. 3. The rest is known.", 'He sang "Ah! Si tu savais!" Then he left. "Why? Ask." It was so.',
+    None, "", "   ", "(*)", "One sentence", "C. D. Orlov built this. This man left.", "She met Dr. Okafor at No. 3. The rest is known.", 'They cried "Ho! Row on, row!" Then they left. "Why? Ask." It was so.',
     "It fell “so! Far” then. He rose! And went. lower case. Still?", "First clue here (*) second one. For 10 points, name this thing.", "Note to moderator: read slowly. Clue one. Clue two. FTP, name it.",
-    "A battle royale scene occurs in the first chapter of, for 10 points, what novel?", "; ".join(f"part {k} of a long sentence with words" for k in range(9)) + ". For ten points, identify him.",
-    "Vitamin K. This one is found. U.S. Steel was one. In 1900. 7 more.", "Tab\tand wide. (*) (*) Two marks.", "Descriptive answer acceptable. It burned.", "x;  y; z " * 30, "Word. " * 3000,
+    "A kite lost in the rain begins the second act of, for 10 points, what drama?", "; ".join(f"part {k} of a long sentence with words" for k in range(9)) + ". For ten points, identify him.",
+    "Model T. This one is driven. U.K. Rail was one. In 1911. 7 more.", "Tab\tand wide. (*) (*) Two marks.", "Descriptive answer acceptable. It burned.", "x;  y; z " * 30, "Word. " * 3000,
 ]
 
 
@@ -49,7 +50,7 @@ def plain_rows(question):
                 continue
         found.append(sentence)
         held = []
-    notes = [bool(re.match(S.NOTE, s)) for s in found]
+    notes = [s.lower().startswith(S.NOTE_OPENINGS) for s in found]
     body = [i for i, n in enumerate(notes) if not n]
     ask = [i for i in body if re.search(S.ASKS, found[i])]
     give = ask[0] if ask else body[-1] if len(body) > 1 else None
@@ -109,8 +110,8 @@ def test_empty(spark):
 
 def test_facts(spark):
     told = [
-        ("A scene of this kind occurs in, for 10 points, what novel?", "A scene of this kind occurs in"), ("For 10 points, name this poet.", ""), ("FTP, identify this author of Emma and Persuasion.", "author of Emma and Persuasion"),
-        ("Please give the largest moon of Saturn.", "largest moon of Saturn"), ("For ten points--which poet?", ""), ("For ten points--who is it?", "who is it?"), ("", ""),
+        ("A kite is lost in the rain in, for 10 points, what drama?", "A kite is lost in the rain in"), ("For 10 points, name this poet.", ""), ("FTP, identify this painter of barns and rivers.", "painter of barns and rivers"),
+        ("Please give the longest river of Peru.", "longest river of Peru"), ("Please give", "Please give"), ("Name me those two!", ""), ("What the river?", ""), ("FTP, please identify us them all", ""), ("For ten points--which poet?", ""), ("For ten points--who is it?", "who is it?"), ("", ""),
     ]
     got = spark.createDataFrame([(t,) for t, _ in told], "t string").select(S.giveaway_facts(F.col("t")).alias("f")).collect()
     assert [r.f for r in got] == [f for _, f in told]
@@ -118,7 +119,8 @@ def test_facts(spark):
 
 def plain_terms(text):
     """Terms by walking over matches; the first spelling of each."""
-    t = re.sub(S.SAID, " ", text or "")
+    said = r"""\[[^\]]*[-"“][^\]]*\]|\(\s*["“][^)]*\)|\(\s*(?:[A-Za-z']*[A-Z]{2}[a-z]*-[A-Za-z' -]*|[A-Za-z']*-[A-Z]{2}[A-Za-z' -]*)\)"""
+    t = re.sub(said, " ", text or "")
     out = []
     for m in re.finditer(r'["“]([^"”]{3,80})["”]', t):
         if not t[: m.start()].rstrip(" ").endswith("("):
@@ -150,10 +152,19 @@ def plain_terms(text):
     return list(kept.values())
 
 
+def test_long_texts_take_linear_time():
+    """A megabyte of sentences, of capitalised words, of brackets: walked over in seconds."""
+    for unit in ("Then it rained again. ", "Anna Berg ", "(ka-LA) [b-c] ", '"so on" ', "; and more words", "Dr. A. "):
+        text = (unit * (1_000_000 // len(unit))).strip()
+        began = time.process_time()
+        assert list(S.split_question(text)) and isinstance(S.terms(text), list) and isinstance(S.facts(text), str)
+        assert time.process_time() - began < 5, unit
+
+
 def test_terms(spark, sf_dir):
     texts = [c and " ".join(c.split()) for c in CASES] + [
-        'He wrote "The Waste Land" and "in China." near St. Louis, Missouri.', 'Georgia O\'Keeffe of the United States painted 1,369 bulbs in 1932.', 'Said ("STUR-tuh-vant") or ["oh-oh-cyte"] (FAIN-boss) by Lord [old] Byron.',
-        "This Ludwig van Beethoven is ludwig VAN. Ludwig Van Beethoven again.", "Mutagenesis in E. coli.", "A.", '"one must imagine [Sisyphus] happy" ended it.',
+        'She sang "The Long Ferry" and "in Kyoto." near St. Albans, Vermont.', 'Maeve O\'Hara of the Western Isles carved 2,418 spoons in 1877.', 'Said ("KAR-uh-mel") or ["ah-ah-lite"] (VEEN-ders) or (no-WAY) by Lady [young] Marsh.',
+        "This Jan van Dorp is jan VAN. Jan Van Dorp again.", "Growth in B. minor.", "A.", '"we all may call [the miller] home" ended it.', "The anti-Dorp League and Dorp-like -Marsh.",
     ]
     texts += [" ".join(r.text.split())[:3000] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()]
     got = spark.createDataFrame(list(enumerate(texts)), "k long, t string").select("k", S.sentence_terms(F.col("t")).alias("x")).collect()

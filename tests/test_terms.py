@@ -29,7 +29,7 @@ def test_share_ends():
 
 
 def test_tidy(spark):
-    cases = {"1420": None, "stream of": None, "is theft": None, "SU": None, "": None, '"The Waste Land,"': "The Waste Land", "Keats's": "Keats", "You Can Call Me Al": "You Can Call Me Al", "one two three four five six": None, "radius": "radius"}
+    cases = {"1877": None, "river of": None, "is mended": None, "BK": None, "": None, '"The Long Ferry,"': "The Long Ferry", "Orlov's": "Orlov", "We May Row It Home": "We May Row It Home", "one two three four five six": None, "harbour": "harbour"}
     got = spark.createDataFrame([(t,) for t in cases], "t string").select("t", tidy(F.col("t")).alias("x")).collect()
     assert {r.t: r.x for r in got} == cases
 
