@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import corpus, knowledge, layout, names, relational, service, study, terms
+from tessera.plans import corpus, knowledge, layout, names, relational, service, spelling, study, terms
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**corpus.QUERIES, **relational.QUERIES, **knowledge.QUERIES, **service.QUERIES, **study.QUERIES, **layout.QUERIES, **names.QUERIES, **terms.QUERIES}
-ORACLES: dict[str, str] = {**corpus.ORACLES, **relational.ORACLES, **knowledge.ORACLES, **service.ORACLES, **study.ORACLES, **layout.ORACLES, **names.ORACLES, **terms.ORACLES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**corpus.QUERIES, **relational.QUERIES, **knowledge.QUERIES, **service.QUERIES, **study.QUERIES, **layout.QUERIES, **names.QUERIES, **terms.QUERIES, **spelling.QUERIES}
+ORACLES: dict[str, str] = {**corpus.ORACLES, **relational.ORACLES, **knowledge.ORACLES, **service.ORACLES, **study.ORACLES, **layout.ORACLES, **names.ORACLES, **terms.ORACLES, **spelling.ORACLES}
