@@ -168,6 +168,13 @@ T = "regexp_extract_all(lower(text), '[a-z0-9]+')"
 NORM = "regexp_replace(trim(regexp_replace(replace(replace(replace(strip_accents(lower({0})), 'ß', 'ss'), 'æ', 'ae'), '&', ' and '), '[^a-z0-9]+', ' ', 'g')), '^(the|an|a) (.)', '\\2')"
 TITLE = "regexp_extract(html, '<title>([^<]*)</title>', 1)"
 ORACLES = {
+    "alias_longest": r"""WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM documents),
+        q AS (SELECT phrase, owner, len(string_split(phrase, ' ')) AS n FROM (SELECT DISTINCT array_to_string(w[1 : k], ' ') AS phrase, item_id AS owner FROM (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM benchmark), range(2, 6) r(k)) WHERE phrase <> ''),
+        g AS (SELECT doc_id, i - 1 AS start, n, array_to_string(t[i : i + n - 1], ' ') AS phrase FROM (SELECT doc_id, t, unnest(range(1, len(t) + 1)) AS i FROM t), (SELECT DISTINCT n FROM q) WHERE i + n - 1 <= len(t)),
+        b AS (SELECT doc_id, start, n, min(owner) AS owner FROM g JOIN q USING (phrase, n) GROUP BY doc_id, start, n QUALIFY row_number() OVER (PARTITION BY doc_id, start ORDER BY n DESC) = 1),
+        r AS (SELECT doc_id, list_reduce(list_prepend({'free': 0, 'took': []}, list({'free': start, 'took': [[start, n, owner]]} ORDER BY start)), lambda a, x: CASE WHEN x.free >= a.free THEN {'free': x.free + x.took[1][2], 'took': list_concat(a.took, x.took)} ELSE a END).took AS took FROM b GROUP BY doc_id),
+        u AS (SELECT doc_id, unnest(took) AS m FROM r)
+        SELECT m[3] AS owner, CAST(m[2] AS INTEGER) AS n_tokens, count(*) AS n_mentions, count(DISTINCT doc_id) AS n_docs FROM u GROUP BY ALL""",
     "snapshot_json": """WITH s AS (SELECT c_nationkey, list({'segment': c_mktsegment, 'n': n} ORDER BY c_mktsegment) AS segments FROM (SELECT c_nationkey, c_mktsegment, count(*) AS n FROM customer GROUP BY ALL) GROUP BY 1),
         r AS (SELECT c_nationkey, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS INTEGER) AS rank, c_custkey, c_acctbal FROM customer),
         b AS (SELECT c_nationkey, list({'rank': rank, 'c_custkey': c_custkey, 'c_acctbal': c_acctbal} ORDER BY rank) AS best FROM r WHERE rank <= 10 GROUP BY 1)
