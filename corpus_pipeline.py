@@ -4,8 +4,8 @@ Each stage takes what its predecessor kept, written as Parquet and read again, a
 
 - toxicity: learns from ``labels`` and drops documents scored 0.5 or more.
 - near_duplicates: of each group of documents linked by word shingles, the one with the smallest doc_id
-  stays. An id that leaves a group leaves with all its rows; of rows equal in id and text one stays, also
-  where the id is null, which otherwise can't name a row to leave.
+  stays (null ids come last). Rows of one id, or of none, are told apart by their sets: each leaves or stays with its own group, and of rows
+  equal in id and set one stays; of rows without words those equal in id and text are one.
 - decontamination: drops documents that hold a window of a benchmark item.
 - personal_data: replaces found spans by their kind; n_chars follows the text.
 - tokens: ids and decoded text, as counts and digests.
@@ -32,15 +32,24 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     own = [F.col(f"`{c}`") for c in docs.columns]
     linked = parity_join.link(docs)
-    firsts = linked.where("component is not null").select("component", F.col("component_id").alias("first")).distinct()
-    leaving = stored(linked.join(firsts, "component").where("doc_id <> first").select(F.col("doc_id").alias("_leaving")).distinct(), "leaving")
-    repeated = stored(linked.groupBy("doc_id").count().where("count > 1 or doc_id is null").select(F.col("doc_id").alias("_repeated")), "repeated")
-    kept = docs.join(leaving, F.col("doc_id") == F.col("_leaving"), "left_anti")
-    if repeated.isEmpty():
-        return kept.select(*own)
-    same = F.col("doc_id").eqNullSafe(F.col("_repeated"))
-    once = kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(repeated, same, "left_anti").select(*own).unionByName(once.select(*own))
+    grouped = linked.where("component is not null")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "node")
+    best = stored(grouped.groupBy("component").agg(F.min(order).alias("b")).select("component", F.col("b.doc_id").alias("first"), F.col("b.node").alias("stays")), "best")
+    leaving = stored(grouped.join(best.where("first is not null"), "component").where("doc_id <> first").select(F.col("doc_id").alias("_leaving")).distinct(), "leaving")
+    repeated = stored(linked.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_repeated")), "repeated")
+    none = docs.where("doc_id is null")
+    some, nulls = not repeated.isEmpty(), not none.select("doc_id").isEmpty()
+    known = docs.where("doc_id is not null") if nulls else docs
+    if not some and not nulls:
+        return known.join(leaving, F.col("doc_id") == F.col("_leaving"), "left_anti").select(*own)
+    # an id of several rows, or none, doesn't tell which of its rows is meant: their sets do
+    same = F.col("doc_id") == F.col("_repeated")
+    again = known.join(repeated, same, "left_semi").unionByName(none).withColumn("_node", parity_join.node_column(F.col("text").cast("string")))
+    empty = again.where("_node is null").dropDuplicates(["doc_id", "text"])
+    full = again.where("_node is not null").dropDuplicates(["doc_id", "_node"])
+    stays = full.join(best, F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("_node") == F.col("stays")), "left_semi")
+    single = known.join(repeated, same, "left_anti").join(leaving, F.col("doc_id") == F.col("_leaving"), "left_anti")
+    return single.select(*own).unionByName(stays.select(*own)).unionByName(empty.select(*own))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
