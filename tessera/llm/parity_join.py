@@ -35,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components, relabel
@@ -57,6 +57,8 @@ CELL = 512
 SALTS = 16
 #: Pairs that are broadcast at most (16 bytes each); more are joined by a shuffle.
 BROADCAST_PAIRS = 200_000
+#: Rows of one set beyond which the set's component is sent to all tasks: sets of so many rows are few.
+HOT_COPIES = 1 << 20
 #: Sets that share a number with another one, of which the list is broadcast; not reached below 2**40 sets.
 MOST_RENAMED = 100_000
 
@@ -77,6 +79,16 @@ def node(members: np.ndarray) -> tuple[int, int]:
     return tuple(np.frombuffer(hashlib.blake2b(members.tobytes(), digest_size=16).digest(), np.int64).tolist())
 
 
+def node_column(text: Column, id_bits: int = 64) -> Column:
+    """The leading bits of the digest of each text's set; null for an empty set."""
+
+    @F.arrow_udf("long")
+    def nodes(texts: pa.Array) -> pa.Array:
+        return pa.array([node(s)[0] >> (64 - id_bits) if len(s) else None for s in shingle_sets(texts)], pa.int64())
+
+    return nodes(text)
+
+
 def levels(n: int) -> list[int]:
     """Size bands in which a set of n elements is sketched. Sets of fewer than 4 link only with their equals."""
     if n < 4:
@@ -196,7 +208,8 @@ class Names:
 
 def _named(nodes: DataFrame, id_bits: int) -> tuple[DataFrame, DataFrame, Names]:
     """The nodes with ids that no two sets share, their groups (id, least doc_id), and the ids' rule."""
-    groups = stored(nodes.where("id is not null").groupBy("id", "rest").agg(F.min("doc_id").alias("least")), "groups")
+    nodes = nodes.withColumn("node", F.col("id"))
+    groups = stored(nodes.where("id is not null").groupBy("id", "rest").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "groups")
     shared = groups.groupBy("id").agg(F.count("*").alias("m"), F.min("rest").alias("first")).where("m > 1")
     others = groups.join(shared, "id").where("rest <> first").select("id", "rest").limit(MOST_RENAMED + 1).collect()
     if len(others) > MOST_RENAMED:
@@ -525,7 +538,8 @@ def _distinct_buckets(large: DataFrame) -> DataFrame:
 
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, id_bits: int = 64) -> DataFrame:
-    """(doc_id, n_shingles, component_id, component) of every row; component is a node's id, null for an empty set.
+    """(doc_id, n_shingles, component_id, component, node) of every row; component is a node's id, node the leading bits of the digest of the row's
+    set (``node_column``), both null for an empty set.
 
     ``percent`` may be 80 or more: the numbers of blocks are made for differences of at most a quarter. Fewer
     ``id_bits`` give the same result through more sets of shared numbers.
@@ -553,8 +567,12 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
         labels = _linked(_near(_across(rest, sets, labels, None), sets, percent), sets, percent, labels)
     if labels is None:
         labels = groups.select("id", F.col("id").alias("root")).limit(0)
-    groups = groups.join(labels, "id", "left").select("id", "least", F.coalesce("root", "id").alias("component"))
+    groups = groups.join(labels, "id", "left").select("id", "least", "copies", F.coalesce("root", "id").alias("component"))
     top = groups.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = groups.join(top, "component").select("id", "component", "component_id")
-    out = nodes.join(named, "id", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "component")
+    named = stored(groups.join(top, "component").select("id", "copies", "component", "component_id"), "named")
+    some = ["doc_id", "n", "node", "component", "component_id"]
+    hot, sets_of_few = F.broadcast(named.where(F.col("copies") > HOT_COPIES)), named.where(F.col("copies") <= HOT_COPIES)
+    full = nodes.where("id is not null")
+    out = full.join(hot, "id").select(some).unionByName(full.join(hot.select("id"), "id", "left_anti").join(sets_of_few, "id").select(some))
+    out = out.unionByName(nodes.where("id is null").select("doc_id", "n", "node", F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("component_id")))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", "component", "node")

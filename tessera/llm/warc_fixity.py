@@ -28,6 +28,8 @@ from tessera.llm.tables import stored
 
 FANOUT = 16
 RECORDS_PER_FILE = 4096
+#: Records of one number with other contents beyond which the number is sent to all tasks.
+HOT_NUMBER = 1 << 20
 #: Numbers below this one are dealt to records without a number of their own.
 DEALT = -(1 << 42)
 
@@ -48,8 +50,13 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     whole = record_bytes(page, F.col(f"`{url_col}`").cast("string"), F.col(f"`{html_col}`").cast("string"))
     rows = pages.select(page.alias("page_id"), F.octet_length(whole).cast("long").alias("length"), F.sha2(whole, 256).alias("digest"))
     rows = rows.groupBy("page_id", "length", "digest").agg(F.count("*").alias("copies"))
-    repeated = rows.where("page_id is not null").groupBy("page_id").agg(F.count("*").alias("m"), F.min("digest").alias("least")).where("m > 1").drop("m")
-    rows = rows.join(repeated, "page_id", "left")
+    numbered = rows.where("page_id is not null")
+    repeated = numbered.groupBy("page_id").agg(F.count("*").alias("m"), F.min("digest").alias("least")).where("m > 1")
+    # numbers of very many records are few and go to all tasks; those without a number meet nothing
+    hot = F.broadcast(repeated.where(F.col("m") > HOT_NUMBER).select("page_id", "least"))
+    often = numbered.join(hot, "page_id")
+    seldom = numbered.join(hot.select("page_id"), "page_id", "left_anti").join(repeated.where(F.col("m") <= HOT_NUMBER).select("page_id", "least"), "page_id", "left")
+    rows = often.unionByName(seldom).unionByName(rows.where("page_id is null").withColumn("least", F.lit(None).cast("string")))
     own = F.col("page_id").isNotNull() & F.coalesce(F.col("digest") == F.col("least"), F.lit(True))
     number = F.when(own, F.col("page_id")).otherwise(F.lit(DEALT) - F.pmod(F.xxhash64("digest"), F.lit(1 << 40)))
     place = F.pmod(number, F.lit(RECORDS_PER_FILE))

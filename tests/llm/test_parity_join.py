@@ -194,3 +194,12 @@ def test_oracle_op1(spark, sf_dir):
     got = [tuple(r) for r in op1_jaccard_join(spark, sf_dir).collect()]
     assert sorted(got) == sorted(want)
     assert any(r[0] != r[2] for r in got)
+
+
+def test_sets_of_very_many_copies(spark, monkeypatch):
+    """Their component is sent to all tasks; rows without words meet none."""
+    monkeypatch.setattr(parity_join, "HOT_COPIES", 3)
+    base = " ".join(f"w{k}" for k in range(40))
+    rows = [(i, base) for i in range(10, 30)] + [(5, base + " x"), (40, None), (41, ""), (42, "a b")]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in parity_join.link(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == {d: (n, c) for d, n, c in slow(rows)}
