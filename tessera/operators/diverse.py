@@ -38,14 +38,16 @@ def greedy(ids: list[int], vectors: np.ndarray, picks: int, most: float) -> list
 
 
 def diverse_pick(rows: DataFrame, picks: int = PICKS, most: float = 0.5) -> DataFrame:
-    """(topic, id, place): picks in order of impact; place is null for those too like a better one or beyond the page."""
+    """(topic, id, place) of all rows: picks in order of impact; place is null for those too like a better one, beyond the page or not among the candidates."""
 
     def pick(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["impact", "id"], ascending=[False, True])
         made = greedy(group["id"].tolist(), np.stack(group["vector"].to_numpy()), picks, most)
         return pd.DataFrame({"topic": group["topic"].iloc[0], "id": [i for i, _ in made], "place": pd.array([p for _, p in made], "Int32")})
 
-    return best_candidates(rows).groupBy("topic").applyInPandas(pick, "topic long, id long, place int")
+    made = stored(best_candidates(rows).groupBy("topic").applyInPandas(pick, "topic long, id long, place int"))
+    rest = rows.select("topic", "id").join(made.select("topic", "id"), ["topic", "id"], "left_anti")
+    return made.unionByName(rest.withColumn("place", F.lit(None).cast("int")))
 
 
 def linkage(vectors: np.ndarray, threshold: float) -> np.ndarray:

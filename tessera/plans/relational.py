@@ -136,17 +136,37 @@ def best_example(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.groupBy("l_suppkey").agg(F.min_by(F.struct("l_orderkey", "l_linenumber"), F.struct("l_extendedprice", "l_orderkey", "l_linenumber")).alias("b")).select("l_suppkey", "b.*")
 
 
+#: Suppliers of an order up to which its pairs are made within one row; those of larger orders meet in parts of so many.
+MANY = 64
+
+
+def order_edges(items: DataFrame) -> DataFrame:
+    """(a, b, fwd): in how many orders a line of supplier a stands before one of supplier b.
+
+    A supplier's lowest and highest line say all that an order tells of it, so lines are summed up first. Pairs of an order with at most MANY suppliers are made in its row; larger
+    orders are dealt over parts, each supplier meeting every part.
+    """
+    own = items.where("l_orderkey is not null").groupBy("l_orderkey", "l_suppkey").agg(F.min("l_linenumber").alias("low"), F.max("l_linenumber").alias("high"))
+    large = stored(own.groupBy("l_orderkey").agg(F.count("*").alias("m")).where(F.col("m") > MANY))
+    rows = own.join(large.select("l_orderkey"), "l_orderkey", "left_anti").groupBy("l_orderkey").agg(F.collect_list(F.struct("l_suppkey", "low", "high")).alias("l"))
+    after = lambda x: F.filter("l", lambda y: (x["low"] < y["high"]) & (x["l_suppkey"] != y["l_suppkey"]))
+    pairs = F.flatten(F.transform("l", lambda x: F.transform(after(x), lambda y: F.struct(x["l_suppkey"].alias("a"), y["l_suppkey"].alias("b")))))
+    near = rows.select(F.explode(pairs).alias("p")).select("p.a", "p.b")
+    parts = F.ceil(F.col("m") / MANY).cast("int")
+    dealt = own.join(large, "l_orderkey")
+    left = dealt.select("l_orderkey", F.pmod(F.xxhash64("l_suppkey"), parts).cast("int").alias("part"), F.col("l_suppkey").alias("a"), "low")
+    right = dealt.select("l_orderkey", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("l_suppkey").alias("b"), "high")
+    far = left.join(right, ["l_orderkey", "part"]).where("low < high and a <> b").select("a", "b")
+    return near.unionByName(far).groupBy("a", "b").agg(F.count("*").alias("fwd"))
+
+
 def edges_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Supplier to supplier edges: log of shared orders times rarity, plus half the reverse direction.
 
-    An edge runs from the supplier of an order's lower line to that of a higher one. An order is one array of its
-    lines; its pairs become distinct within the row, and are summed before they are shuffled.
+    An edge runs from the supplier of an order's lower line to that of a higher one; it is counted once and stored, as four sides read it.
     """
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber")
-    lines = items.where("l_orderkey is not null").groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("l_linenumber").alias("k"), F.col("l_suppkey").alias("s"))).alias("l"))
-    later = lambda x: F.filter("l", lambda y: (x["k"] < y["k"]) & (x["s"] != y["s"]))
-    pairs = F.array_distinct(F.flatten(F.transform("l", lambda x: F.transform(later(x), lambda y: F.struct(x["s"].alias("a"), y["s"].alias("b"))))))
-    fwd = lines.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("fwd"))
+    fwd = stored(order_edges(items))
     both = fwd.unionByName(fwd.select(F.col("b").alias("a"), F.col("a").alias("b"), F.lit(0).cast("long").alias("fwd"))).groupBy("a", "b").agg(F.max("fwd").alias("fwd"))
     back = both.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("fwd").alias("rev"))
     named = fwd.groupBy("b").agg(F.count("*").alias("df"))

@@ -91,3 +91,30 @@ def test_predicates_of_names(spark):
     assert places.where(X.position_in(F.col("l"), F.col("s")) != F.col("want")).count() == 0
     names = spark.createDataFrame([("The Moon", True, True), ("12 34", False, False), ("of", False, False), ("old moon", True, False), ("Ab", False, False)], "a string, u boolean, p boolean")
     assert names.where((X.usable_alias(F.col("a"), ("of",)) != F.col("u")) | (X.proper_name(F.col("a")) != F.col("p"))).count() == 0
+
+
+def test_edges_of_orders_of_any_size(spark, monkeypatch):
+    """Orders within a row and dealt over parts give what a loop over all pairs of lines gives."""
+    import random
+    from collections import Counter
+
+    from tessera.plans import relational
+
+    rng = random.Random(6)
+    rows = [(o, rng.randrange(30), k) for o in range(12) for k in range(rng.randrange(1, 9))] + [(99, rng.randrange(200), k) for k in range(600)] + [(None, 1, 1), (7, None, 3)]
+    want = Counter()
+    for o in {r[0] for r in rows if r[0] is not None}:
+        lines = [r for r in rows if r[0] == o and r[1] is not None]
+        want.update({(x[1], y[1]) for x in lines for y in lines if x[2] < y[2] and x[1] != y[1]})
+    items = spark.createDataFrame(rows, "l_orderkey long, l_suppkey long, l_linenumber int").repartition(3)
+    for many in (2, 64, 10_000):
+        monkeypatch.setattr(relational, "MANY", many)
+        assert {(r.a, r.b): r.fwd for r in relational.order_edges(items).collect()} == dict(want)
+
+
+def test_picks_return_every_row(spark):
+    from tessera.operators.diverse import CANDIDATES, diverse_pick
+
+    rows = [(t, k, float(k % 7), [1.0, 0.0] if k % 2 else [0.0, 1.0]) for t in (1, 2) for k in range(CANDIDATES + 15 * t)]
+    got = diverse_pick(spark.createDataFrame(rows, "topic long, id long, impact double, vector array<double>"), most=0.5).collect()
+    assert sorted((r.topic, r.id) for r in got) == [r[:2] for r in rows] and sorted((r.topic, r.place) for r in got if r.place) == [(1, 1), (1, 2), (2, 1), (2, 2)]
