@@ -212,25 +212,27 @@ def read_cell(pattern: str) -> Cell:
 def expectation_maximisation(cells: dict[Cell, int], rounds: int = ROUNDS) -> tuple[dict[Cell, float], list[dict]]:
     """Posterior of "personal" for each cell, and each labeler's vote probabilities by class.
 
-    Labelers are taken as independent given the class; each kind has its own share of personal data.
+    Labelers are taken as independent given the class; each kind has its own share of personal data. A labeler that says nothing counts
+    for neither class: many say nothing of whole kinds, which would otherwise tell against these.
     Reliabilities start at better than chance, which settles which class is which.
     """
-    tables = [{y: {v: 0.6 if v == (1 if y else -1) else 0.2 for v in (-1, 0, 1)} for y in (0, 1)} for _ in LABELERS]
+    tables = [{y: {v: 0.75 if v == (1 if y else -1) else 0.25 for v in (-1, 1)} for y in (0, 1)} for _ in LABELERS]
     share = {c[0]: 0.5 for c in cells}
     posterior: dict[Cell, float] = {}
     for _ in range(rounds):
         for cell in cells:
             kind, vote = cell[:2]
-            odds = math.log(share[kind] / (1 - share[kind])) + sum(math.log(tables[j][1][v] / tables[j][0][v]) for j, v in enumerate(vote))
+            odds = math.log(share[kind] / (1 - share[kind])) + sum(math.log(tables[j][1][v] / tables[j][0][v]) for j, v in enumerate(vote) if v)
             posterior[cell] = 1 / (1 + math.exp(-max(-35.0, min(35.0, odds))))
         for kind in share:
             n = sum(m for c, m in cells.items() if c[0] == kind)
             share[kind] = (1 + sum(m * posterior[c] for c, m in cells.items() if c[0] == kind)) / (2 + n)
         for j in range(len(LABELERS)):
             for y in (0, 1):
-                weight = {v: 1.0 + (1.0 if v == (1 if y else -1) else 0.0) for v in (-1, 0, 1)}
+                weight = {v: 1.0 + (1.0 if v == (1 if y else -1) else 0.0) for v in (-1, 1)}
                 for c, m in cells.items():
-                    weight[c[1][j]] += m * (posterior[c] if y else 1 - posterior[c])
+                    if c[1][j]:
+                        weight[c[1][j]] += m * (posterior[c] if y else 1 - posterior[c])
                 total = sum(weight.values())
                 tables[j][y] = {v: w / total for v, w in weight.items()}
     return posterior, tables

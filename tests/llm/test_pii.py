@@ -98,3 +98,37 @@ def test_no_python_on_the_executors(spark, sf_dir):
 def test_clashing_names(spark):
     docs = spark.createDataFrame([(1, "a@b.c", "x")], "doc_id long, text string, `found` string").withColumn("odd name", F.lit(1))
     assert pii.annotate(docs).columns == ["doc_id", "text", "odd name", "base", "found"]
+
+
+def test_found_and_false_shares_by_kind(spark, sf_dir):
+    """Planted names, numbers, accounts and spelled-out addresses are found as their kind; dates, versions, counts and titles aren't; how
+    many numbers of orders and parts in a phone's or id's shape are refused is measured apart."""
+    import random
+    from collections import Counter
+
+    rng = random.Random(8)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    first, last = ["Anna", "John", "Maria", "Peter", "Laura", "David"], ["Miller", "Garcia", "Schmidt", "Brown"]
+    private = {
+        "name": lambda: (f"{rng.choice(first)} {rng.choice(last)}", "Contact: Mr. {} "), "tel": lambda: (f"({digits(3)}) {rng.randrange(200, 999)}-{digits(4)}", "Tel: {} "), "id": lambda: (f"{rng.randrange(100, 665)}-{rng.randrange(10, 99)}-{rng.randrange(1000, 9999)}", "SSN: {} "),
+        "account": lambda: ("DE89 3704 0044 0532 0130 00", "IBAN {} "), "address": lambda: (f"{rng.choice(first).lower()} [at] firm{digits(2)} [dot] org", "mail {} "),
+    }
+    clean = {
+        "years": lambda: (f"{rng.randrange(1500, 2020)}-{rng.randrange(10, 99)}", "in the years {} "), "version": lambda: (f"{digits(1)}.{digits(2)}.{digits(1)}", "version {} "), "count": lambda: (f"{rng.randrange(1, 9)}00 {digits(3)}", "about {} people "), "title": lambda: ("Autumn Harvest", "the {} came "),
+    }
+    shaped = {"order": lambda: (f"{digits(3)}-{rng.randrange(10, 99)}-{digits(4)}", "order no. {} "), "part": lambda: (f"{digits(3)} {digits(3)} {digits(4)}", "part {} ")}
+    every = private | clean | shaped
+    texts = [r.text[:400] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()] * 4
+    planted = [(kind, *every[kind]()) for kind in rng.choices(list(every), k=len(texts))]
+    rows = [(k, f"{t} {frame.format(v)}end.") for k, (t, (_, v, frame)) in enumerate(zip(texts, planted, strict=True))]
+    n, hit = Counter(), Counter()
+    for r in pii.annotate(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        kind, value, _ = planted[r.doc_id]
+        at = rows[r.doc_id][1].rindex(value)
+        kinds = {s.kind for s in r.found if s.start < at + len(value) and s.end > at}
+        n[kind] += 1
+        hit[kind] += kind in kinds if kind in private else bool(kinds)
+    assert min(n.values()) > 30
+    assert all(hit[k] >= 0.95 * n[k] for k in private), (hit, n)
+    assert sum(hit[k] for k in clean) <= 0.01 * sum(n[k] for k in clean), (hit, n)
+    assert sum(hit[k] for k in shaped) <= 0.2 * sum(n[k] for k in shaped), (hit, n)

@@ -84,3 +84,36 @@ def test_query(spark, sf_dir):
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(want.count(f"{k}:") for k in S.KINDS[:3])
         assert set(filter(None, want.split(","))) <= set(r.spans.split(","))
     assert math.isclose(S.upper_tail(1.959964), 0.025, rel_tol=1e-4)
+
+
+def test_found_and_false_shares(spark, sf_dir):
+    """Planted tokens of each encoding are found, by length; words joined as in code and paths, and the texts' own words, aren't reported."""
+    import random
+    import string
+    from collections import Counter
+
+    rng = random.Random(5)
+    docs = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()] * 3
+    words = [w.lower() for d in docs[:200] for w in d.split() if w.isalpha() and w.isascii()]
+    letters = string.ascii_letters + string.digits
+    secret = {"hex 32": ("0123456789abcdef", 32), "hex 64": ("0123456789abcdef", 64), "base64 24": (letters + "+/", 24), "base64 40": (letters + "+/", 40), "base62 32": (letters, 32), "base32 32": (string.ascii_uppercase + "234567", 32)}
+    plain = {"path": "/", "snake": "_", "camel": "", "kebab": "-"}
+    rows, planted = [], {}
+    for k, text in enumerate(docs):
+        if k % 2:
+            kind = rng.choice(list(secret))
+            token = "".join(rng.choice(secret[kind][0]) for _ in range(secret[kind][1]))
+        else:
+            kind = rng.choice(list(plain))
+            token = plain[kind].join(w.title() if kind == "camel" else w for w in rng.choices(words, k=5))
+        planted[k] = (kind, token)
+        rows.append((k, f"{text} value {token} end"))
+    hit, n = Counter(), Counter()
+    for r in S.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        kind, token = planted[r.doc_id]
+        at = rows[r.doc_id][1].rindex(token)
+        n[kind] += 1
+        hit[kind] += any(s.start < at + len(token) and s.end > at for s in [*r.base, *r.found])
+    assert min(n.values()) > 20
+    assert all(hit[k] >= 0.95 * n[k] for k in secret), hit
+    assert sum(hit[k] for k in plain) <= 0.02 * sum(n[k] for k in plain), hit
