@@ -70,7 +70,7 @@ def test_picks(spark):
     rows = [(1, i, float(-i), [float(np.cos(i)), float(np.sin(i))]) for i in range(80)]
     df = spark.createDataFrame(rows, "topic long, id long, impact double, vector array<float>")
     got = {r.id: r.place for r in diverse_pick(df).collect()}
-    want = dict(greedy(list(range(60)), np.array([r[3] for r in rows[:60]], np.float32), 10, 0.5))
+    want = dict(greedy(list(range(60)), np.array([r[3] for r in rows[:60]], np.float32), 10, 0.5)) | {i: None for i in range(60, 80)}  # rows beyond the candidates are returned, too
     assert got == want and sum(p is not None for p in got.values()) >= 2
 
 
