@@ -115,10 +115,10 @@ class Checked:
         note = lambda rows, why: rows.select("topic", "seq", "id", F.lit(why).alias("note"))
         notes = [note(edits.join(ids, ["topic", "id"], "left_anti"), "unknown id")]
 
-        forms = spellings.where(F.col("spelling").isNotNull()).select("topic", "id", "spelling").distinct()
+        forms = stored(spellings.where(F.col("spelling").isNotNull()).select("topic", "id", "spelling").distinct())
         named = known.select("topic", "id", "seq", F.explode(F.array_distinct("remove")).alias("spelling")).join(forms, ["topic", "id", "spelling"])
         taken = named.groupBy("topic", "id", "seq").agg(F.count("*").alias("k")).join(forms.groupBy("topic", "id").agg(F.count("*").alias("n")), ["topic", "id"]).where("k < n")
-        self.removed = named.join(taken.groupBy("topic", "id").agg(F.max("seq").alias("seq")), ["topic", "id", "seq"]).select("topic", "id", "spelling")
+        self.removed = stored(named.join(taken.groupBy("topic", "id").agg(F.max("seq").alias("seq")), ["topic", "id", "seq"]).select("topic", "id", "spelling"))
 
         self.drops = stored(known.where("action = 'drop'").select("topic", "id").distinct())
         merges = known.where("action = 'merge'")
@@ -143,7 +143,7 @@ class Checked:
         judged = stored(renames.join(foreign.withColumn("foreign", F.lit(True)), ["topic", "id", "seq"], "left"))
         short = F.col("n").between(1, LABEL_WORDS)
         notes += [note(judged.where(~short), "label empty or too long"), note(judged.where(short & F.col("foreign").isNotNull()), "label with words of its own")]
-        self.renames = _last(judged.where(short & F.col("foreign").isNull()), "label").select("topic", "id", F.col("label").alias("renamed"))
+        self.renames = stored(_last(judged.where(short & F.col("foreign").isNull()), "label").select("topic", "id", F.col("label").alias("renamed")))
         self.notes = notes[0]
         for more in notes[1:]:
             self.notes = self.notes.unionByName(more)
