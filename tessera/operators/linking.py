@@ -13,7 +13,7 @@ Likeness and scores are rounded to six places; of equal scores the lower rank wi
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -57,15 +57,20 @@ def vocabulary(texts: DataFrame, stop: tuple[str, ...] = STOP, least: int = 2, s
 
 
 def unit(weights: DataFrame, *key: str) -> DataFrame:
-    """Weights w of each key over its root of the sum of squares."""
-    norm = weights.groupBy(*key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return weights.join(norm, list(key)).select(*key, "word", (F.col("w") / F.col("norm")).alias("w"))
+    """Weights w of each key over its root of the sum of squares; a key has at most one row for each word known."""
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*key)))
+    return weights.select(*key, "word", (F.col("w") / norm).alias("w"))
 
 
-def vectors(texts: DataFrame, known: DataFrame) -> DataFrame:
-    """(key, word, w) of unit length of texts (key, text): one and the log of a word's uses, by its idf."""
+def weighted(texts: DataFrame, known: DataFrame) -> DataFrame:
+    """(key, word, w) of texts (key, text): one and the log of a word's uses, by its idf."""
     tf = texts.select("key", F.explode(tokens(F.col("text"))).alias("word")).groupBy("key", "word").agg(F.count("*").alias("tf"))
-    return unit(tf.join(known, "word").select("key", "word", ((1 + F.log("tf")) * F.col("idf")).alias("w")), "key")
+    return tf.join(known, "word").select("key", "word", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
+
+
+def vectors(texts: DataFrame, known: DataFrame) -> DataFrame:
+    """(key, word, w) of texts (key, text), each of unit length."""
+    return unit(weighted(texts, known), "key")
 
 
 def kind_of(extract: str | None) -> str | None:
@@ -122,8 +127,8 @@ def scored(questions: DataFrame, pages: DataFrame, candidates: DataFrame, names:
     groups = unit(summed, "group").withColumnRenamed("w", "v")
     usable = candidates.where(F.col("group").isNotNull()).join(pages.where(~F.coalesce("disambiguation", F.lit(False))), "page")
     read = pages.join(candidates.select("page").distinct(), "page", "left_semi").select(F.col("page").alias("key"), F.concat_ws(". ", "title", F.coalesce("extract", F.lit(""))).alias("text"))
-    met = vectors(read, known).withColumnRenamed("key", "page").join(candidates.select("group", "page").distinct(), "page").join(groups, ["group", "word"])
-    alike = met.groupBy("group", "page").agg(F.round(F.sum(F.col("w") * F.col("v")), 6).alias("likeness"))
+    met = weighted(read, known).withColumnRenamed("key", "page").join(candidates.select("group", "page").distinct(), "page").join(groups, ["group", "word"], "left")
+    alike = met.groupBy("group", "page").agg(F.round(F.sum(F.col("w") * F.col("v")) / F.sqrt(F.sum(F.col("w") * F.col("w"))), 6).alias("likeness"))
 
     title = normalize(F.regexp_replace("title", r"\s*\([^)]*\)", ""))
     called = names.where(F.col("name").isNotNull()).select("group", normalize(F.col("name")).alias("name"), F.coalesce("main", F.lit(False)).alias("main")).distinct()
