@@ -2,8 +2,8 @@
 
 Tables (rows without a key are left out by the joins):
 
-- questions: question, group, text, giveaway; a question is in one group, and all of them give the weights of words;
-- pages: page, title, extract, disambiguation;
+- questions: question, group, text, giveaway; one row for each question, which is in one group, and all of them give the weights of words;
+- pages: page, title, extract, disambiguation; one row for each page;
 - candidates: group, page, rank, hinted (found by a second search only), direct (bonus of a title looked up as such, null for none), ambiguous;
 - names: group, name, main (an answer itself, or a form that is accepted as well).
 
@@ -56,21 +56,49 @@ def vocabulary(texts: DataFrame, stop: tuple[str, ...] = STOP, least: int = 2, s
     return df.where((F.col("df") >= least) & (F.col("df") <= share * F.col("n"))).select("word", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
-def unit(weights: DataFrame, *key: str) -> DataFrame:
-    """Weights w of each key over its root of the sum of squares; a key has at most one row for each word known."""
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*key)))
-    return weights.select(*key, "word", (F.col("w") / norm).alias("w"))
+def counted(texts: DataFrame) -> DataFrame:
+    """(other columns, word, tf) of texts (…, text): words are counted within their row, so nothing is shuffled."""
+    rest = [c for c in texts.columns if c != "text"]
+    ordered = texts.select(*rest, F.array_sort(tokens(F.coalesce("text", F.lit("")))).alias("_ws"))
+    n = F.size("_ws")
+    # the last place, from 1, of each run of one word
+    last = F.filter(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")), lambda i: ~F.get("_ws", i).eqNullSafe(F.get("_ws", i - 1)))
+    ends = ordered.withColumn("_ends", last)
+    runs = F.transform("_ends", lambda e, k: F.struct(F.get("_ws", e - 1).alias("word"), (e - F.when(k > 0, F.get("_ends", k - 1)).otherwise(0)).alias("tf")))
+    return ends.select(*rest, F.inline(runs))
 
 
 def weighted(texts: DataFrame, known: DataFrame) -> DataFrame:
-    """(key, word, w) of texts (key, text): one and the log of a word's uses, by its idf."""
-    tf = texts.select("key", F.explode(tokens(F.col("text"))).alias("word")).groupBy("key", "word").agg(F.count("*").alias("tf"))
-    return tf.join(known, "word").select("key", "word", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
+    """(other columns, word, w) of texts (…, text): one and the log of a word's uses, by its idf."""
+    rest = [c for c in texts.columns if c != "text"]
+    return counted(texts).join(known, "word").select(*rest, "word", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
+
+
+def lengths(weights: DataFrame, *key: str) -> DataFrame:
+    """(key, length) of vectors: their words lie together or are summed up in part first, so a row for each key and task is shuffled."""
+    return weights.groupBy(*key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
 
 
 def vectors(texts: DataFrame, known: DataFrame) -> DataFrame:
     """(key, word, w) of texts (key, text), each of unit length."""
-    return unit(weighted(texts, known), "key")
+    raw = weighted(texts, known)
+    return raw.join(lengths(raw, "key"), "key").select("key", "word", (F.col("w") / F.col("length")).alias("w"))
+
+
+def likenesses(questions: DataFrame, pages: DataFrame, wanted: DataFrame, known: DataFrame) -> DataFrame:
+    """(group, page, likeness) of wanted (group, page) whose words meet: cosines of a page (page, text) and the sum of a group's questions of unit length.
+
+    Words are shuffled three times: by group and word for the sums, which map tasks add up first, by group and word for the pages, and
+    as products by group and page. A large group or page is spread over its words; lengths are joined on as one row for each question, page or group.
+    """
+    asked = weighted(questions.select("group", "question", "text"), known)
+    of_question = stored(lengths(asked, "question"))
+    groups = stored(asked.join(of_question, "question").groupBy("group", "word").agg(F.sum(F.col("w") / F.col("length")).alias("w")))
+    read = weighted(pages, known)
+    met = weighted(pages.join(wanted, "page"), known).join(groups.withColumnRenamed("w", "v"), ["group", "word"])
+    dots = met.groupBy("group", "page").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
+    of_group = lengths(groups, "group").withColumnRenamed("length", "of_group")
+    return dots.join(lengths(read, "page"), "page").join(of_group, "group").select("group", "page", F.round(F.col("dot") / F.col("length") / F.col("of_group"), 6).alias("likeness"))
 
 
 def kind_of(extract: str | None) -> str | None:
@@ -121,14 +149,11 @@ def scored(questions: DataFrame, pages: DataFrame, candidates: DataFrame, names:
 
     If the best page without penalties is of a wrong kind and another passes it, that one must be titled for the answer; else no page of the group is penalised for its kind.
     """
-    asked = questions.select(F.col("question").alias("key"), "text")
-    known = stored(vocabulary(asked, stop, least, share))
-    summed = vectors(asked, known).join(questions.select(F.col("question").alias("key"), "group"), "key").groupBy("group", "word").agg(F.sum("w").alias("w"))
-    groups = unit(summed, "group").withColumnRenamed("w", "v")
+    known = stored(vocabulary(questions.select(F.col("question").alias("key"), "text"), stop, least, share))
     usable = candidates.where(F.col("group").isNotNull()).join(pages.where(~F.coalesce("disambiguation", F.lit(False))), "page")
-    read = pages.join(candidates.select("page").distinct(), "page", "left_semi").select(F.col("page").alias("key"), F.concat_ws(". ", "title", F.coalesce("extract", F.lit(""))).alias("text"))
-    met = weighted(read, known).withColumnRenamed("key", "page").join(candidates.select("group", "page").distinct(), "page").join(groups, ["group", "word"], "left")
-    alike = met.groupBy("group", "page").agg(F.round(F.sum(F.col("w") * F.col("v")) / F.sqrt(F.sum(F.col("w") * F.col("w"))), 6).alias("likeness"))
+    wanted = candidates.select("group", "page").distinct()
+    read = pages.join(wanted.select("page"), "page", "left_semi").select("page", F.concat_ws(". ", "title", F.coalesce("extract", F.lit(""))).alias("text"))
+    alike = likenesses(questions, read, wanted, known)
 
     title = normalize(F.regexp_replace("title", r"\s*\([^)]*\)", ""))
     called = names.where(F.col("name").isNotNull()).select("group", normalize(F.col("name")).alias("name"), F.coalesce("main", F.lit(False)).alias("main")).distinct()
