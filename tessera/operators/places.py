@@ -26,3 +26,15 @@ def running(rows: DataFrame, group: str, order: list[Column], value: Column, nam
 def numbered(rows: DataFrame, group: str, order: list[Column], name: str) -> DataFrame:
     """The rows with their place from 1 within their group."""
     return running(rows, group, order, F.lit(1).cast("long"), name)
+
+
+def medians(counts: DataFrame, group: str, value: str, n: str) -> DataFrame:
+    """(group, median) of counted values: rows (group, value, n), one for each value of a group; null values don't count, a group of these only has no row.
+
+    The middle places are found by running sums, so a group's values are never gathered in one task.
+    """
+    placed = running(counts.where(F.col(value).isNotNull()).select(group, value, n), group, [F.col(value)], F.col(n), "_upto")
+    total = placed.groupBy(F.col(group).alias("_of")).agg(F.max("_upto").alias("_total"))
+    at = lambda place: F.min(F.when(F.col("_upto") >= place, F.col(value))).cast("double")
+    lower, upper = at(F.floor((F.col("_total") + 1) / 2)), at(F.floor(F.col("_total") / 2) + 1)
+    return placed.join(total, F.col(group).eqNullSafe(F.col("_of"))).groupBy(group).agg(((lower + upper) / 2).alias("median"))

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.operators.places import medians
+from tessera.sources.tables import stored
+
 STOP_WORDS = ("the", "a", "an", "of", "and", "to", "in", "is", "de", "la", "le", "der", "die", "und", "el", "y")
 STAND_INS = ("this", "these", "that", "those")
 
@@ -22,11 +25,14 @@ def words(text: Column) -> Column:
 def dedup_topic_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keep the longest, then lowest-numbered, document per text; statistics per (lang, source); rank within lang.
 
-    Only a hash of the text is shuffled, and equal texts meet map-side first.
+    Only a hash of the text is shuffled, and equal texts meet map-side first. Lengths are counted, and medians are places in running sums.
     """
     docs = table(spark, sf_dir, "documents")
     kept = docs.groupBy(F.md5("text").alias("h")).agg(F.min_by(F.struct("doc_id", "lang", "source", "n_chars"), F.struct(-F.col("n_chars"), "doc_id")).alias("k")).select("k.*")
-    stats = kept.groupBy("lang", "source").agg(F.count("*").alias("n_docs"), F.min("n_chars").alias("min_chars"), F.max("n_chars").alias("max_chars"), F.median("n_chars").alias("median_chars"))
+    counts = stored(kept.groupBy(F.struct("lang", "source").alias("of"), "n_chars").agg(F.count("*").alias("k")))
+    mid = medians(counts, "of", "n_chars", "k").withColumnRenamed("of", "at")
+    stats = counts.groupBy("of").agg(F.sum("k").alias("n_docs"), F.min("n_chars").alias("min_chars"), F.max("n_chars").alias("max_chars")).join(mid, F.col("of").eqNullSafe(F.col("at")), "left")
+    stats = stats.select("of.lang", "of.source", "n_docs", "min_chars", "max_chars", F.col("median").alias("median_chars"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n_docs"), "source"))
     return stats.withColumn("rank_in_lang", rank)
 

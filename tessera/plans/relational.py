@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.operators.places import medians
 from tessera.plans.corpus import table
 from tessera.sources.tables import stored
 
@@ -79,9 +80,12 @@ def struggled_users(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Median, mean, share over 50 per type; null where nothing qualifies."""
-    e = table(spark, sf_dir, "events")
-    return e.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.median("value"), 6).alias("median_value"), F.round(F.avg("value"), 6).alias("mean_value"), F.round(F.count_if(F.col("value") > 50) / F.nullif(F.count("value"), F.lit(0)), 6).alias("share_high"))
+    """Median, mean, share over 50 per type; null where nothing qualifies. Values are counted first, and medians are places in running sums."""
+    e = stored(table(spark, sf_dir, "events").groupBy("event_type", "value").agg(F.count("*").alias("k")))
+    given, high = F.when(F.col("value").isNotNull(), F.col("k")), F.when(F.col("value") > 50, F.col("k")).otherwise(0)
+    of = e.groupBy("event_type").agg(F.sum("k").alias("n"), F.round(F.sum(F.col("value") * F.col("k")) / F.sum(given), 6).alias("mean_value"), F.round(F.sum(high) / F.sum(given), 6).alias("share_high"))
+    mid = medians(e, "event_type", "value", "k").withColumnRenamed("event_type", "of")
+    return of.join(mid, F.col("event_type").eqNullSafe(F.col("of")), "left").select("event_type", "n", F.round("median", 6).alias("median_value"), "mean_value", "share_high")
 
 
 def usage_windows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,14 @@
 """Sources, text functions, dictionary matching, streams."""
 
 import json
+import random
+import statistics
 
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
 from tessera.operators.dictionary import find_phrases, longest_first
+from tessera.operators.places import medians
 from tessera.plans.relational import tumbling_windows
 from tessera.sources.tables import question_rows, questions, read_tsv, require_table, without_tags, write_overrides, write_table
 from tessera.streaming.windows import event_stream, once_each, windowed
@@ -118,3 +121,14 @@ def test_picks_return_every_row(spark):
     rows = [(t, k, float(k % 7), [1.0, 0.0] if k % 2 else [0.0, 1.0]) for t in (1, 2) for k in range(CANDIDATES + 15 * t)]
     got = diverse_pick(spark.createDataFrame(rows, "topic long, id long, impact double, vector array<double>"), most=0.5).collect()
     assert sorted((r.topic, r.id) for r in got) == [r[:2] for r in rows] and sorted((r.topic, r.place) for r in got if r.place) == [(1, 1), (1, 2), (2, 1), (2, 2)]
+
+
+def test_medians(spark):
+    """A group of most rows, ties, one value, even and odd counts, negative values, null values and a null group."""
+    rng = random.Random(5)
+    groups = {"hot": [rng.randrange(-50, 50) for _ in range(3_000)], "even": [1, 2, 3, 10], "odd": [7, -1, 3], "one": [4], "ties": [2] * 9 + [5] * 9, None: [8, 9], "void": [None, None], "some": [None, 6]}
+    rows = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs], "g string, v long")
+    counts = rows.groupBy("g", "v").agg(F.count("*").alias("k"))
+    want = {g: float(statistics.median([v for v in vs if v is not None])) for g, vs in groups.items() if g != "void"}
+    assert {r.g: r.median for r in medians(counts, "g", "v", "k").collect()} == want
+    assert medians(counts.where("false"), "g", "v", "k").count() == 0
