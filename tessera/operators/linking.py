@@ -23,6 +23,8 @@ from tessera.sources.tables import stored
 # Bonuses, penalties and bounds of a link.
 SHORT_FORM, PLAIN_TITLE, LONG_TITLE, PARTIAL, HINTED, WRONG_KIND, PER_RANK, RANKS = 0.25, 0.30, 0.25, 0.12, 0.05, 0.2, 0.01, 5
 LEAST_SCORE, LEAST_LIKENESS = 0.2, 0.05
+#: A vocabulary of at most so many bytes is broadcast; what a word takes beside its letters.
+BROADCAST_BYTES, ROW_BYTES = 32 << 20, 64
 # The words of an article's first sentence that say its kind, in order of kinds: heads, words between article and head at most, words that may not follow.
 KINDS = {
     "film": ("film|movie", 6, "director producer critic actor actress composer editor studio festival score series"),
@@ -69,9 +71,15 @@ def counted(texts: DataFrame) -> DataFrame:
 
 
 def weighted(texts: DataFrame, known: DataFrame) -> DataFrame:
-    """(other columns, word, w) of texts (…, text): one and the log of a word's uses, by its idf."""
-    rest = [c for c in texts.columns if c != "text"]
-    return counted(texts).join(known, "word").select(*rest, "word", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
+    """(other columns, word and what else is known of it, w) of texts (…, text): one and the log of a word's uses, by its idf."""
+    rest = [c for c in (*texts.columns, *known.columns) if c not in ("text", "idf")]
+    return counted(texts).join(known, "word").select(*rest, ((1 + F.log("tf")) * F.col("idf")).alias("w"))
+
+
+def bounded(known: DataFrame) -> DataFrame:
+    """The vocabulary, sent to all tasks while it is small enough by measure; beyond that joins shuffle."""
+    size = known.agg(F.sum(F.octet_length("word") + ROW_BYTES)).first()[0] or 0
+    return F.broadcast(known) if size <= BROADCAST_BYTES else known
 
 
 def lengths(weights: DataFrame, *key: str) -> DataFrame:
@@ -88,17 +96,16 @@ def vectors(texts: DataFrame, known: DataFrame) -> DataFrame:
 def likenesses(questions: DataFrame, pages: DataFrame, wanted: DataFrame, known: DataFrame) -> DataFrame:
     """(group, page, likeness) of wanted (group, page) whose words meet: cosines of a page (page, text) and the sum of a group's questions of unit length.
 
-    Words are shuffled three times: by group and word for the sums, which map tasks add up first, by group and word for the pages, and
+    Words go by their ids and are shuffled three times: by group and word for the sums, which map tasks add up first, by group and word for the pages, and
     as products by group and page. A large group or page is spread over its words; lengths are joined on as one row for each question, page or group.
     """
-    asked = weighted(questions.select("group", "question", "text"), known)
-    of_question = stored(lengths(asked, "question"))
-    groups = stored(asked.join(of_question, "question").groupBy("group", "word").agg(F.sum(F.col("w") / F.col("length")).alias("w")))
-    read = weighted(pages, known)
-    met = weighted(pages.join(wanted, "page"), known).join(groups.withColumnRenamed("w", "v"), ["group", "word"])
-    dots = met.groupBy("group", "page").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
+    asked = questions.select("group", "question", "text")
+    of_question = stored(lengths(weighted(asked, known), "question"))  # a text with its length is shuffled once, not each word
+    groups = weighted(asked.join(of_question, "question"), known).groupBy("group", "id").agg(F.sum(F.col("w") / F.col("length")).alias("w"))
+    read = weighted(pages.join(wanted, "page"), known).select("group", "page", "id", "w")
+    dots = read.join(groups.withColumnRenamed("w", "v"), ["group", "id"]).groupBy("group", "page").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
     of_group = lengths(groups, "group").withColumnRenamed("length", "of_group")
-    return dots.join(lengths(read, "page"), "page").join(of_group, "group").select("group", "page", F.round(F.col("dot") / F.col("length") / F.col("of_group"), 6).alias("likeness"))
+    return dots.join(lengths(read, "group", "page"), ["group", "page"]).join(of_group, "group").select("group", "page", F.round(F.col("dot") / F.col("length") / F.col("of_group"), 6).alias("likeness"))
 
 
 def kind_of(extract: str | None) -> str | None:
@@ -149,7 +156,7 @@ def scored(questions: DataFrame, pages: DataFrame, candidates: DataFrame, names:
 
     If the best page without penalties is of a wrong kind and another passes it, that one must be titled for the answer; else no page of the group is penalised for its kind.
     """
-    known = stored(vocabulary(questions.select(F.col("question").alias("key"), "text"), stop, least, share))
+    known = bounded(stored(vocabulary(questions.select(F.col("question").alias("key"), "text"), stop, least, share).withColumn("id", F.monotonically_increasing_id())))
     usable = candidates.where(F.col("group").isNotNull()).join(pages.where(~F.coalesce("disambiguation", F.lit(False))), "page")
     wanted = candidates.select("group", "page").distinct()
     read = pages.join(wanted.select("page"), "page", "left_semi").select("page", F.concat_ws(". ", "title", F.coalesce("extract", F.lit(""))).alias("text"))
