@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import cleanup, corpus, facts, knowledge, layout, linking, mentions, names, relational, service, spelling, study, terms
+from tessera.plans import cleanup, corpus, facts, knowledge, layout, linking, mentions, names, relational, service, spelling, study, terms, topics
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**corpus.QUERIES, **relational.QUERIES, **knowledge.QUERIES, **service.QUERIES, **study.QUERIES, **layout.QUERIES, **names.QUERIES, **terms.QUERIES, **spelling.QUERIES, **mentions.QUERIES, **facts.QUERIES, **cleanup.QUERIES, **linking.QUERIES}
-ORACLES: dict[str, str] = {**corpus.ORACLES, **relational.ORACLES, **knowledge.ORACLES, **service.ORACLES, **study.ORACLES, **layout.ORACLES, **names.ORACLES, **terms.ORACLES, **spelling.ORACLES, **mentions.ORACLES, **facts.ORACLES, **cleanup.ORACLES, **linking.ORACLES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**corpus.QUERIES, **relational.QUERIES, **knowledge.QUERIES, **service.QUERIES, **study.QUERIES, **layout.QUERIES, **names.QUERIES, **terms.QUERIES, **spelling.QUERIES, **mentions.QUERIES, **facts.QUERIES, **cleanup.QUERIES, **linking.QUERIES, **topics.QUERIES}
+ORACLES: dict[str, str] = {**corpus.ORACLES, **relational.ORACLES, **knowledge.ORACLES, **service.ORACLES, **study.ORACLES, **layout.ORACLES, **names.ORACLES, **terms.ORACLES, **spelling.ORACLES, **mentions.ORACLES, **facts.ORACLES, **cleanup.ORACLES, **linking.ORACLES, **topics.ORACLES}
