@@ -20,10 +20,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, ftrl, parity_join, pii, sentencepiece_codec
-from tessera.llm.tables import stored
+from tessera.llm.tables import small_batches, stored
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     weights = ftrl.train(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), labels)
     return docs.where(ftrl.score_column(docs, F.col("text").cast("string"), weights) < 0.5)
@@ -53,6 +54,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     text = docs.select(*[F.col(f"`{c}`").alias(f"_{c}") for c in docs.columns])
     marked = decontaminate.mark(text, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), text_col="_text")
     return marked.where("n_hit = 0").select(*[F.col(f"`_{c}`").alias(c) for c in docs.columns])
@@ -64,6 +66,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     coded = sentencepiece_codec.encode(docs.select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components, relabel
-from tessera.llm.tables import narrow, release, stored
+from tessera.llm.tables import narrow, release, small_batches, stored
 from tessera.llm.words import SPACE_SPLIT, U64, bytes_of, mix, ngram_hashes, row_slices, split_words
 
 SHINGLE = 5
@@ -546,6 +546,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     """
     if percent < 80:
         raise ValueError("the wide sketch is laid out for a similarity of 0.8 or more")
+    small_batches(docs.sparkSession)
     docs = narrow(docs, id_col, text_col)
     slots = min(MOST_SLOTS, max(SLOTS, 1 << (16 * docs.count()).bit_length()))
     nodes, counts = _nodes_and_counts(docs, slots, id_bits)

@@ -9,6 +9,10 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of rows that go to Python at once, and the setting for it with Spark's default.
+BATCH_BYTES = 4 << 20
+BATCH_SETTING, BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share. Only where the session names none (as in tests) is one made."""
@@ -35,6 +39,13 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on rows go to Python in batches of BATCH_BYTES, unless the session has a setting of its own: both
+    sides hold a batch whole, and 10,000 texts are tens of MB for each."""
+    if spark.conf.get(BATCH_SETTING) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_SETTING, f"{BATCH_BYTES}b")
+
+
 def set_apart(df: DataFrame, text_col: str, results: tuple[str, ...]) -> tuple[DataFrame, list[Column], Column]:
     """The rows under numbered column names, which clash with none; their columns under the old names, but for
     those that results replace; and the text."""

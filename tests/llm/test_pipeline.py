@@ -60,3 +60,27 @@ def test_odd_and_empty_tables(spark, sf_dir):
         for _, stage in corpus_pipeline.STAGES:
             docs = corpus_pipeline.stored(stage(spark, docs, sf_dir), "test")
         assert docs.where(F.col("n_tokens") < 2).count() == 0
+
+
+def test_texts_go_to_python_in_small_batches(spark, sf_dir):
+    """A batch of 10,000 texts would be tens of MB in the executor and in its worker; a setting of the session's own stays."""
+    import pyarrow as pa
+
+    from tessera.llm.tables import BATCH_BYTES, BATCH_SETTING
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    wide = spark.range(0, 6000, 1, 1).selectExpr("id", "repeat('abcdefgh', 400) AS text")
+    stages = dict(corpus_pipeline.STAGES)
+    try:
+        for name in ("decontamination", "tokens"):
+            spark.conf.unset(BATCH_SETTING)
+            stages[name](spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), sf_dir)
+            assert max(r.n for r in wide.mapInArrow(sizes, "n long").collect()) < 1.2 * BATCH_BYTES
+        spark.conf.set(BATCH_SETTING, "1m")
+        stages["tokens"](spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), sf_dir)
+        assert spark.conf.get(BATCH_SETTING) == "1m"
+    finally:
+        spark.conf.unset(BATCH_SETTING)
