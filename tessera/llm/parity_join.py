@@ -20,8 +20,8 @@ apart are compared by narrow sketch inside tasks, those outside the bucket's lar
 against all, in cells of bounded size. No pair that could link is left out, and none is made within
 a component. Equal sets are one node from the start.
 
-Shingles are compared by 64-bit hashes. Nodes are known by 64 bits of a 128-bit digest of their set; sets that share
-these 64 bits are found from the digests, and all but one of them get other numbers (about n * n / 2**65 of n sets).
+Shingles are compared by 64-bit hashes. Nodes are known by 48 bits of a 128-bit digest of their set; sets that share
+these 48 bits are found from the digests, and all but one of them get other numbers (about n * n / 2**49 of n sets).
 
 Defined results: no words (null, empty, white space only): an empty set, linked with nothing, its own
 component; fewer words than a shingle: the whole sequence is the one shingle; component_id is the
@@ -31,6 +31,7 @@ smallest doc_id of the component, null where all are null; repeated rows are mem
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,9 +46,11 @@ from tessera.llm.words import SPACE_SPLIT, U64, bytes_of, mix, ngram_hashes, row
 SHINGLE = 5
 #: Slots of the count of blocks: 16 a document by powers of two, from the first to the second (64 MB of counts). It only orders blocks.
 SLOTS, MOST_SLOTS, CHUNKS = 1 << 20, 1 << 24, 64
-#: Sums of counts before the last, for each chunk.
-BRANCHES = 64
+#: Tasks whose counts are summed before the last sum.
+BRANCH = 64
 NARROW_BITS = 2048
+#: Bits of a node's id, of a part within a row's bucket (the rest are of the key), and the size up to which sizes are told apart in a bucket's order.
+ID_BITS, PART_MASK, MOST_N = 48, (1 << 16) - 1, (1 << 15) - 1
 #: Rows of a bucket that are paired with those before them in order of size.
 REACH = 3
 #: Rows of a bucket, by the count, above which it is dealt over several tasks.
@@ -59,7 +62,7 @@ SALTS = 16
 BROADCAST_PAIRS = 200_000
 #: Rows of one set beyond which the set's component is sent to all tasks: sets of so many rows are few.
 HOT_COPIES = 1 << 20
-#: Sets that share a number with another one, of which the list is broadcast; not reached below 2**40 sets.
+#: Sets that share a number with another one, of which the list is broadcast; not reached below 7 * 10**9 sets.
 MOST_RENAMED = 100_000
 
 
@@ -75,16 +78,16 @@ def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
 
 
 def node(members: np.ndarray) -> tuple[int, int]:
-    """128 bits of a digest of the set, as two signed 64-bit integers; the first is the node's id unless another set has it."""
+    """128 bits of a digest of the set, as two signed 64-bit integers; the node's id is the last bits of the first unless another set has them."""
     return tuple(np.frombuffer(hashlib.blake2b(members.tobytes(), digest_size=16).digest(), np.int64).tolist())
 
 
-def node_column(text: Column, id_bits: int = 64) -> Column:
-    """The leading bits of the digest of each text's set; null for an empty set."""
+def node_column(text: Column) -> Column:
+    """The first 64 bits of the digest of each text's set; null for an empty set."""
 
     @F.arrow_udf("long")
     def nodes(texts: pa.Array) -> pa.Array:
-        return pa.array([node(s)[0] >> (64 - id_bits) if len(s) else None for s in shingle_sets(texts)], pa.int64())
+        return pa.array([node(s)[0] if len(s) else None for s in shingle_sets(texts)], pa.int64())
 
     return nodes(text)
 
@@ -132,12 +135,13 @@ def halved(sketch: np.ndarray) -> np.ndarray:
 
 
 def _packed(counts: np.ndarray) -> bytes:
-    """The counts in as few bytes each as the largest needs; counts beyond 32 bits stay at the largest such number."""
+    """The counts in as few bytes each as the largest needs, deflated; counts beyond 32 bits stay at the largest such number."""
     counts = np.minimum(counts, 0xFFFFFFFF)
-    return counts.astype(next(t for t in (np.uint8, np.uint16, np.uint32) if counts.max() <= np.iinfo(t).max)).tobytes()
+    return zlib.compress(counts.astype(next(t for t in (np.uint8, np.uint16, np.uint32) if counts.max() <= np.iinfo(t).max)).tobytes(), 1)
 
 
 def _unpacked(raw: pa.Buffer | bytes, size: int) -> np.ndarray:
+    raw = zlib.decompress(raw)
     return np.frombuffer(raw, {1: np.uint8, 2: np.uint16, 4: np.uint32}[len(raw) // size]).astype(np.int64)
 
 
@@ -160,12 +164,12 @@ def _summed(parts: DataFrame, slots: int) -> np.ndarray:
 
 
 def _nodes_and_counts(docs: DataFrame, slots: int, id_bits: int) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, n, id, rest) of every row, and how many sets have each block, by slots: one pass."""
+    """(doc_id, n, node, id, rest) of every row, and how many sets have each block, by slots: one pass."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(slots, np.uint32)
         kinds = [pa.int64()] * 4 + [pa.int32(), pa.binary()]
-        names = ["doc_id", "n", "id", "rest", "chunk", "counts"]
+        names = ["doc_id", "n", "node", "rest", "chunk", "counts"]
 
         def add(keys: list[np.ndarray]) -> None:
             if keys:
@@ -176,7 +180,7 @@ def _nodes_and_counts(docs: DataFrame, slots: int, id_bits: int) -> tuple[DataFr
             rows, keys = [], []
             for s in shingle_sets(batch.column("text")):
                 me, rest = node(s) if len(s) else (None, None)
-                rows.append((len(s), me and me >> (64 - id_bits), rest))
+                rows.append((len(s), me, rest))
                 keys += [(blocks(s, level) & U64(slots - 1)).astype(np.uint32) for level in levels(len(s))]
                 if len(keys) > 500:
                     add(keys)
@@ -189,32 +193,31 @@ def _nodes_and_counts(docs: DataFrame, slots: int, id_bits: int) -> tuple[DataFr
         if some:
             yield pa.RecordBatch.from_arrays([*(pa.nulls(len(some), k) for k in kinds[:4]), pa.array([c for c, _ in some], pa.int32()), pa.array([p for _, p in some], pa.binary())], names)
 
-    described = docs.mapInArrow(describe, "doc_id long, n long, id long, rest long, chunk int, counts binary")
-    both = stored(described.withColumn("branch", F.pmod(F.spark_partition_id(), F.lit(BRANCHES))), "nodes")
-    return both.where("chunk is null").select("doc_id", "n", "id", "rest"), _summed(both.where("chunk is not null").select("chunk", "branch", "counts"), slots)
+    described = docs.mapInArrow(describe, "doc_id long, n long, node long, rest long, chunk int, counts binary")
+    both = stored(described.withColumn("branch", F.floor(F.spark_partition_id() / BRANCH)), "nodes")
+    return both.where("chunk is null").select("doc_id", "n", "node", F.shiftright(F.shiftleft("node", 64 - id_bits), 64 - id_bits).alias("id"), "rest"), _summed(both.where("chunk is not null").select("chunk", "branch", "counts"), slots)
 
 
 class Names:
-    """Ids of nodes: the leading bits of the digest, but for the renamed sets."""
+    """Ids of nodes: the last of the digest's first 64 bits, but for the renamed sets."""
 
     def __init__(self, id_bits: int, renamed: dict[tuple[int, int], int]):
-        self.shift, self.renamed = 64 - id_bits, renamed
+        self.half, self.renamed = 1 << (id_bits - 1), renamed
 
     def __call__(self, members: np.ndarray) -> int:
         me, rest = node(members)
-        me >>= self.shift
+        me = (me + self.half) % (2 * self.half) - self.half
         return self.renamed.get((me, rest), me) if self.renamed else me
 
 
 def _named(nodes: DataFrame, id_bits: int) -> tuple[DataFrame, DataFrame, Names]:
     """The nodes with ids that no two sets share, their groups (id, least doc_id), and the ids' rule."""
-    nodes = nodes.withColumn("node", F.col("id"))
     groups = stored(nodes.where("id is not null").groupBy("id", "rest").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "groups")
     shared = groups.groupBy("id").agg(F.count("*").alias("m"), F.min("rest").alias("first")).where("m > 1")
     others = groups.join(shared, "id").where("rest <> first").select("id", "rest").limit(MOST_RENAMED + 1).collect()
     if len(others) > MOST_RENAMED:
-        raise ValueError(f"more than {MOST_RENAMED} sets share their leading {id_bits} bits")
-    renamed = {(r["id"], r["rest"]): int(mix(np.array([r["rest"]], np.int64).view(U64) ^ U64(r["id"] & 0xFFFFFFFF)).view(np.int64)[0]) for r in others}
+        raise ValueError(f"more than {MOST_RENAMED} sets share {id_bits} bits of their digests")
+    renamed = {(r["id"], r["rest"]): int(mix(np.array([r["rest"]], np.int64).view(U64) ^ U64(r["id"] & 0xFFFFFFFF)).view(np.int64)[0]) >> (64 - ID_BITS) for r in others}
     if renamed:
         new = nodes.sparkSession.createDataFrame([(*k, v) for k, v in renamed.items()], "id long, rest long, new long")
         nodes, groups = (t.join(F.broadcast(new), ["id", "rest"], "left").withColumn("id", F.coalesce("new", "id")).drop("new") for t in (nodes, groups))
@@ -222,9 +225,11 @@ def _named(nodes: DataFrame, id_bits: int) -> tuple[DataFrame, DataFrame, Names]
 
 
 def _bucket_rows(docs: DataFrame, counts: np.ndarray, name: Names) -> DataFrame:
-    """(key, part, n, id): the first blocks of each set. Within a task, equal sets give theirs once.
+    """(bucket, member): the first blocks of each set, packed. Within a task, equal sets give theirs once.
 
-    Parts of a bucket that is dealt count from 1; 0 is a bucket in one part.
+    bucket: 48 bits of the block's key, which is enough to meet by, and the part; parts of a bucket that is dealt count from 1; 0 is a bucket in one part.
+    member: n, at most MOST_N, and the id, so that members of a bucket sort by size. Sets beyond MOST_N are compared by it as if they were of one size;
+    what then decides has n itself.
     """
     sent = docs.sparkSession.sparkContext.broadcast(counts)
     hot = max(HOT, 4 * int(counts.sum(dtype=np.int64)) // len(counts))
@@ -242,7 +247,7 @@ def _bucket_rows(docs: DataFrame, counts: np.ndarray, name: Names) -> DataFrame:
                             break
                         met.add(me)
                     keys, seen = first_blocks(s, level, sent.value)
-                    parts = np.where(seen > hot, 1 + me % (seen // hot + 1), 0)
+                    parts = np.where(seen > hot, 1 + me % np.minimum(seen // hot + 1, PART_MASK), 0)
                     rows.append((keys, parts, len(s), me))
                     held += len(keys)
                 if held > 200_000:
@@ -251,24 +256,26 @@ def _bucket_rows(docs: DataFrame, counts: np.ndarray, name: Names) -> DataFrame:
             if rows:
                 yield _rows(rows)
 
-    return docs.select("text").mapInArrow(emit, "key long, part int, n int, id long")
+    return docs.select("text").mapInArrow(emit, "bucket long, member long")
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
     times = [len(r[0]) for r in rows]
-    arrays = [np.concatenate([r[0] for r in rows]).view(np.int64), np.concatenate([r[1] for r in rows]).astype(np.int32), np.repeat(np.array([r[2] for r in rows], np.int32), times), np.repeat(np.array([r[3] for r in rows], np.int64), times)]
-    return pa.RecordBatch.from_arrays(list(map(pa.array, arrays)), ["key", "part", "n", "id"])
+    buckets = np.concatenate([r[0] for r in rows]) & ~U64(PART_MASK) | np.concatenate([r[1] for r in rows]).astype(U64)
+    members = np.repeat(np.array([min(r[2], MOST_N) << ID_BITS | r[3] & (1 << ID_BITS) - 1 for r in rows], np.int64), times)
+    return pa.RecordBatch.from_arrays([pa.array(buckets.view(np.int64)), pa.array(members)], ["bucket", "member"])
 
 
 def _near_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From bucket rows in order: pairs (x, y, n = 0) of near neighbours and leaders; and (key, id, n) of rows of large and of dealt buckets."""
-    keep = [np.zeros(0, np.int64)] * 4
-
-    def made(key: np.ndarray, part: np.ndarray, n: np.ndarray, i: np.ndarray) -> pa.RecordBatch:
-        same = (key[1:] == key[:-1]) & (part[1:] == part[:-1])
-        fresh = np.r_[True, ~(same & (i[1:] == i[:-1]))]
-        key, part, n, i = key[fresh], part[fresh], n[fresh], i[fresh]
-        begins = np.r_[True, (key[1:] != key[:-1]) | (part[1:] != part[:-1])]
+    """From bucket rows in order: pairs (x, y, false) of near neighbours and leaders; and (key, id, true) of rows of large and of dealt buckets."""
+    keep = [np.zeros(0, np.int64)] * 2
+
+    def made(bucket: np.ndarray, member: np.ndarray) -> pa.RecordBatch:
+        fresh = np.r_[True, (bucket[1:] != bucket[:-1]) | (member[1:] != member[:-1])]
+        bucket, member = bucket[fresh], member[fresh]
+        n, i = member >> ID_BITS, member << 64 - ID_BITS >> 64 - ID_BITS
+        key, part = bucket & ~PART_MASK, bucket & PART_MASK
+        begins = np.r_[True, bucket[1:] != bucket[:-1]]
         starts = np.flatnonzero(begins)
         group = np.cumsum(begins) - 1
         sizes = np.diff(np.r_[starts, len(key)])
@@ -286,14 +293,14 @@ def _near_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x, y = np.concatenate(left), np.concatenate(right)
         pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0) if len(x) else np.zeros((0, 2), np.int64)
         large = np.flatnonzero((sizes[group] > REACH + 1) | (part != 0)) if len(key) else starts
-        return pa.RecordBatch.from_arrays([pa.array(np.r_[pairs[:, 0], key[large]]), pa.array(np.r_[pairs[:, 1], i[large]]), pa.array(np.r_[np.zeros(len(pairs), np.int64), n[large]])], ["x", "y", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(np.r_[pairs[:, 0], key[large]]), pa.array(np.r_[pairs[:, 1], i[large]]), pa.array(np.r_[np.zeros(len(pairs), bool), np.ones(len(large), bool)])], ["x", "y", "large"])
 
     for batch in batches:
         rows = [np.r_[k, batch.column(c).to_numpy()] for c, k in enumerate(keep)]
         if not len(rows[0]):
             continue
-        last = len(rows[0]) - int(np.argmax((rows[0][::-1] != rows[0][-1]) | (rows[1][::-1] != rows[1][-1])))
-        if rows[0][0] == rows[0][-1] and rows[1][0] == rows[1][-1]:
+        last = len(rows[0]) - int(np.argmax(rows[0][::-1] != rows[0][-1]))
+        if rows[0][0] == rows[0][-1]:
             last = 0  # one bucket so far
         keep = [r[last:] for r in rows]
         if last:
@@ -443,7 +450,7 @@ def _linked(near: DataFrame, sets: DataFrame, percent: int, labels: DataFrame |
 
 
 def _across(large: DataFrame, sets: DataFrame, labels: DataFrame | None, per_root: int | None) -> DataFrame:
-    """Pairs (a, b) from large buckets (key, id, n) whose ends are in different components and pass the narrow sketch.
+    """Pairs (a, b) from large buckets (key, id) whose ends are in different components and pass the narrow sketch.
 
     With per_root, only the nearest so many in a cell for each row and other component; a bucket from which pairs were
     left out so is named in a row of its own, (key, null).
@@ -453,12 +460,12 @@ def _across(large: DataFrame, sets: DataFrame, labels: DataFrame | None, per_roo
     else:
         rows = large.join(labels, "id", "left")
     # one bucket may have very many rows: they meet what is known of it in SALTS tasks
-    rows = rows.select("key", "id", "n", F.coalesce("root", "id").alias("root"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt"))
+    rows = rows.select("key", "id", F.coalesce("root", "id").alias("root"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt"))
     by_root = rows.groupBy("key", "root").agg(F.count("*").alias("m"))
     torn = by_root.groupBy("key").agg(F.sum("m").alias("size"), F.count("*").alias("roots"), F.max_by("root", F.struct("m", "root")).alias("main")).where("roots > 1")
     cells = F.ceil(F.col("size") / CELL).cast("int")
     torn = torn.withColumn("salt", F.explode(F.array(*[F.lit(k).cast("long") for k in range(SALTS)])))
-    rows = rows.join(torn, ["key", "salt"]).join(sets.select("id", "sketch"), "id")
+    rows = rows.join(torn, ["key", "salt"]).join(sets.select("id", "n", "sketch"), "id")
     rows = rows.select("key", "id", "n", "root", "sketch", (F.col("root") == F.col("main")).alias("main"), cells.alias("cells"), F.pmod(F.xxhash64("id"), cells).cast("int").alias("home"))
     home = rows.select("key", F.col("home").alias("cell"), F.lit(0).alias("moving"), "id", "n", "root", "sketch")
     moving = rows.where("not main").select("key", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), F.lit(1).alias("moving"), "id", "n", "root", "sketch")
@@ -537,12 +544,12 @@ def _distinct_buckets(large: DataFrame) -> DataFrame:
     return stored(members.join(kept, "key", "left_semi"), "large")
 
 
-def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, id_bits: int = 64) -> DataFrame:
-    """(doc_id, n_shingles, component_id, component, node) of every row; component is a node's id, node the leading bits of the digest of the row's
+def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, id_bits: int = ID_BITS) -> DataFrame:
+    """(doc_id, n_shingles, component_id, component, node) of every row; component is a node's id, node 64 bits of the digest of the row's
     set (``node_column``), both null for an empty set.
 
     ``percent`` may be 80 or more: the numbers of blocks are made for differences of at most a quarter. Fewer
-    ``id_bits`` give the same result through more sets of shared numbers.
+    ``id_bits`` (ID_BITS at most) give the same result through more sets of shared numbers.
     """
     if percent < 80:
         raise ValueError("the wide sketch is laid out for a similarity of 0.8 or more")
@@ -552,11 +559,11 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     nodes, counts = _nodes_and_counts(docs, slots, id_bits)
     nodes, groups, name = _named(nodes, id_bits)
     texts = docs.where("text is not null")
-    rows = _bucket_rows(texts, counts, name).repartition("key", "part").sortWithinPartitions("key", "part", "n", "id")
-    met = stored(rows.mapInArrow(_near_pairs, "x long, y long, n long"), "met")
+    rows = _bucket_rows(texts, counts, name).repartition("bucket").sortWithinPartitions("bucket", "member")
+    met = stored(rows.mapInArrow(_near_pairs, "x long, y long, large boolean"), "met")
     release(docs.sparkSession)
-    pairs = stored(met.where("n = 0").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "pairs")
-    large = _distinct_buckets(met.where("n > 0").select(F.col("x").alias("key"), F.col("y").alias("id"), "n"))
+    pairs = stored(met.where("not large").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "pairs")
+    large = _distinct_buckets(met.where("large").select(F.col("x").alias("key"), F.col("y").alias("id")))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(large.select("id")).distinct()
     sets = _sets(texts, wanted.join(groups, "id"), name)
     labels = _linked(_near(pairs, sets, percent), sets, percent, None)

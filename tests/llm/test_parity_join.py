@@ -203,3 +203,20 @@ def test_sets_of_very_many_copies(spark, monkeypatch):
     rows = [(i, base) for i in range(10, 30)] + [(5, base + " x"), (40, None), (41, ""), (42, "a b")]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in parity_join.link(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
     assert got == {d: (n, c) for d, n, c in slow(rows)}
+
+
+def test_bucket_rows_are_two_numbers():
+    """Bucket rows are 16 bytes, whatever the set; ids and sizes come back from them, sizes beyond MOST_N as MOST_N; and
+    counts of few take few bytes."""
+    top = 1 << (parity_join.ID_BITS - 1)
+    rows = [(np.array([7 << 16, (9 << 16) + 5], np.uint64), np.array([0, 3]), 12, -top), (np.array([7 << 16], np.uint64), np.array([0]), 10**6, top - 1)]
+    batch = parity_join._rows(rows)
+    assert [str(t) for t in batch.schema.types] == ["int64", "int64"]
+    assert batch.column("bucket").to_pylist() == [7 << 16, (9 << 16) + 3, 7 << 16]
+    assert [m >> parity_join.ID_BITS for m in batch.column("member").to_pylist()] == [12, 12, parity_join.MOST_N]
+    import pyarrow as pa
+
+    together = [pa.array([7 << 16, 7 << 16]), pa.array(sorted(batch.column("member").to_pylist())[::2])]
+    out = list(parity_join._near_pairs([pa.RecordBatch.from_arrays(together, ["bucket", "member"])]))
+    assert all(i in (-top, top - 1) for b in out for i in b.column("x").to_pylist() + b.column("y").to_pylist())
+    assert len(parity_join._packed(np.repeat(np.array([0, 1], np.int64), [60_000, 40]))) < 10_000
