@@ -93,3 +93,17 @@ def test_clashing_names_long_words_and_small_tables(spark, libraries, monkeypatc
         assert (np.frombuffer(coded, "<u4").tolist(), decoded) == (ids, libraries[1].decode(ids))
         assert words.count(x) == len(libraries[0].encode(x, add_special_tokens=False).ids)
         assert table.bytes < 40_000 and words.bytes < 40_000
+
+
+def test_chunks_merged_as_a_matrix(libraries):
+    """Chunks of one length merged together have the ids that each has alone; letters without a piece and few or long chunks go alone."""
+    import random
+
+    from tessera.llm.sentencepiece_codec import ChunkTable
+
+    draw, table = random.Random(5), ChunkTable(PIECES)
+    chunks = {"".join(draw.choices("▁etaoinshrdluéaab中", k=draw.choice([1, 2, 3, 5, 8, 8, 13, 39, 60]))) for _ in range(3000)}
+    got = {c: (packed, other) for c, packed, other in table.segmented(chunks)}
+    assert got.keys() == chunks and sum(not other for _, other in got.values()) > 1000
+    for c, (packed, _) in got.items():
+        assert np.frombuffer(packed, "<u4").tolist() == table.segment(c), c
