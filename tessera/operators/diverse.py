@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -15,8 +15,10 @@ from tessera.sources.tables import stored
 
 #: Candidates of a topic that are looked at for its picks, and picked, at most: the operator's own bounds.
 CANDIDATES, PICKS = 60, 10
-#: Clusters of a topic up to which one task goes on with them, and that meet in a block before that.
+#: Clusters of a topic that fit a table of all pairs in a task, and that meet in a block where a topic is dealt over tasks.
 LOCAL, BLOCK = 4096, 4096
+#: Times LOCAL up to which one task goes on with a topic's clusters by their means; pairs that it looks at together.
+TIMES, CELLS = 32, 1 << 22
 
 
 def best_candidates(rows: DataFrame, limit: int = CANDIDATES) -> DataFrame:
@@ -75,56 +77,68 @@ def linkage(vectors: np.ndarray, threshold: float) -> np.ndarray:
     return out
 
 
-def chained(total: np.ndarray, n: np.ndarray, threshold: float) -> np.ndarray:
-    """The root of each cluster by average linkage, from sums of vectors of length one and counts; memory follows the rows.
+def symmetric(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A number for each pair, the same from either side: which of equally near ones is taken, so that many of them pair off at once."""
+    x, y = (np.asarray(k).astype(np.int64).view(np.uint64) * np.uint64(0xBF58476D1CE4E5B9) for k in (a, b))
+    x, y = x ^ (x >> np.uint64(29)), y ^ (y >> np.uint64(29))
+    x = (x + y) * np.uint64(0x94D049BB133111EB)
+    return (x ^ (x >> np.uint64(32))).view(np.int64)
 
-    The average similarity of two clusters is the product of their mean vectors. Chains of nearest clusters merge mutual
-    nearest ones, which gives the clusters of taking the nearest pair first; one with none within the threshold is final.
+
+def paired(mean: np.ndarray, n: np.ndarray, threshold: float, more: Callable | None = None) -> np.ndarray:
+    """The first row of each row's cluster by average linkage, from means of vectors and counts; memory follows the rows.
+
+    The average likeness of two clusters is the product of their means and, if ``more`` is given, what it adds: more(clusters, cluster of each row or -1)
+    yields (place among these clusters, other cluster, sum over pairs of rows). All mutual nearest clusters merge at once, which gives the clusters of taking
+    the nearest pair first. A cluster's nearest one stays so until one of the two merges, and one with none within the threshold is final.
     """
-    mean, n = total / n[:, None], n.astype(float)
-    at = np.arange(len(n))  # of the rows that are left
-    root = np.arange(len(n))
-    live = np.ones(len(n), bool)
-    chain: list[int] = []
-    start = 0
-    while True:
-        if not chain:
-            start += int(np.argmax(live[start:]))
-            if not live[start]:
-                return _tops(root)
-            chain = [start]
-        top = chain[-1]
-        like = mean @ mean[top]
-        like[~live] = -np.inf
-        like[top] = -np.inf
-        near = int(np.argmax(like))
-        if len(chain) > 1 and like[chain[-2]] >= like[near] - 1e-12:
-            near = chain[-2]
-        if not 1 - like[near] < threshold:
-            live[top] = False
-            chain = []
-        elif len(chain) > 1 and near == chain[-2]:
-            chain = chain[:-2]
-            keep, gone = sorted((top, near))
-            mean[keep] = (n[keep] * mean[keep] + n[gone] * mean[gone]) / (n[keep] + n[gone])
-            n[keep] += n[gone]
-            live[gone] = False
-            root[at[gone]] = at[keep]
-        else:
-            chain.append(near)
-        if not chain and 2 * live.sum() < len(live):
-            mean, n, at, start = mean[live], n[live], at[live], 0
-            live = np.ones(len(n), bool)
-            if not len(n):
-                return _tops(root)
-
-
-def _tops(root: np.ndarray) -> np.ndarray:
+    mean, n, live = mean.astype(float), n.astype(float), np.arange(len(n))
+    root, of = np.arange(len(n)), np.arange(len(n))
+    near, best, stale = np.zeros(len(n), int), np.full(len(n), -np.inf), np.ones(len(n), bool)
+    while len(n) > 1:
+        count, asked = len(n), np.flatnonzero(stale)
+        step = max(1, CELLS // count)
+        for rows in (asked[k : k + step] for k in range(0, len(asked), step)):
+            like = mean[rows] @ mean.T
+            for i, k, total in more(rows, of) if more else ():
+                np.add.at(like, (i, k), total / (n[rows[i]] * n[k]))
+            like[np.arange(len(rows)), rows] = -np.inf
+            best[rows] = like.max(1)
+            same = like >= best[rows][:, None] - 1e-12
+            near[rows] = same.argmax(1)
+            for r in np.flatnonzero(np.count_nonzero(same, axis=1) > 1):
+                ties = np.flatnonzero(same[r])
+                near[rows[r]] = ties[np.argmax(symmetric(live[ties], live[rows[r]]))]
+        ok = 1 - best < threshold
+        a = np.flatnonzero(ok & (near[near] == np.arange(count)) & (np.arange(count) < near))
+        if not len(a):
+            if not ok.any():
+                break
+            top = int(np.argmax(best))
+            a, near[near[top]] = np.array([min(top, near[top])]), top
+        b = near[a]
+        mean[a] = (n[a][:, None] * mean[a] + n[b][:, None] * mean[b]) / (n[a] + n[b])[:, None]
+        n[a] += n[b]
+        root[live[b]] = live[a]
+        into, merged = np.arange(count), np.zeros(count, bool)
+        into[b], merged[a], merged[b] = a, True, True
+        stale = merged[near] | ~ok[near] | merged
+        left = ok.copy()
+        left[b] = False
+        place = np.where(left, np.cumsum(left) - 1, -1)
+        of = np.where(of >= 0, place[into[of]], -1)
+        near = place[near][left]
+        mean, n, live, best, stale = mean[left], n[left], live[left], best[left], stale[left]
     while (root[root] != root).any():
         root = root[root]
     return root
 
 
+def by_topic(rows: DataFrame) -> DataFrame:
+    """Dealt by topic over tasks enough that few have two large ones, and small ones aren't put together."""
+    return rows.repartition(max(64, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "topic")
+
+
 def _nearest(live: DataFrame) -> DataFrame:
     """(topic, a, b, apart, node): each cluster's nearest, a < b, by blocks of a topic's clusters that all of its clusters pass."""
     blocks = live.groupBy("topic").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
@@ -153,15 +167,18 @@ def _nearest(live: DataFrame) -> DataFrame:
                 apart = np.round(1 - mean[low:high] @ means[0].T, 12)  # the same from either side
                 apart[mine[:, None] == nodes[0]] = np.inf
                 best = apart.min(1)
-                # among equally near ones the pair of the smallest, then the largest node
-                other = np.where(apart == best[:, None], np.broadcast_to(nodes[0], apart.shape), np.iinfo(np.int64).max).min(1)
+                same = apart == best[:, None]
+                other = nodes[0][same.argmax(1)]
+                for r in np.flatnonzero(np.count_nonzero(same, axis=1) > 1):
+                    ties = nodes[0][same[r]]
+                    other[r] = ties[np.argmin(symmetric(ties, mine[r]))]
                 ok = np.isfinite(best)
-                columns = [topic[low:high], np.minimum(mine, other), np.maximum(mine, other), best, mine]
-                yield pa.RecordBatch.from_arrays([pa.array(c[ok]) for c in columns], ["topic", "a", "b", "apart", "node"])
+                columns = [topic[low:high], np.minimum(mine, other), np.maximum(mine, other), best, symmetric(mine, other), mine]
+                yield pa.RecordBatch.from_arrays([pa.array(c[ok]) for c in columns], ["topic", "a", "b", "apart", "tie", "node"])
 
     dealt = home.unionByName(moving).repartition("topic", "block").sortWithinPartitions("topic", "block", "moving")
-    found = dealt.mapInArrow(compared, "topic long, a long, b long, apart double, node long")
-    return found.groupBy("topic", "node").agg(F.min(F.struct("apart", "a", "b")).alias("p")).select("topic", "p.a", "p.b", "p.apart", "node")
+    found = dealt.mapInArrow(compared, "topic long, a long, b long, apart double, tie long, node long")
+    return found.groupBy("topic", "node").agg(F.min(F.struct("apart", "tie", "a", "b")).alias("p")).select("topic", "p.a", "p.b", "p.apart", "node")
 
 
 def _round(live: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
@@ -179,7 +196,7 @@ def _round(live: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
 def clusters(rows: DataFrame, threshold: float = 0.6) -> DataFrame:
     """(topic, id, cluster) of all rows (topic, id, vector of length one): average linkage of cosine distances.
 
-    Equal vectors are one cluster from the start. Topics of more than LOCAL clusters merge mutual nearest ones in rounds of
+    Equal vectors are one cluster from the start. Topics of more than TIMES * LOCAL clusters merge mutual nearest ones in rounds of
     block-wise comparisons; what is left of a topic after that is clustered within one task. Clusters are numbered by smallest id.
     """
     nodes = rows.select("topic", "id", "vector", F.xxhash64("vector").alias("node"))
@@ -187,17 +204,18 @@ def clusters(rows: DataFrame, threshold: float = 0.6) -> DataFrame:
     live = stored(first.select("topic", "node", "n", F.transform("vector", lambda x: x.cast("double") * F.col("n")).alias("total")))
     labels = stored(live.select("topic", "node", F.col("node").alias("root")))
     relabelled = lambda roots: labels.join(roots.select("topic", F.col("a").alias("to"), F.col("b").alias("root")), ["topic", "root"], "left").select("topic", "node", F.coalesce("to", "root").alias("root"))
-    while not (large := stored(live.groupBy("topic").count().where(F.col("count") > LOCAL).select("topic"))).isEmpty():
+    while not (large := stored(live.groupBy("topic").count().where(F.col("count") > TIMES * LOCAL).select("topic"))).isEmpty():
         left, pairs = _round(live.join(large, "topic", "left_semi"), threshold)
         live = stored(live.join(large, "topic", "left_anti").unionByName(left if not pairs.isEmpty() else left.limit(0)))
         labels = stored(relabelled(pairs))
 
     def finish(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("node", ignore_index=True)
-        roots = chained(np.stack(group["total"].to_numpy()), group["n"].to_numpy(), threshold)
+        n = group["n"].to_numpy()
+        roots = paired(np.stack(group["total"].to_numpy()) / n[:, None], n, threshold)
         return pd.DataFrame({"topic": group["topic"], "a": group["node"].to_numpy()[roots], "b": group["node"]})
 
-    labels = stored(relabelled(live.groupBy("topic").applyInPandas(finish, "topic long, a long, b long")))
+    labels = stored(relabelled(by_topic(live).groupBy("topic").applyInPandas(finish, "topic long, a long, b long")))
     rooted = stored(nodes.select("topic", "id", "node").join(labels, ["topic", "node"]).select("topic", "id", "root"))
     number = F.row_number().over(Window.partitionBy("topic").orderBy("least", "root")) - 1  # over a topic's clusters
     numbers = rooted.groupBy("topic", "root").agg(F.min("id").alias("least")).select("topic", "root", number.alias("cluster"))

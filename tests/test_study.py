@@ -132,3 +132,21 @@ def test_lines_as_sql(spark, tmp_path):
     want = con.sql(ORACLES["answer_parse"])
     got = sorted(tuple(r) for r in answer_parse(spark, str(tmp_path)).select(*want.columns).collect())
     assert got == sorted((*r[:6], float(r[6]), r[7]) for r in want.fetchall())
+
+
+@pytest.mark.parametrize("times", [1, 32])
+def test_large_labels_by_rounds_and_in_one_task(spark, monkeypatch, times):
+    """More clusters than LOCAL, a hundred of them equally near: plain linkage, no table stored for rounds where a task holds the means."""
+    monkeypatch.setattr(diverse, "LOCAL", 100)
+    monkeypatch.setattr(diverse, "BLOCK", 64)
+    monkeypatch.setattr(diverse, "TIMES", times)
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(300, 12))
+    v = np.concatenate([np.c_[v, np.zeros((300, 100))], np.c_[np.ones((100, 12)), 2 * np.eye(100)]])  # the last hundred are equally near one another
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    calls = []
+    monkeypatch.setattr(diverse, "stored", lambda df, real=diverse.stored: calls.append(1) or real(df))
+    rows = spark.createDataFrame([(1, k, x.tolist()) for k, x in enumerate(v)], "topic long, id long, vector array<double>").repartition(3)
+    got = [r.cluster for r in diverse.clusters(rows, 0.5).orderBy("id").collect()]
+    assert got == linkage(v, 0.5).tolist() and len(set(got[300:])) == 1
+    assert len(calls) == 5 if times == 32 else 5 < len(calls) < 90
