@@ -1,13 +1,14 @@
 """Clusters of texts that say one thing: likeness by vectors and shared terms, labels with their support, cores, anchors, clusters of one fact.
 
 Likeness of two rows is the product of their vectors (of length one) plus a bonus for each term that both have, one at most. As the
-bound isn't additive, clusters are compared by their rows: all rows of a cluster lie in one block, every row of the topic passes every block,
+bound isn't additive, clusters are compared by the means of their vectors and by those pairs of rows alone that share a term; where a topic is too large for
+a task by their rows: all rows of a cluster lie in one block, every row of the topic passes every block,
 and sums of likeness by pairs of clusters stay within the task. Merging mutual nearest clusters gives what merging the nearest pair first does.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -16,11 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.operators.diverse import BLOCK, LOCAL
+from tessera.operators.diverse import BLOCK, LOCAL, TIMES, by_topic, paired, symmetric
 from tessera.sources.tables import stored
 
 # Topics that a term may be in and still say something, the topic's size from which on a fact needs two sets, and shares.
 VAGUE, LARGE_TOPIC, FEW_SETS, HALF = 50, 6, 2, 2
+#: Lengths of vectors up to which the bound matters to pairs with a shared term or equal vectors only; pairs of rows that are looked at together.
+UNIT, PAIRS = 1 + 1e-6, 1 << 20
 ROW = "topic long, node long, n long, vector array<double>, terms array<long>"
 
 
@@ -72,6 +75,44 @@ def chained(apart: np.ndarray, n: np.ndarray, threshold: float) -> np.ndarray:
     return root
 
 
+def added(vectors: np.ndarray, n: np.ndarray, terms: list[np.ndarray], bonus: float) -> Callable:
+    """What shared terms, and the bound of one, add to products of vectors, as `paired` takes it; found anew each time by the rows that have a term."""
+    # equal vectors can be over one by rounding: they share a thing without a bonus
+    _, kind, copies = np.unique(vectors, axis=0, return_inverse=True, return_counts=True)
+    bound = np.flatnonzero((copies[kind] > 1) & ((vectors * vectors).sum(1) > 1))
+    row = np.concatenate([np.repeat(np.arange(len(terms)), [len(t) for t in terms]), bound])
+    _, thing = np.unique(np.concatenate([np.zeros(0, np.int64), *terms]), return_inverse=True)
+    thing = np.concatenate([thing, len(thing) + kind[bound]])
+    worth = np.where(np.arange(len(row)) < len(row) - len(bound), bonus, 0.0)
+    order = np.argsort(thing, kind="stable")
+    having, first = row[order], np.searchsorted(thing[order], thing)
+    size = np.searchsorted(thing[order], thing, "right") - first
+    shared = size > 1
+    row, first, size, worth = row[shared], first[shared], size[shared], worth[shared]
+    order = np.argsort(row, kind="stable")
+    row, first, size, worth = row[order], first[order], size[order], worth[order]
+    low, high = np.searchsorted(row, np.arange(len(n))), np.searchsorted(row, np.arange(len(n)), "right")
+
+    def more(clusters: np.ndarray, of: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        at = np.full(of.max() + 2, -1)
+        at[clusters] = np.arange(len(clusters))
+        mine = np.flatnonzero((at[of] >= 0) & (high > low))
+        work = np.cumsum([size[low[x] : high[x]].sum() for x in mine.tolist()])
+        for part in np.split(mine, np.flatnonzero(np.diff(work // PAIRS)) + 1) if len(mine) else ():
+            held = np.concatenate([np.arange(low[x], high[x]) for x in part.tolist()])
+            ends = np.cumsum(size[held])
+            other = having[np.repeat(first[held] - ends + size[held], size[held]) + np.arange(ends[-1])]
+            pair, back = np.unique(np.repeat(row[held], size[held]) * len(n) + other, return_inverse=True)
+            plus = np.bincount(back, np.repeat(worth[held], size[held]))
+            x, y = np.divmod(pair, len(n))
+            keep = (of[y] >= 0) & (of[y] != of[x])
+            x, y, plus = x[keep], y[keep], plus[keep]
+            product = np.einsum("ij,ij->i", vectors[x], vectors[y])
+            yield at[of[x]], of[y], (np.minimum(product + plus, 1.0) - product) * n[x] * n[y]
+
+    return more
+
+
 def _nearest(rows: DataFrame, bonus: float) -> DataFrame:
     """(topic, a, b, apart, root): each cluster's nearest one, a < b, from rows (topic, root, n, vector, terms)."""
     blocks = rows.groupBy("topic").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
@@ -90,8 +131,10 @@ def _nearest(rows: DataFrame, bonus: float) -> DataFrame:
             best = apart.min()
             if not np.isfinite(best):
                 return None
-            other = roots[apart == best].min()
-            return pa.RecordBatch.from_arrays([pa.array([x]) for x in (mine[0], min(mine[1], other), max(mine[1], other), best, mine[1])], ["topic", "a", "b", "apart", "root"])
+            ties = roots[apart == best]
+            tie = symmetric(ties, np.int64(mine[1]))
+            other = ties[np.argmin(tie)]
+            return pa.RecordBatch.from_arrays([pa.array([x]) for x in (mine[0], min(mine[1], other), max(mine[1], other), best, tie.min(), mine[1])], ["topic", "a", "b", "apart", "tie", "root"])
 
         for batch in (whole.slice(k, 256) for whole in batches for k in range(0, len(whole), 256)):
             topic, number, passing, root, n = (batch.column(c).to_numpy().tolist() for c in columns[:5])
@@ -129,32 +172,37 @@ def _nearest(rows: DataFrame, bonus: float) -> DataFrame:
             yield made
 
     met = home.select(*columns).unionByName(moving.select(*columns)).repartition("topic", "block").sortWithinPartitions("topic", "block", "moving", "root")
-    found = met.mapInArrow(compared, "topic long, a long, b long, apart double, root long")
-    return found.groupBy("topic", "root").agg(F.min(F.struct("apart", "a", "b")).alias("p")).select("topic", "p.a", "p.b", "p.apart", "root")
+    found = met.mapInArrow(compared, "topic long, a long, b long, apart double, tie long, root long")
+    return found.groupBy("topic", "root").agg(F.min(F.struct("apart", "tie", "a", "b")).alias("p")).select("topic", "p.a", "p.b", "p.apart", "root")
 
 
 def clusters(rows: DataFrame, threshold: float = 0.6, bonus: float = 0.2) -> DataFrame:
     """(topic, id, cluster) of rows (topic, id, vector of length one, terms: array of strings): average linkage of 1 less their likeness.
 
-    Rows equal in vector and terms are one from the start. Topics of at most LOCAL distinct rows are clustered in one task, larger ones in rounds of mutual nearest
-    clusters; a topic's work grows with the square of its distinct rows. Clusters are numbered by smallest id. Null terms are none.
+    Rows equal in vector and terms are one from the start. Topics of at most TIMES * LOCAL distinct rows (LOCAL, if a vector is longer than one) are clustered in one task,
+    larger ones in rounds of mutual nearest clusters; a topic's work grows with the square of its distinct rows. Clusters are numbered by smallest id. Null terms are none.
     """
     terms = F.array_sort(F.array_distinct(F.transform(F.filter(F.coalesce("terms", F.array().cast("array<string>")), lambda t: t.isNotNull()), lambda t: F.xxhash64(t))))
     nodes = rows.select("topic", "id", F.transform("vector", lambda x: x.cast("double")).alias("vector"), terms.alias("terms")).withColumn("node", F.xxhash64("vector", "terms"))
     once = nodes.groupBy("topic", "node").agg(F.count("*").alias("n"), F.any_value("vector").alias("vector"), F.any_value("terms").alias("terms"))
     once = stored(once)
-    once = once.join(once.groupBy("topic").agg(F.count("*").alias("m")), "topic")
+    square = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)
+    sizes = once.groupBy("topic").agg(F.count("*").alias("m"), F.min(F.coalesce(square <= UNIT * UNIT, F.lit(False))).alias("unit"))
+    once = once.join(sizes.select("topic", (F.col("m") <= F.when(F.col("unit"), TIMES * LOCAL).otherwise(LOCAL)).alias("small")), "topic")
 
     def local(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("node", ignore_index=True)
         weights, ts = group["n"].to_numpy(), [np.asarray(t, np.int64) for t in group["terms"]]
         vectors = np.stack(group["vector"].to_numpy())
-        roots = chained(1 - likeness(vectors, ts, vectors, rows_with(ts), bonus), weights, threshold)
+        if (vectors * vectors).sum(1).max() <= UNIT * UNIT:
+            roots = paired(vectors, weights, threshold, added(vectors, weights, ts, bonus))
+        else:
+            roots = chained(1 - likeness(vectors, ts, vectors, rows_with(ts), bonus), weights, threshold)
         return pd.DataFrame({"topic": group["topic"], "node": group["node"], "root": group["node"].to_numpy()[roots]})
 
-    small = once.where(F.col("m") <= LOCAL).drop("m")
-    labels = small.groupBy("topic").applyInPandas(local, "topic long, node long, root long")
-    live = stored(once.where(F.col("m") > LOCAL).drop("m").withColumn("root", F.col("node")))
+    small = once.where("small").drop("small")
+    labels = by_topic(small).groupBy("topic").applyInPandas(local, "topic long, node long, root long")
+    live = stored(once.where("not small").drop("small").withColumn("root", F.col("node")))
     while True:  # each round at least the nearest pair of a topic is merged
         near = stored(_nearest(live, bonus).where(F.col("apart") < threshold))
         pairs = stored(near.groupBy("topic", "a", "b").count().where("count = 2").select("topic", F.col("b").alias("root"), F.col("a").alias("to")))

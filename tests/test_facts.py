@@ -146,3 +146,57 @@ def test_queries(spark, sf_dir):
 
 def test_empty(spark):
     assert A.clusters(spark.createDataFrame([], ROWS)).count() == 0
+
+
+@pytest.mark.parametrize(("times", "least", "most"), [(32, 1, 6), (1, 7, 200)])
+def test_large_topics_go_in_one_task(spark, monkeypatch, times, least, most):
+    """More rows than a table of pairs holds, a hundred of them at the bound of one: few tables are stored where a task holds the rows, and a round for each merge of
+    rows at the bound isn't needed where it doesn't."""
+    monkeypatch.setattr(A, "LOCAL", 100)
+    monkeypatch.setattr(A, "BLOCK", 100)
+    monkeypatch.setattr(A, "TIMES", times)
+    rng = np.random.default_rng(3)
+    v = np.concatenate([rng.normal(size=(120, 8)), rng.normal(size=8) + rng.normal(size=(100, 8)) * 0.01])
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    rows = [(1, k, x.tolist(), [f"t{k}"] if k < 120 else ["alike", f"u{k}"]) for k, x in enumerate(v)]
+    calls = []
+    monkeypatch.setattr(A, "stored", lambda df, real=A.stored: calls.append(1) or real(df))
+    got = sets_of(A.clusters(spark.createDataFrame(rows, ROWS).repartition(4), 0.3, 0.2))
+    ts = [np.array([k if k < 120 else 120]) for k in range(220)]
+    roots = A.chained(1 - A.likeness(v, ts, v, A.rows_with(ts), 0.2), np.ones(220), 0.3)
+    want = {}
+    for k, r in enumerate(roots.tolist()):
+        want.setdefault(r, set()).add(k)
+    assert got == {(1, frozenset(x)) for x in want.values()} and max(map(len, want.values())) >= 100
+    assert least <= len(calls) <= most
+
+
+def test_added_likeness_is_the_table(monkeypatch):
+    """Pairs that share terms, and equal vectors longer than one by rounding, looked at in small parts; longer vectors are no matter for it."""
+    rng = np.random.default_rng(5)
+    for seed in range(12):
+        n = int(rng.integers(2, 90))
+        v = rng.normal(size=(n, 5))
+        v /= np.linalg.norm(v, axis=1, keepdims=True)
+        v = v.astype(np.float32).astype(float)
+        v[0] *= 1 + 1e-7
+        v[n // 2 :: 5] = v[0]
+        ts = [np.unique(rng.integers(0, 12, rng.integers(0, 4))) for _ in range(n)]
+        w = rng.integers(1, 4, n).astype(float)
+        monkeypatch.setattr(A, "PAIRS", [1, 7, 1 << 20][seed % 3])
+        of = rng.integers(-1, 9, n)
+        of[0] = 8
+        got, asked = np.zeros((4, 9)), np.array([1, 3, 7, 8])
+        for i, k, total in A.added(v, w, ts, 0.1)(asked, of):
+            np.add.at(got, (i, k), total)
+        extra = (A.likeness(v, ts, v, A.rows_with(ts), 0.1) - v @ v.T) * np.outer(w, w)
+        want = [[extra[np.ix_(of == a, of == b)].sum() if a != b else 0.0 for b in range(9)] for a in asked]
+        assert np.allclose(got, want, atol=1e-13, rtol=0)
+
+
+def test_long_vectors(spark):
+    """Vectors longer than one: the bound holds for all pairs."""
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(60, 16))
+    rows = [(1, k, x.tolist(), None) for k, x in enumerate(1.2 * v / np.linalg.norm(v, axis=1, keepdims=True))] + [(1, 60 + k, (0.9 * v[k] / np.linalg.norm(v[k])).tolist(), None) for k in range(20)]
+    assert sets_of(A.clusters(spark.createDataFrame(rows, ROWS), 0.9, 0.1)) == plain(rows, 0.9, 0.1)
