@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators.facts import clusters, described
 from tessera.plans.corpus import table
+from tessera.sources.tables import stored
 
 #: Letters of the words that are taken for terms.
 LONG = 11
@@ -26,8 +27,8 @@ def fact_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fact_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clusters with label, support, sources of the core, whether they count, anchors, and how many others state the same fact."""
-    rows = fact_rows(spark, sf_dir)
-    members = rows.select("topic", "id", "source", "terms").join(fact_clusters(spark, sf_dir), ["topic", "id"])
+    rows = stored(fact_rows(spark, sf_dir))  # the texts are read once
+    members = stored(rows.select("topic", "id", "source", "terms").join(clusters(rows, threshold=0.7, bonus=0.2), ["topic", "id"]))
     sizes = rows.groupBy("topic").agg(F.count("*").alias("n"))
     own = spark.createDataFrame([(0, "the")], "topic long, word string")
     labels, same = described(members, own, sizes)
